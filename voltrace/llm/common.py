@@ -43,6 +43,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has just been written
     return spark.read.schema(df.schema).parquet(path)
 
 
