@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import scratch_path
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .mixing import mix_plan
 from .packing import best_fit_packing
+from .quality_rules import quality_rules
 from .sharding import shard_by_splitters
+from .token_output import read_token_files, write_token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +24,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(_documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), n=3, percent=90)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_documents(spark, sf_dir))
 
 
+def op4_simple8b(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    files = scratch_path(spark, "token-files")
+    write_token_files(_documents(spark, sf_dir), files, tokenizer_path)
+    return read_token_files(spark, files)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    result = quality_rules(_documents(spark, sf_dir), labels)
+    return result.drop("score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -35,7 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_simple8b": op4_simple8b,
+        "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_mixing": op10_mixing,
     }

@@ -34,10 +34,10 @@ def shingle_set(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.array([cache[w] for w in words], dtype=np.uint64)
     if len(h) < n:
-        total = np.uint64(len(h))
-        for k, x in enumerate(h):
-            total = total + x * _MUL[k % len(_MUL)]
-        return finish(np.array([total], np.uint64))
+        total = np.array([len(h)], np.uint64)
+        for k in range(len(h)):
+            total += h[k : k + 1] * _MUL[k % len(_MUL)]
+        return finish(total)
     m = len(h) - n + 1
     total = h[:m] * _MUL[0]
     for k in range(1, n):
