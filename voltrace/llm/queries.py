@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .mixing import mix_plan
 from .packing import best_fit_packing
+from .pii import find_pii
 from .quality_rules import quality_rules
 from .sharding import shard_by_splitters
 from .token_output import read_token_files, write_token_files
@@ -52,6 +53,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simple8b": op4_simple8b,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_pii": op9_pii,
         "op10_mixing": op10_mixing,
     }
 
