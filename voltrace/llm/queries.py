@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import scratch_path
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .lm_scoring import lm_scores
 from .mixing import mix_plan
 from .packing import best_fit_packing
 from .pii import find_pii
@@ -53,6 +54,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simple8b": op4_simple8b,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_lm_scoring": op7_lm_scoring,
         "op9_pii": op9_pii,
         "op10_mixing": op10_mixing,
     }
