@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, materialize
 from .components import connected_components
-from .shingles import WordHashes, bitmap, enough, intersection, overlap_bound, segment_keys, shingle_set
+from .shingles import WordHashes, bitmap, enough, fold, intersection, overlap_bound, segment_keys, shingle_set
 
 #: Words kept in a worker's table of hashes before it starts anew.
 CACHE_WORDS = 1_000_000
@@ -95,19 +95,25 @@ def _tile_pairs(percent: int):
     """Pairs inside one block of a tile, between sets of different components, that their bitmaps don't rule out."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.to_dict("list")
-        lone = [i for i, x in enumerate(rows["other"]) if x]
-        bits = [np.frombuffer(b, np.uint64) for b in rows["bits"]]
-        ids, comps, sizes = rows["id"], rows["comp"], rows["size"]
-        out = set()
-        for i in lone:
-            for j in range(len(ids)):
-                if comps[i] != comps[j] and ids[i] != ids[j]:
-                    a, b = min(ids[i], ids[j]), max(ids[i], ids[j])
-                    if (a, b) not in out and enough(min(sizes[i], sizes[j]), sizes[i], sizes[j], percent):
-                        if enough(overlap_bound(sizes[i], bits[i], sizes[j], bits[j]), sizes[i], sizes[j], percent):
-                            out.add((a, b))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
+        bits = [np.frombuffer(b, np.uint64) for b in frame["bits"]]
+        n = min(map(len, bits))
+        bits = np.stack([fold(b, n) for b in bits])
+        ids, comps, sizes = (frame[c].to_numpy(np.int64) for c in ("id", "comp", "size"))
+        out = []
+        for i in np.flatnonzero(frame["other"].to_numpy(bool)).tolist():
+            both = sizes + sizes[i]
+            able = (comps != comps[i]) & ((100 + percent) * np.minimum(sizes, sizes[i]) >= percent * both)
+            at = np.flatnonzero(able)
+            if not len(at):
+                continue
+            x = bits[i][None, :]
+            lone = np.bitwise_count(x & ~bits[at]).sum(axis=1, dtype=np.int64)
+            rest = np.bitwise_count(bits[at] & ~x).sum(axis=1, dtype=np.int64)
+            most = np.minimum(sizes[i] - lone, sizes[at] - rest)
+            at = at[(100 + percent) * most >= percent * both[at]]
+            out.append(np.stack([np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
@@ -162,6 +168,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col:
     return full.select("_id", "n_shingles", "component_id").unionByName(empty.select("_id", "n_shingles", "component_id")).withColumnRenamed("_id", id_col)
 
 
+def one_of_each_class(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs without those that a row of a smaller id stands for; rows without an id stay."""
+    classes = jaccard_components(docs, n, percent, text_col, id_col)
+    gone = materialize(classes.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "near-duplicates")
+    return docs.join(gone, id_col, "left_anti")
+
+
 def _blocks(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of tiles that still span several components: sets outside a tile's largest component against all its sets, in blocks."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))

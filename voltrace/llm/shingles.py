@@ -46,11 +46,11 @@ def shingle_set(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    return max(64, 1 << (size - 1).bit_length())
+    return max(64, 1 << (4 * size - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Hashed bitmap of a set: as many bits as the next power of two; low bits decide, so halves fold together."""
+    """Hashed bitmap of a set: four to eight bits a token, a power of two; low bits decide, so halves fold together."""
     bits = np.zeros(bits_for(max(1, len(tokens))), np.uint8)
     bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
