@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import scratch_path
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .kneser_ney import kn_quality
 from .lm_scoring import lm_scores
 from .mixing import mix_plan
 from .packing import best_fit_packing
@@ -58,6 +59,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_documents(spark, sf_dir))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_documents(spark, sf_dir))
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_lm_scoring": op7_lm_scoring,
+        "op8_kneser_ney": op8_kneser_ney,
         "op9_pii": op9_pii,
         "op10_mixing": op10_mixing,
     }
