@@ -26,6 +26,17 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = 60 // COUNTS
 
 
+def _too_narrow(ids: np.ndarray) -> np.ndarray:
+    """Number of selectors too narrow for each id."""
+    out = np.zeros(len(ids), np.uint8)
+    for width in WIDTHS.tolist():
+        out += ids >= np.uint64(1 << width)
+    return out
+
+
+_SMALL = _too_narrow(np.arange(1 << 16, dtype=np.uint64))
+
+
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
     """(words, word offset of each block and the end)."""
     n = len(ids)
@@ -37,19 +48,18 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     at = np.arange(n, dtype=np.int32)
     left = np.minimum(block_ids - at % block_ids, n - at).astype(np.int32)  # ids to the end of the block
     choice, takes = np.full(n, len(COUNTS) - 1, np.int8), np.ones(n, np.int32)
-    top = int(ids.max()).bit_length()
+    narrow = _too_narrow(ids) if int(ids.max()) >= len(_SMALL) else _SMALL[ids.astype(np.int64)]
     for s in range(len(COUNTS) - 2, -1, -1):  # from few wide ids to many narrow ones
-        count, width = int(COUNTS[s]), int(WIDTHS[s])
-        if width >= top:
-            fits = np.minimum(left, count)
-        else:
-            wide = ids >= np.uint64(1 << width)
-            until = np.where(wide, at, np.int32(n + block_ids))
-            until = np.minimum.accumulate(until[::-1])[::-1] - at  # ids before the next that is too wide
-            fits = np.where(until >= np.minimum(left, count), np.minimum(left, count), 0)
-        better = fits > takes
-        choice[better] = s
-        takes[better] = fits[better]
+        count = int(COUNTS[s])
+        wide = np.flatnonzero(narrow > s)
+        begin = np.concatenate([[0], wide + 1])
+        places = np.concatenate([wide, [n]]) - begin - (count - 1)  # places in each run of narrow ids where count of them begin
+        runs = np.flatnonzero(places > 0)
+        places, begin = places[runs], begin[runs]
+        start = np.repeat(begin - (np.cumsum(places) - places), places) + np.arange(places.sum())
+        start = start[left[start] >= count]
+        choice[start] = s
+        takes[start] = count
     # walk all blocks in step
     starts = np.arange(0, n, block_ids, dtype=np.int64)
     ends = np.minimum(starts + block_ids, n)

@@ -16,8 +16,10 @@ table gives an empty result; other columns are not written.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,33 +34,69 @@ from .simple8b import read_image, write_image
 END_ID = 1
 SEGMENT_IDS = 1 << 20
 #: Bounds of a worker's table of chunks; beyond them it starts anew.
-CACHE_CHUNKS, CACHE_IDS = 400_000, 4_000_000
+CACHE_CHUNKS, CACHE_IDS = 800_000, 6_000_000
+#: ASCII marks that may trail a word.
+MARKS = b".,;:!?|#*$%&\"()"
+#: A control character that is no white space.
+BETWEEN = b"\x1f"
 NO_ID = -(1 << 63)
 
 _CODERS: dict[str, ChunkCoder] = {}
 
 
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are first met."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ChunkCoder:
-    """Encodes texts chunk by chunk with a table of the chunks met so far."""
+    """Encodes texts chunk by chunk with a table of the chunks met so far.
+
+    ASCII letters are lowered first, as the vocabulary does anyway, and a run of marks behind a letter or digit
+    is coded by itself, since the vocabulary parts words there; so most new chunks are known words with other marks.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.between,) = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number, self.parts = _Numbers(), {}
         self.length, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
         self.start = np.zeros(1024, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch([c.decode("utf-8", "surrogatepass") for c in new], add_special_tokens=False)
+        parts, split, missing = self.parts, [], []
+        for chunk in new:
+            core = chunk.rstrip(MARKS)
+            if core and len(core) < len(chunk) and (core[-1:].isalnum() if core[-1] < 128 else core.decode("utf-8", "surrogatepass")[-1].isalpha()):
+                mark = chunk[len(core) :]
+                split.append((core, mark))
+                if mark not in parts:
+                    parts[mark] = None
+                    missing.append(mark)
+            else:
+                core = chunk
+                split.append((core, None))
+            if core not in parts:
+                parts[core] = None
+                missing.append(core)
+        self._encode_parts(missing)
+        coded = [parts[c] if m is None else parts[c] + parts[m] for c, m in split]
         first = len(self.number) - len(new)
-        lists = [e.ids for e in coded]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), np.uint32)
         while first + len(new) > len(self.length):
             self.length, self.start = np.concatenate([self.length, self.length * 0]), np.concatenate([self.start, self.start * 0])
         while self.filled + len(flat) > len(self.ids):
@@ -68,33 +106,51 @@ class ChunkCoder:
         self.ids[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_parts(self, missing: list[bytes]) -> None:
+        """Many parts in one call, with a mark between them that the vocabulary keeps apart; parts that hold the mark or a special token's name go alone."""
+        alone = [c for c in missing if BETWEEN in c or b"<|" in c]
+        held = set(alone)
+        rest = [c for c in missing if c not in held] if alone else missing
+        groups = [[c] for c in alone] + [rest[i : i + 100] for i in range(0, len(rest), 100)]
+        texts = [(b" " + BETWEEN + b" ").join(g).decode("utf-8", "surrogatepass") for g in groups]
+        for g, coded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            data = array("I", coded.ids).tobytes()
+            if len(g) == 1:
+                self.parts[g[0]] = data
+            else:
+                ends = [4 * i for i, x in enumerate(coded.ids) if x == self.between] + [len(data)]
+                begin = 0
+                for chunk, end in zip(g, ends, strict=True):
+                    self.parts[chunk] = data[begin:end]
+                    begin = end + 4
+
+    def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each followed by end_id; ids per text)."""
         if len(self.number) > CACHE_CHUNKS or self.filled > CACHE_IDS:
             self.clear()
-        number, new, rows, sizes = self.number, [], [], []
+        number, rows = self.number, []
         for text in texts:
-            chunks = (text or "").encode("utf-8", "surrogatepass").split()
-            for c in chunks:
-                if c not in number:
-                    number[c] = len(number)
-                    new.append(c)
-            rows += [number[c] for c in chunks]
+            raw = text or b""
+            if b"<|" not in raw:  # names of special tokens are matched before letters are lowered
+                raw = raw.lower()
+            rows += map(number.__getitem__, raw.split())
             rows.append(-1)
-            sizes.append(len(chunks) + 1)
-        if new:
-            self._learn(new)
+        if number.new:
+            self._learn(number.new)
+            number.new = []
         row = np.array(rows, np.int64)
-        end = row < 0
+        end = np.flatnonzero(row < 0)
         row[end] = 0
-        length = np.where(end, 1, self.length[row])
+        length = self.length[row]
+        length[end] = 1
         stop = np.cumsum(length)
-        at = np.repeat(self.start[row] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)
+        at = np.repeat((self.start[row] - (stop - length)).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
         marks = stop[end] - 1
         at[marks] = 0
         ids = self.ids[at]
         ids[marks] = end_id
-        return ids, np.diff(np.concatenate([[0], marks + 1]))
+        return ids, np.diff(marks, prepend=-1)
 
 
 def coder(path: str) -> ChunkCoder:
@@ -122,13 +178,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, text_col:
             return pd.DataFrame([row], columns=["part", "seq", "part_start", "n_docs", "n_ids", "image"])
 
         tok = coder(tokenizer_path)
+        gc.disable()  # the tables hold no cycles, and are walked in vain
         for f in frames:
             texts, doc_ids = f["_text"].tolist(), f["_id"].tolist()
             at = 0
             while at < len(texts):  # a few MB of text at a time
                 stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars < 2_000_000):
-                    chars += len(texts[stop] or "")
+                while stop < len(texts) and (stop == at or chars < 4_000_000):
+                    chars += len(texts[stop] or b"")
                     stop += 1
                 got, per_doc = tok.encode(texts[at:stop], end_id)
                 ids.append(got)
@@ -140,8 +197,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, text_col:
                     yield flush()
         if names:
             yield flush()
+        gc.enable()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
     rows.repartitionByRange("_id").sortWithinPartitions("_id").mapInPandas(run, FILES).write.parquet(path)
 
 
