@@ -61,7 +61,7 @@ def test_age_counts_second_boundaries(spark):
 def test_bucket_origin(spark, width):
     import duckdb
 
-    expected = duckdb.sql(f"SELECT time_bucket(INTERVAL {width} SECOND, TIMESTAMP '2024-06-01 12:00:00')").fetchone()[0]
+    expected = duckdb.sql(f"SELECT time_bucket(INTERVAL {width} SECOND, TIMESTAMP '2024-06-01 12:00:00')").fetchall()[0][0]
     assert spark.range(1).select(bucket(at(NOW), width).alias("b")).first()["b"] == expected
 
 

@@ -136,6 +136,14 @@ class Engine:
         after = self.store.snapshot()
         return H.retention_report(before["signal_readings"], after["signal_readings"], after["signal_rollups"]).first().asDict()
 
+    def table_counts(self) -> DataFrame:
+        """Rows of every table."""
+        out = None
+        for name, df in self.store.snapshot().items():
+            one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     # plain SQL over the tables
     def select(self, sql: str, **args) -> list[Row]:
         """Rows of a statement over the tables, with named arguments."""
