@@ -114,7 +114,7 @@ def shard_by_splitters(
 
 
 def plan_shards(weight: dict[int, tuple[int, int]], n_light: int, first_piece: list[int], pieces: list[int], shards: int) -> dict[int, int]:
-    """The shard of every fine range: heavy keys first, whole if a shard has room; then runs of light ranges fill what is left."""
+    """The shard of every fine range: heavy keys first, whole if a shard has room (give or take a hundredth of a shard); then runs of light ranges fill what is left."""
     total = sum(b for b, _ in weight.values())
     quota = total / shards
     room = [quota] * shards
@@ -122,7 +122,7 @@ def plan_shards(weight: dict[int, tuple[int, int]], n_light: int, first_piece: l
     keys = sorted(((sum(weight.get(n_light + f + j, (0, 0))[0] for j in range(p)), f, p) for f, p in zip(first_piece, pieces, strict=True)), reverse=True)
     for size, first, n in keys:
         best = max(range(shards), key=lambda s: (room[s], -s))
-        whole = size <= room[best]
+        whole = size <= room[best] + quota / 100
         for j in range(n):
             r = n_light + first + j
             if r in weight:
