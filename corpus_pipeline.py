@@ -23,12 +23,12 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels, payload=docs.columns).filter("kept").select(*docs.columns)
+    return quality_rules(docs, labels, payload=docs.columns, prefix="_made_").filter("_made_kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal without white space."""
-    return exact_dedup(docs, payload=docs.columns).filter("kept").select(*docs.columns)
+    return exact_dedup(docs, payload=docs.columns, prefix="_made_").filter("_made_kept").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,10 +42,12 @@ def exact_dedup(
     min_chunk: int = MIN_CHUNK,
     max_chunk: int = MAX_CHUNK,
     digest_bytes: int = 32,
+    prefix: str = "",
 ) -> DataFrame:
     """Return id_col, the payload columns, keep_id, group_size, kept and text_sha256 for every row.
 
     payload: columns to carry along (for a filter that needs the rows themselves).
+    prefix: put before the names of the made columns, where payload has columns of the same names.
     digest_bytes: bytes of SHA-256 kept as a chunk's identifier; small values are for
     tests of the verification.
     """
@@ -85,10 +87,10 @@ def exact_dedup(
     return joined.select(
         F.col("_id").alias(id_col),
         *[F.col(k).alias(c) for k, c in zip(carried, payload, strict=True)],
-        "keep_id",
-        "group_size",
-        (F.col("_row") == F.col("_keep_row")).alias("kept"),
-        "text_sha256",
+        F.col("keep_id").alias(f"{prefix}keep_id"),
+        F.col("group_size").alias(f"{prefix}group_size"),
+        (F.col("_row") == F.col("_keep_row")).alias(f"{prefix}kept"),
+        F.col("text_sha256").alias(f"{prefix}text_sha256"),
     )
 
 

@@ -108,8 +108,12 @@ def mix_plan(
     seed: int = 7,
     payload: list[str] | None = None,
     max_sources: int = 100_000,
+    prefix: str = "",
 ) -> DataFrame:
-    """Per row: id_col, payload, size, source_size, target, taken and visits, an array of (epoch, shard, place, words)."""
+    """Per row: id_col, payload, size, source_size, target, taken and visits, an array of (epoch, shard, place, words).
+
+    prefix: put before the names of these columns, where payload has columns of the same names.
+    """
     spark = docs.sparkSession
     payload = [c for c in payload or [] if c != id_col]
     carried = {f"_p{k}": F.col(c) for k, c in enumerate(payload)}
@@ -171,11 +175,9 @@ def mix_plan(
     return placed.select(
         F.col("_id").alias(id_col),
         *[F.col(k).alias(c) for k, c in zip(carried, payload, strict=True)],
-        "size",
-        "source_size",
-        "target",
-        taken.alias("taken"),
-        "visits",
+        *[F.col(c).alias(prefix + c) for c in ("size", "source_size", "target")],
+        taken.alias(f"{prefix}taken"),
+        F.col("visits").alias(f"{prefix}visits"),
     )
 
 
@@ -185,6 +187,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A document whose visit counts less than half of its words is left out, so that rows are whole documents.
     """
     cols = docs.columns
-    plan = mix_plan(docs, payload=cols, **options)
-    rows = plan.select(*cols, "size", F.explode("visits").alias("_v")).filter(2 * F.col("_v.words") >= F.col("size"))
+    plan = mix_plan(docs, payload=cols, prefix="_made_", **options)
+    rows = plan.select(*cols, "_made_size", F.explode("_made_visits").alias("_v")).filter(2 * F.col("_v.words") >= F.col("_made_size"))
     return rows.select(*cols, F.col("_v.shard").alias("mix_shard"), F.col("_v.place").alias("mix_place"), F.col("_v.words").alias("mix_words"))

@@ -41,7 +41,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     good = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good")).dropna()
     good = good.groupBy("_id").agg(F.min("_good").alias("_good")).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(good), "_id")
-    got = rows.select("_good", "_text").mapInPandas(_sample_features, "good int, failed boolean, x array<double>").limit(2 * max_labels).toPandas()
+    got = rows.select("_good", "_text").mapInPandas(_sample_features, "good int, failed boolean, x array<double>").limit(2 * max_labels).toArrow().to_pandas()
     got = got[~got["failed"].astype(bool)] if len(got) else got
     if not len(got):
         return None
@@ -55,8 +55,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     return forest, float(min(0.0, np.quantile(scores, 1 - keep_good, method="lower")))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", payload: list[str] | None = None, **fit) -> DataFrame:
-    """id_col, the payload columns, the base counts, base_failed, score (log-odds, null without a model) and kept."""
+def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", payload: list[str] | None = None, prefix: str = "", **fit) -> DataFrame:
+    """id_col, the payload columns, the base counts, base_failed, score (log-odds, null without a model) and kept.
+
+    prefix: put before the names of these columns, where payload has columns of the same names.
+    """
     model = fit_quality(docs, labels, text_col, id_col, **fit)
     payload = [c for c in payload or [] if c != id_col]
     names = [f"_p{k}" for k in range(len(payload))]
@@ -83,4 +86,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
             yield out
 
     result = src.mapInPandas(run, schema)
-    return result.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(names, payload, strict=True)], *COUNTS, "base_failed", F.nanvl("score", F.lit(None)).alias("score"), "kept")
+    return result.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(names, payload, strict=True)], *[F.col(c).alias(prefix + c) for c in (*COUNTS, "base_failed")], F.nanvl("score", F.lit(None)).alias(f"{prefix}score"), F.col("kept").alias(f"{prefix}kept"))
