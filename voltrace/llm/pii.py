@@ -49,7 +49,7 @@ def fit_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tra
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     chosen = src.select("_id").dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
     rows = src.join(F.broadcast(chosen), "_id").select("_text").filter(F.col("_text").rlike("[0-9@]"))  # train_docs rows at most
-    got = rows.mapInPandas(_examples, "features array<array<int>>, edges array<array<int>>, labels array<int>").toPandas()
+    got = rows.mapInPandas(_examples, "features array<array<int>>, edges array<array<int>>, labels array<int>").toArrow().to_pandas()
     if not len(got):
         return None
     got = sorted(zip(([[list(x) for x in f] for f in got["features"]]), ([[list(x) for x in e] for e in got["edges"]]), (list(x) for x in got["labels"]), strict=True))
