@@ -116,7 +116,7 @@ def best_fit_packing(
     # counted before the shuffle, so only two numbers a row are moved
     rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)))
 
-    def pack_group(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "n_tokens"], kind="stable")
         n = frame["n_tokens"].to_numpy(np.int64)
         parts = -(-n // longest)
