@@ -17,8 +17,8 @@ def _newest(*ties: str) -> Column:
 def latest_readings(log: DataFrame) -> DataFrame:
     """Newest reading per vehicle and signal; ties go to the later arrival, then the greater packet id.
 
-    One hash aggregation with map-side combining instead of a window, so the log is
-    never sorted and a hot vehicle is reduced before the shuffle.
+    One aggregation with map-side combining instead of a window, so the log is never
+    shuffled and a hot vehicle is reduced inside each task.
     """
     newest = F.max_by(F.struct("event_time", "value"), _newest("ingest_time", "packet_id")).alias("r")
     return log.groupBy(*KEY).agg(newest).select(*KEY, "r.event_time", "r.value")
