@@ -8,9 +8,12 @@ the packing are tested against brute-force versions instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrace.llm.common import materialize
+from voltrace.llm.common import materialize, release_scratch, scratch_mark
 from voltrace.llm.exact_dedup import exact_dedup
 from voltrace.llm.jaccard_join import one_of_each_class
 from voltrace.llm.mixing import mix
@@ -19,29 +22,51 @@ from voltrace.llm.quality_rules import quality_rules
 
 ORACLE_SQL = None
 
+_written: list[tuple[int, int]] = []
+
+
+def _stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the scratch tables of the stage before, whose result is stored by then."""
+
+    @wraps(build)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _written:
+            release_scratch(*_written.pop())
+        begin = scratch_mark()
+        result = build(spark, docs, sf_dir)
+        _written.append((begin, scratch_mark()))
+        return result
+
+    return stage
+
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, labels, payload=docs.columns, prefix="_made_").filter("_made_kept").select(*docs.columns)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal without white space."""
     return exact_dedup(docs, payload=docs.columns, prefix="_made_").filter("_made_kept").select(*docs.columns)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
     return one_of_each_class(docs, n=5, percent=80)
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, shuffled inside shards."""
     columns = docs.columns
     return mix(docs).sortWithinPartitions("mix_shard", "mix_place").select(*columns)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
     return best_fit_packing(docs)

@@ -17,6 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SCRATCH: list[tuple[object, str]] = []
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let texts go to Python workers at most `rows` at a time, which bounds the memory of both sides; a lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
     sc = spark.sparkContext
@@ -53,11 +60,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_mark() -> int:
+    """A mark to name what is written to the scratch folder from now on."""
+    return len(_SCRATCH)
+
+
 @atexit.register
-def release_scratch() -> None:
-    """Delete every table that materialize() wrote; called at exit, or earlier once the results are stored."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+def release_scratch(begin: int = 0, end: int | None = None) -> None:
+    """Delete the tables that materialize() wrote between two marks; called at exit for all, or earlier once the results made of them are stored."""
+    for k in range(begin, len(_SCRATCH) if end is None else end):
+        spark, path = _SCRATCH[k]
+        if not path:
+            continue
+        _SCRATCH[k] = (spark, "")
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .doc_stats import COUNTS, FEATURES, MONOTONE, fails_base, statistics
 from .gbdt import Forest, train
 
@@ -60,10 +61,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
 
     prefix: put before the names of these columns, where payload has columns of the same names.
     """
+    small_batches(docs.sparkSession)
     model = fit_quality(docs, labels, text_col, id_col, **fit)
     payload = [c for c in payload or [] if c != id_col]
     names = [f"_p{k}" for k in range(len(payload))]
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(k) for k, c in zip(names, payload, strict=True)])
+    text = names[payload.index(text_col)] if text_col in payload else "_text"  # the text travels once
+    src = docs.select(F.col(id_col).alias("_id"), *([] if text_col in payload else [F.col(text_col).alias("_text")]), *[F.col(c).alias(k) for k, c in zip(names, payload, strict=True)])
     schema = T.StructType([f for f in src.schema.fields if f.name != "_text"])
     for c in COUNTS:
         schema = schema.add(c, T.LongType())
@@ -71,8 +74,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            stats = [statistics(t) for t in f["_text"]]
-            out = f.drop(columns="_text")
+            stats = [statistics(t) for t in f[text]]
+            out = f.drop(columns="_text", errors="ignore")
             counts = np.array([c for c, _ in stats], np.int64).reshape(-1, len(COUNTS))
             for k, c in enumerate(COUNTS):
                 out[c] = counts[:, k]
