@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize
+from .common import join_groups, materialize, small_batches
 from .components import connected_components
 from .shingles import WordHashes, bitmap, enough, fold, intersection, overlap_bound, segment_keys, shingle_set
 
 #: Words kept in a worker's table of hashes before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 BLOCK = 256
+#: Rows (24 bytes each) up to which a table is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def _features(n: int, percent: int):
@@ -123,10 +125,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col:
 
     Two texts link when 100 * shared shingles >= percent * all shingles of both; percent above 67.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     features = materialize(src.mapInPandas(_features(n, percent), "_id long, n_shingles long, _digest binary, _bits binary, _keys array<long>"), "shingle-features")
     classes = materialize(features.filter("n_shingles > 0").groupBy("_digest").agg(F.min("_id").alias("rep"), F.count("*").alias("_n")), "shingle-classes")
-    reps = features.filter("n_shingles > 0").join(classes.select("_digest", F.col("rep").alias("_id")), ["_digest", "_id"], "left_semi")
+    full_sets = features.filter("n_shingles > 0")
+    n_rows = features.count()
+    copies = join_groups(full_sets.select("_digest", "_id"), classes.filter("_n > 1"), ["_digest"], "_n", n_rows).filter("_id <> rep").select("_digest", "_id")
+    copies = materialize(copies, "copies")
+    small = copies.count() <= MOST_BROADCAST  # else joined by a shuffle
+    reps = full_sets.filter("_id IS NOT NULL").join(F.broadcast(copies) if small else copies, ["_digest", "_id"], "left_anti")
     meta = reps.select(F.col("_id").alias("id"), F.col("n_shingles").alias("size"), F.col("_bits").alias("bits"))
     keys = reps.select(F.explode("_keys").alias("key"), F.col("_id").alias("id"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
@@ -157,13 +165,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col:
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        links = materialize(links.union(verify(pairs)), "links")
-        labels = connected_components(links)
+        found = verify(pairs)
         tested = materialize(tested.union(pairs), "pairs-tested")
+        if not found.isEmpty():
+            links = materialize(links.union(found), "links")
+            labels = connected_components(links)
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("_digest", "_n", F.coalesce("label", "rep").alias("component_id"))
     rows = features.select("_id", "n_shingles", "_digest")
-    full = join_groups(rows.filter("n_shingles > 0"), named, ["_digest"], "_n", features.count())
+    full = join_groups(rows.filter("n_shingles > 0"), named, ["_digest"], "_n", n_rows)
     empty = rows.filter("n_shingles = 0").withColumn("component_id", F.col("_id"))
     return full.select("_id", "n_shingles", "component_id").unionByName(empty.select("_id", "n_shingles", "component_id")).withColumnRenamed("_id", id_col)
 
