@@ -1,0 +1,21 @@
+"""Counts of words beyond the head reach the score."""
+
+import zlib
+
+from voltrace.llm.lm_scoring import lm_scores
+
+
+def test_tail_counts_reach_the_score(spark):
+    long = ["z" * 40 + c for c in "ab"]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(400, 900) if zlib.crc32(str(i).encode()) % 7 == 2)
+
+    def scores(often, seldom):
+        texts = [f"the a of {often[0]} the {often[1]} to in" for _ in ids[:50]] + [f"the a of {w} to in" for w in seldom] + ["the a of to in"] * 200
+        rows = [*zip(ids, texts, strict=False), (held, "qxa"), (held, "qxb"), (held, long[0]), (held, long[1])]
+        got = lm_scores(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, name string"), payload=["name"], head=4, pairs=8, sample_words=3000)
+        return {r["name"]: r["score"] for r in got.collect() if r["doc_id"] == held}
+
+    one, two = scores(("qxa", long[0]), ("qxb", long[1])), scores(("qxb", long[1]), ("qxa", long[0]))
+    for often, seldom in (("qxa", "qxb"), (long[0], long[1])):
+        assert one[often] - two[often] > 0.5 and two[seldom] - one[seldom] > 0.5
