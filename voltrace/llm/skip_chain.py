@@ -4,7 +4,7 @@ Nodes are the words with a digit or an at sign; all other words are fixed to the
 `none`, so a text without such words has no nodes. Neighbouring words are joined by
 chain edges. Skip edges join each word with the next one of the same core
 and with the next one of the same form (digits and letters alike, same first letters), wherever it
-stands. Labels come from loopy sum-product message passing over all edges of a batch
+stands, unless a chain edge joins the two already. Labels come from loopy sum-product message passing over all edges of a batch
 of texts at once, so evidence at one occurrence decides all of them together.
 
 Weights are fitted by pseudo-likelihood to labels that the exact patterns and one rule for
@@ -109,12 +109,13 @@ def graph(text: str | None) -> Graph:
             g.spans.append((a, b))
             g.cores.append(word)
             g.cues.append(one in CUES or two in CUES)
-            if n and text[last_end:begin].strip(" \t\n\x0b\x0c\r") == "":
-                g.edges.append((n - 1, n, CHAIN))
-            if word in seen_core and seen_core[word] != n - 1:
+            chained = n - 1 if n and text[last_end:begin].strip(" \t\n\x0b\x0c\r") == "" else None
+            if chained is not None:
+                g.edges.append((chained, n, CHAIN))
+            if word in seen_core and seen_core[word] != chained:
                 g.edges.append((seen_core[word], n, SAME))
             alike = f"{form}|{word[:4].lower()}|{len(word)}"
-            if alike in seen_shape and seen_shape[alike] != n - 1 and g.cores[seen_shape[alike]] != word:
+            if alike in seen_shape and seen_shape[alike] != chained and g.cores[seen_shape[alike]] != word:
                 g.edges.append((seen_shape[alike], n, ALIKE))
             seen_core[word] = seen_shape[alike] = n
         last_end = end
