@@ -1,6 +1,8 @@
 """Edges of the skip-chain field."""
 
-from voltrace.llm.skip_chain import ALIKE, CHAIN, SAME, graph
+import numpy as np
+
+from voltrace.llm.skip_chain import ALIKE, BUCKETS, CHAIN, LABELS, N_LABELS, SAME, Weights, _bucket, graph, infer
 
 SECRET = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 
@@ -10,3 +12,12 @@ def test_repeats_with_plain_words_between_are_joined():
     assert graph(f"{SECRET[:-1]}3 then far away {SECRET} again").edges == [(0, 1, ALIKE)]
     assert graph(f"{SECRET} {SECRET} again").edges == [(0, 1, CHAIN)]
     assert graph(f"{SECRET} and 7 or {SECRET}").edges == [(0, 2, SAME)]
+
+
+def test_one_cue_decides_all_repeats():
+    unary, pair = np.zeros((BUCKETS, N_LABELS)), np.zeros((3, N_LABELS, N_LABELS))
+    unary[_bucket("cue", True, True), LABELS.index("secret")] = 10
+    pair[SAME] = 3 * np.eye(N_LABELS)
+    g = graph(f'token = "{SECRET}" then' + f" far away {SECRET}" * 40)
+    labels = infer(Weights(unary, pair), np.array(g.features), np.array(g.edges))
+    assert labels.tolist() == [LABELS.index("secret")] * 41

@@ -2,8 +2,8 @@
 
 Nodes are the words with a digit or an at sign; all other words are fixed to the label
 `none`, so a text without such words has no nodes. Neighbouring words are joined by
-chain edges. Skip edges join each word with the next one of the same core
-and with the next one of the same form (digits and letters alike, same first letters), wherever it
+chain edges. Skip edges join each word with the first one of the same core, so that all repeats
+are two edges apart at most, and with the next one of the same form (digits and letters alike, same first letters), wherever it
 stands, unless a chain edge joins the two already. Labels come from loopy sum-product message passing over all edges of a batch
 of texts at once, so evidence at one occurrence decides all of them together.
 
@@ -117,7 +117,8 @@ def graph(text: str | None) -> Graph:
             alike = f"{form}|{word[:4].lower()}|{len(word)}"
             if alike in seen_shape and seen_shape[alike] != chained and g.cores[seen_shape[alike]] != word:
                 g.edges.append((seen_shape[alike], n, ALIKE))
-            seen_core[word] = seen_shape[alike] = n
+            seen_core.setdefault(word, n)
+            seen_shape[alike] = n
         last_end = end
         m = ANY.search(text, end) if end < len(text) else None
     return g
