@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: The white space that all operators of this subpackage know (fixed values: space and U+0009 to U+000D).
 SPACES = " \t\n\x0b\x0c\r"
@@ -80,6 +81,13 @@ def release_scratch(begin: int = 0, end: int | None = None) -> None:
             pass
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Refuse ids that are not whole numbers, before any work is done."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; this operator orders and compares documents by whole-number ids")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

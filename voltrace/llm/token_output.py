@@ -6,11 +6,11 @@ row of a Parquet table because Spark's writers reach every store: its columns na
 place of the file in the order (part, seq), so the files are the table's rows.
 
 Tokenizing works by chunks between ASCII spaces: the vocabulary drops white space and
-never joins across it, so a chunk's ids do not depend on its neighbours, and frequent
+never joins across it, and no ASCII space composes with a mark, so a chunk's ids do not depend on its neighbours, and frequent
 chunks are looked up. Only the order's totals per part (one row per partition) are summed in one place.
 
-Defined results: null and empty texts give the end id alone; rows repeated with the
-same id are documents of their own, side by side; rows without an id come first, as id null, in the order; an empty
+Defined results: ids are whole numbers, other kinds are refused; null and empty texts give the end id alone; rows repeated with the
+same id are documents of their own, side by side, in the order of a hash of their texts (so one id may fill several partitions); rows without an id come first, as id null, in the order; an empty
 table gives an empty result; other columns are not written.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import small_batches, whole_ids
 from .simple8b import read_image, write_image
 
 END_ID = 1
@@ -57,11 +58,18 @@ class _Numbers(dict):
         return n
 
 
+def _ends_in_letter(core: str) -> bool:
+    """The last character is, and stays when composed and lowered, a letter of Latin, Greek or Cyrillic (on which all versions of Unicode agree)."""
+    return "\u00c0" <= core[-1] < "\u0500" and unicodedata.normalize("NFC", core).lower()[-1].isalpha() and core[-1].isalpha()
+
+
 class ChunkCoder:
     """Encodes texts chunk by chunk with a table of the chunks met so far.
 
-    ASCII letters are lowered first, as the vocabulary does anyway, and a run of marks behind a letter or digit
-    is coded by itself, since the vocabulary parts words there; so most new chunks are known words with other marks.
+    ASCII letters are lowered first, as the vocabulary does anyway, but only in texts without combining
+    marks: the vocabulary composes letters and marks before it lowers them, and some pairs compose in one case only. A run of
+    punctuation behind a letter or digit is coded by itself, since the vocabulary parts words there; so most
+    new chunks are known words with other punctuation.
     """
 
     def __init__(self, path: str):
@@ -81,7 +89,7 @@ class ChunkCoder:
         parts, split, missing = self.parts, [], []
         for chunk in new:
             core = chunk.rstrip(MARKS)
-            if core and len(core) < len(chunk) and (core[-1:].isalnum() if core[-1] < 128 else core.decode("utf-8", "surrogatepass")[-1].isalpha()):
+            if core and len(core) < len(chunk) and (core[-1:].isalnum() if core[-1] < 128 else _ends_in_letter(core.decode("utf-8", "surrogatepass"))):
                 mark = chunk[len(core) :]
                 split.append((core, mark))
                 if mark not in parts:
@@ -132,7 +140,8 @@ class ChunkCoder:
         number, rows = self.number, []
         for text in texts:
             raw = text or b""
-            if b"<|" not in raw:  # names of special tokens are matched before letters are lowered
+            # names of special tokens are matched before letters are lowered; 0xCC and 0xCD begin the marks that compose with ASCII letters
+            if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
                 raw = raw.lower()
             rows += map(number.__getitem__, raw.split())
             rows.append(-1)
@@ -201,8 +210,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, text_col:
         gc.enable()
 
     small_batches(docs.sparkSession)
+    whole_ids(docs, id_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
-    rows.repartitionByRange("_id").sortWithinPartitions("_id").mapInPandas(run, FILES).write.parquet(path)
+    order = ["_id", F.xxhash64("_text")]  # the hash splits rows of one id
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text").mapInPandas(run, FILES).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
