@@ -2,20 +2,23 @@
 
 1. Sizes per source give word targets: shares by weight, stopped at a multiple of the
    source's size, the excess shared again by weight until no source is above its stop.
-2. Each source is dealt into blocks by a hash; blocks are permuted by another hash, and
-   documents inside a block by a third. A source's target is read off that order:
-   whole epochs first, then the blocks up to the target; the last document may count in part.
-3. The visits to blocks are integer quotas per source. A binary tree over the output
-   shards splits the quota vector exactly: at every node the left half's share is drawn from the
-   multivariate hypergeometric distribution. Each shard then owns a run of visit numbers
-   of each source's permuted blocks, disjoint from all others, and shuffles locally by hash.
+2. Each source is dealt into blocks by a hash, and its blocks are permuted. A target is a quota of
+   visits to blocks: whole epochs over all blocks, then the first blocks of the permutation up to the one
+   in which the target is reached (found by sums over runs of blocks, then over the blocks of
+   one run, then over the rows of one block, so no source is ever summed up in one task).
+3. A binary tree over the output shards splits the quota vector exactly: at every node the left
+   half's share is drawn from the multivariate hypergeometric distribution. Each shard then
+   draws its quota of permuted blocks, disjoint from those of all others, and shuffles their documents by a
+   hash. What is taken of a document is the sum over the shards' draws.
 
 Only one row per source (and source x shard) reaches the driver: mixing weights are
 stated per source, so sources are few; above max_sources it raises an error rather than going on.
-All draws come from hashes and a seeded generator, so reruns agree.
+All draws come from hashes of id and text and from a seeded generator, so reruns agree however rows are partitioned.
 
 Defined results: null text has size 0; null sources are a source of their own, last in order; an
-empty table gives an empty result; repeated rows are rows of their own; other columns pass untouched.
+empty table gives an empty result; repeated rows are rows of their own, and where a target ends
+among rows that are equal in id and text, each of them counts with the same part of its words; a source without
+words is not drawn from; ids may be of any type; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from .common import materialize, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_ROWS = 512
+#: Blocks that are summed up together before one of them is looked into.
+RUN_BLOCKS = 4096
+#: Rows up to which the ends of all sources are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def word_targets(sizes: list[int], weights: list[float], share: float = 1.5, stop: float = 2.0) -> list[float]:
@@ -78,21 +85,29 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """One draw; counts beyond what numpy takes are drawn from the normal law and clipped to what is possible."""
+    """One exact draw. Beyond what numpy takes, by inversion: the law's ratios are multiplied up around its mode, as far as double precision reaches."""
     lo, hi = max(0, take - bad), min(good, take)
     if lo == hi:
         return lo
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, take))
     n = good + bad
-    mean = take * good / n
-    sd = math.sqrt(max(mean * (bad / n) * ((n - take) / max(n - 1, 1)), 0.0))
-    return min(hi, max(lo, round(rng.normal(mean, sd))))
+    mode = min(hi, max(lo, (good + 1) * (take + 1) // (n + 2)))
+    sd = math.sqrt(take * (good / n) * (bad / n) * ((n - take) / (n - 1)))
+    k = np.arange(max(lo, mode - int(12 * sd) - 60), min(hi, mode + int(12 * sd) + 60) + 1)
+    x = k[:-1].astype(np.float64)
+    steps = np.log(good - x) + np.log(take - x) - np.log(x + 1) - np.log(bad - take + x + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    law = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(int(np.searchsorted(law, rng.random() * law[-1])), len(k) - 1)])
 
 
-def _hash32(*parts: Column | str) -> Column:
-    """A non-negative number from the first 8 hex digits of md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])), 1, 8), 16, 10).cast("long")
+def permutation(blocks: int, rng: np.random.Generator) -> tuple[int, int]:
+    """(a, c) such that block b has rank (a * b + c) mod blocks, a bijection. The blocks are random sets already."""
+    while True:
+        a = int(rng.integers(1, max(2, min(blocks, 1 << 31))))
+        if math.gcd(a, blocks) == 1:
+            return a, int(rng.integers(0, blocks))
 
 
 def mix_plan(
@@ -122,7 +137,7 @@ def mix_plan(
         F.col(source_col).isNull().alias("_no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
         word_count(text_col).alias("size"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).alias("_mark"),
         *[c.alias(k) for k, c in carried.items()],
     )
     facts = materialize(facts, "mix-sizes")
@@ -131,48 +146,33 @@ def mix_plan(
         raise ValueError(f"more than {max_sources} sources; mixing weights are stated per source")
     stats.sort(key=lambda r: (r["_no_source"], r["_source"]))  # by code point, null last
     target = word_targets([r["words"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], share, stop)
-    source_schema = "_no_source boolean, _source string, _sid int, source_size long, target double, _goal long, _blocks long"
-    per_source = [(r["_no_source"], r["_source"], i, r["words"], float(t), round(t), max(1, -(-r["rows"] // block_rows))) for i, (r, t) in enumerate(zip(stats, target, strict=True))]
-    sources = F.broadcast(spark.createDataFrame(per_source, T._parse_datatype_string(source_schema)))  # one row per source, checked above
-
+    rng = np.random.default_rng(seed)
+    plan = []  # no source, source, its number, words, target, whole epochs, words of the last one, blocks, permutation
+    for i, (r, t) in enumerate(zip(stats, target, strict=True)):
+        blocks = max(1, -(-r["rows"] // block_rows))
+        plan.append((r["_no_source"], r["_source"], i, r["words"], float(t), *(divmod(round(t), r["words"]) if r["words"] else (0, 0)), blocks, *permutation(blocks, rng)))
+    sources = F.broadcast(spark.createDataFrame(plan, T._parse_datatype_string("_no_source boolean, _source string, _sid int, source_size long, target double, _full long, _rest long, _blocks long, _a long, _c long")))  # one row per source, checked above
     rows = facts.join(sources, ["_no_source", "_source"])
-    rows = rows.withColumn("_block", F.pmod(_hash32("block", str(seed), F.col("_id")), "_blocks"))
-    blocks = rows.groupBy("_sid", "_block", "_goal", "source_size", "_blocks").agg(F.sum("size").alias("_words"))
-    order = Window.partitionBy("_sid").orderBy("_turn", "_block")
-    blocks = blocks.withColumn("_turn", _hash32("turn", str(seed), F.col("_sid"), F.col("_block")))
-    blocks = blocks.withColumn("_rank", F.row_number().over(order).cast("long") - 1).withColumn("_before", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_words"))
-    blocks = materialize(blocks.select("_sid", "_block", "_rank", "_before", "_words", "_goal", "source_size"), "mix-blocks")
-
-    epochs = math.ceil(stop)
-    visits = blocks.select("_sid", *[(F.lit(e) * F.col("source_size") + F.col("_before") < F.col("_goal")).cast("long").alias(f"v{e}") for e in range(epochs)])
-    found = {r["_sid"]: [r[f"n{e}"] for e in range(epochs)] for r in visits.groupBy("_sid").agg(*[F.sum(f"v{e}").alias(f"n{e}") for e in range(epochs)]).collect()}
-    quotas = [sum(found.get(i, [0])) for i in range(len(stats))]
+    rows = rows.withColumn("_rank", F.pmod(F.pmod("_mark", "_blocks") * F.col("_a") + F.col("_c"), "_blocks"))
+
+    cuts, parts = _ends(rows)
+    quotas = [p[5] * p[7] + (cuts[p[2]][0] + 1 if p[2] in cuts else 0) for p in plan]
     tree = splitting_tree(quotas, shards, seed)
-    runs = []
-    for i in range(len(stats)):
-        at, per_epoch = 0, found.get(i, [0] * epochs)
-        ends = []
-        for s in range(shards):
-            at += tree[s][i]
-            ends.append(at)
-        runs.append((i, ends, [sum(per_epoch[:e]) for e in range(epochs)]))
-    runs_df = F.broadcast(spark.createDataFrame(runs, T._parse_datatype_string("_sid int, _ends array<long>, _first array<long>")))
-
-    in_block = Window.partitionBy("_sid", "_block").orderBy("_mark", "_id", "_row")
-    rows = rows.withColumn("_mark", _hash32("mark", str(seed), F.col("_id")))
-    placed = rows.withColumn("_into", F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    placed = placed.join(blocks.select("_sid", "_block", "_rank", "_before"), ["_sid", "_block"]).join(runs_df, "_sid")
-    start = F.col("_before") + F.col("_into")
+    ends = [(i, np.cumsum([tree[s][i] for s in range(shards)]).tolist(), cuts[i][0] if i in cuts else -1) for i in range(len(plan))]
+    runs = F.broadcast(spark.createDataFrame(ends, T._parse_datatype_string("_sid int, _ends array<long>, _cut long")))
+    drawn = rows.join(runs, "_sid").join(parts, ["_sid", "_mark", "size"], "left")
 
     def visit(e: int) -> Column:
-        words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_goal") - F.lit(e) * F.col("source_size") - start))
-        number = F.element_at("_first", e + 1) + F.col("_rank")
+        """The draw of the row's block in epoch e, by the shard in whose run its number lies."""
+        number = F.lit(e) * F.col("_blocks") + F.col("_rank")
         shard = F.size(F.filter("_ends", lambda x: x <= number)).cast("int")
-        return F.struct(F.lit(e).alias("epoch"), shard.alias("shard"), _hash32("place", str(seed), F.lit(e), F.col("_id")).alias("place"), words.cast("long").alias("words"))
+        last = F.when(F.col("_rank") < F.col("_cut"), F.col("size")).when(F.col("_rank") == F.col("_cut"), F.col("_part"))
+        words = F.when(F.col("_full") > e, F.col("size")).when(F.col("_full") == e, last)
+        return F.struct(F.lit(e).alias("epoch"), shard.alias("shard"), F.xxhash64(F.lit("place"), F.lit(seed), F.lit(e), F.col("_mark")).alias("place"), words.cast("long").alias("words"))
 
-    placed = placed.withColumn("visits", F.filter(F.array(*[visit(e) for e in range(epochs)]), lambda v: v["words"] > 0))
+    drawn = drawn.withColumn("visits", F.filter(F.array(*[visit(e) for e in range(math.ceil(stop))]), lambda v: v["words"].isNotNull() & (v["shard"] < shards)))
     taken = F.aggregate("visits", F.lit(0).cast("long"), lambda a, v: a + v["words"])
-    return placed.select(
+    return drawn.select(
         F.col("_id").alias(id_col),
         *[F.col(k).alias(c) for k, c in zip(carried, payload, strict=True)],
         *[F.col(c).alias(prefix + c) for c in ("size", "source_size", "target")],
@@ -181,12 +181,36 @@ def mix_plan(
     )
 
 
+def _ends(rows: DataFrame) -> tuple[dict[int, tuple[int, int]], DataFrame]:
+    """Where the last epoch of each source ends: {source: (rank of its last block, words before it)}, and that block's rows with the words that count."""
+    blocks = rows.filter("_rest > 0").groupBy("_sid", "_rank", "_rest").agg(F.sum("size").alias("_words"))
+    blocks = materialize(blocks.withColumn("_run", F.floor(F.col("_rank") / RUN_BLOCKS).cast("long")), "mix-blocks")
+
+    def reached(sums: DataFrame, by: str, already: Column) -> DataFrame:
+        order = Window.partitionBy("_sid").orderBy(by)
+        upto = sums.withColumn("_before", already + F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_words"))
+        return upto.filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest"))).select("_sid", by, "_before")
+
+    run = reached(blocks.groupBy("_sid", "_run", "_rest").agg(F.sum("_words").alias("_words")), "_run", F.lit(0))
+    inside = blocks.join(F.broadcast(run.withColumnRenamed("_before", "_already")), ["_sid", "_run"])  # a row per source
+    cuts = {r["_sid"]: (r["_rank"], r["_before"]) for r in reached(inside, "_rank", F.col("_already")).collect()}
+    spark = rows.sparkSession
+    table = F.broadcast(spark.createDataFrame([(i, *c) for i, c in cuts.items()], "_sid int, _rank long, _before long"))
+    last = rows.join(table, ["_sid", "_rank"]).groupBy("_sid", "_mark", "size", "_rest", "_before").agg(F.count("*").alias("_copies"))
+    order = Window.partitionBy("_sid").orderBy(F.xxhash64(F.lit("order"), "_mark"), "_mark", "size")
+    whole = F.col("size") * F.col("_copies")
+    left = F.col("_rest") - F.col("_before") - F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + whole
+    part = F.when(left >= whole, F.col("size")).otherwise(F.round(left / F.col("_copies")).cast("long"))
+    parts = materialize(last.withColumn("_left", left).filter("_left > 0").select("_sid", "_mark", "size", part.alias("_part")), "mix-ends")
+    return cuts, F.broadcast(parts) if parts.count() <= MOST_BROADCAST else parts
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: all columns of docs once per visit, with mix_shard, mix_place and mix_words, to be sorted by place inside each shard.
 
-    A document whose visit counts less than half of its words is left out, so that rows are whole documents.
+    Rows are whole documents; of the last one or few of a source only mix_words count towards its target.
     """
     cols = docs.columns
     plan = mix_plan(docs, payload=cols, prefix="_made_", **options)
-    rows = plan.select(*cols, "_made_size", F.explode("_made_visits").alias("_v")).filter(2 * F.col("_v.words") >= F.col("_made_size"))
+    rows = plan.select(*cols, F.explode("_made_visits").alias("_v"))
     return rows.select(*cols, F.col("_v.shard").alias("mix_shard"), F.col("_v.place").alias("mix_place"), F.col("_v.words").alias("mix_words"))

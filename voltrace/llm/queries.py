@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch_path
 from .exact_dedup import exact_dedup
@@ -68,7 +69,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """visits: epoch:shard:words of each draw; taken is the sum of their words."""
+    visits = F.array_join(F.transform("visits", lambda v: F.concat_ws(":", v["epoch"], v["shard"], v["words"])), ",")
+    return mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", visits.alias("visits"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
