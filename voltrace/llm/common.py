@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SCRATCH: list[tuple[object, str]] = []
+_collected = 0.0
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -43,16 +47,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    global _collected
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has just been written
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    if time.monotonic() - _collected > 2:
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has been written
+        _collected = time.monotonic()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_table = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -67,11 +73,12 @@ def scratch_mark() -> int:
 
 
 @atexit.register
-def release_scratch(begin: int = 0, end: int | None = None) -> None:
-    """Delete the tables that materialize() wrote between two marks; called at exit for all, or earlier once the results made of them are stored."""
+def release_scratch(begin: int = 0, end: int | None = None, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that were written between two marks, but for those of keep; called at exit for all."""
+    kept = {df.scratch_table for df in keep}
     for k in range(begin, len(_SCRATCH) if end is None else end):
         spark, path = _SCRATCH[k]
-        if not path:
+        if not path or path in kept:
             continue
         _SCRATCH[k] = (spark, "")
         try:
@@ -81,6 +88,20 @@ def release_scratch(begin: int = 0, end: int | None = None) -> None:
             pass
 
 
+def with_scratch(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Give the result of build a method release(): it deletes the scratch tables that the result is read from, and is for the caller to call once the result is stored. Else they go at exit."""
+
+    @wraps(build)
+    def run(*args, **options) -> DataFrame:
+        begin = scratch_mark()
+        result = build(*args, **options)
+        end = scratch_mark()
+        result.release = lambda: release_scratch(begin, end)
+        return result
+
+    return run
+
+
 def whole_ids(docs: DataFrame, id_col: str) -> None:
     """Refuse ids that are not whole numbers, before any work is done."""
     kind = docs.schema[id_col].dataType

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, join_groups, materialize, text_or_empty
 
-#: A chunk ends before an upper-case letter or digit that follows a sentence mark, at the earliest after MIN_CHUNK characters.
+#: A chunk ends behind one of these marks, at the earliest after MIN_CHUNK characters, or else after MAX_CHUNK characters.
 BOUNDARY = r"[.!?;:,|#*]"
 MIN_CHUNK, MAX_CHUNK = 1024, 4096
 
@@ -70,6 +70,7 @@ def exact_dedup(
             *carried,
         ),
         "recipes",
+        "zstd",
     )
     each = docs.select(F.explode(pieces).alias("_chunk")).select(digest(F.col("_chunk")).alias("_digest"), "_chunk").distinct()
     shared = each.groupBy("_digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("_digest")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, small_batches
+from .common import join_groups, materialize, release_scratch, scratch_mark, small_batches
 from .components import connected_components
 from .shingles import WordHashes, bitmap, enough, fold, intersection, overlap_bound, segment_keys, shingle_set
 
@@ -180,8 +180,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col:
 
 def one_of_each_class(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs without those that a row of a smaller id stands for; rows without an id stay."""
+    begin = scratch_mark()
     classes = jaccard_components(docs, n, percent, text_col, id_col)
     gone = materialize(classes.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "near-duplicates")
+    release_scratch(begin, keep=(gone,))
     return docs.join(gone, id_col, "left_anti")
 
 

@@ -140,7 +140,7 @@ def mix_plan(
         F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).alias("_mark"),
         *[c.alias(k) for k, c in carried.items()],
     )
-    facts = materialize(facts, "mix-sizes")
+    facts = materialize(facts, "mix-sizes", "zstd")
     stats = facts.groupBy("_no_source", "_source").agg(F.count("*").alias("rows"), F.sum("size").alias("words")).limit(max_sources + 1).collect()
     if len(stats) > max_sources:
         raise ValueError(f"more than {max_sources} sources; mixing weights are stated per source")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, with_scratch
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .kneser_ney import kn_quality
@@ -75,7 +75,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    """By name; results have a method release() that deletes their scratch tables."""
+    named = {
         "op1_sharding": op1_sharding,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_best_fit_packing": op3_best_fit_packing,
@@ -87,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_mixing": op10_mixing,
     }
+    return {name: with_scratch(query) for name, query in named.items()}
 
 
 OP6_SQL = r"""
