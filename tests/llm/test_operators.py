@@ -17,7 +17,7 @@ from voltrace.llm.jaccard_join import jaccard_components, one_of_each_class
 from voltrace.llm.kneser_ney import kn_quality
 from voltrace.llm.lm_scoring import lm_scores
 from voltrace.llm.mixing import mix, mix_plan, splitting_tree, word_targets
-from voltrace.llm.packing import LENGTHS, best_fit_packing, pack
+from voltrace.llm.packing import LENGTHS, pack
 from voltrace.llm.pii import find_pii
 from voltrace.llm.pii_rules import base_spans, digits_of, luhn
 from voltrace.llm.quality_rules import quality_rules
@@ -165,24 +165,6 @@ def test_pack_by_rule():
     assert pack([512, 512]) == ([0, 1], [0, 0], [512, 512]) or sum(pack([512, 512])[2]) == 1024
 
 
-def test_packing(docs, empty):
-    rows = best_fit_packing(docs, group_rows=50).collect()
-    want = Counter()
-    for i, t, *_ in ROWS:
-        want[i] += len((t or "").split()) + 1 if " " not in (t or "") else len((t or "").encode().split()) + 1
-    got = Counter()
-    for r in rows:
-        got[r["doc_id"]] += r["n_tokens"]
-    assert got == want
-    load, size = Counter(), {}
-    for r in rows:
-        load[r["bin_group"], r["bin"]] += r["n_tokens"]
-        size[r["bin_group"], r["bin"]] = r["bin_length"]
-        assert r["bin_offset"] + r["n_tokens"] <= r["bin_length"]
-    assert all(load[k] <= size[k] and not any(load[k] <= c < size[k] for c in LENGTHS) for k in load)
-    assert best_fit_packing(empty).count() == 0
-
-
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 1023, 1024, 1025, 40_000):

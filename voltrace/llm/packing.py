@@ -7,26 +7,31 @@ pieces that are still to come are laid into it on trial, and the cost of the len
 divided by the tokens it would hold. At the end every bin is downsized to the
 smallest permitted length that holds its contents.
 
-Documents longer than the longest length are cut into pieces of that length; the last piece is
-packed like any other. Rows are dealt by a hash of their id into groups of about group_rows;
-each group is packed by itself in one task, so memory is bounded and groups can be redone alone.
-Per group at most one bin of each length stays badly filled.
-
-Defined results: null or empty texts have the length of their end mark alone (1) and are
-packed too; an empty table gives an empty result; repeated rows are packed as rows of their own.
+Lengths are token ids of the given vocabulary, with an end id behind each document. Documents longer
+than the longest length are cut into pieces of that length; the last piece is
+packed like any other. Rows are dealt by a hash of their number in the table, whatever their id, into groups of about
+group_rows rows and group_bytes of text; each group is packed by itself in one task, so memory is bounded (by one group
+and the longest text) and groups can be redone alone. Per group at most one bin of each length stays badly filled.
+
+Defined results: null or empty texts are their end id alone and are
+packed too; an empty table gives an empty result; repeated rows are packed as rows of their own; of pieces of
+equal length the one that comes first in the table is placed first, of bins with equal room the one used last is filled;
+ids may be of any type and keep their column name; other columns are not carried (join them by id).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import word_count
+from .common import small_batches
+from .token_output import END_ID, coder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its length, in tokens.
@@ -97,44 +102,78 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = LENGTHS, overhead:
     return bin_of, offset, [capacities[bisect_left(capacities, u)] for u in used]
 
 
-SCHEMA = "doc_id long, piece int, start long, n_tokens long, bin_group long, bin int, bin_offset long, bin_length int"
+def _tokenized(tokenizer_path: str, end_id: int, kind: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = coder(tokenizer_path)
+        for f in frames:
+            texts, at = f["_text"].tolist(), 0
+            while at < len(texts):  # a few MB of text at a time
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size < 4_000_000):
+                    size += len(texts[stop] or b"")
+                    stop += 1
+                ids, lengths = tok.encode(texts[at:stop], end_id)
+                data, ends = memoryview(ids.astype(kind).tobytes()), np.cumsum(lengths) * int(kind[-1])
+                part = f.iloc[at:stop].drop(columns="_text")
+                part["_ids"] = [bytes(data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield part
+                at = stop
+
+    return run
 
 
 def best_fit_packing(
     docs: DataFrame,
+    tokenizer_path: str,
     text_col: str = "text",
     id_col: str = "doc_id",
     capacities: Sequence[int] = LENGTHS,
     overhead: int = OVERHEAD,
     group_rows: int = 8192,
+    group_bytes: int = 1 << 25,
+    end_id: int = END_ID,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, n_tokens (words, and an end mark on the last piece), bin_group, bin, bin_offset, bin_length."""
+    """One row per piece: id_col, piece, start, n_tokens, bin_group, bin, bin_offset, bin_length and ids, its token ids; see sequences()."""
+    from tokenizers import Tokenizer
+
+    small_batches(docs.sparkSession)
+    kind = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     capacities, longest = tuple(sorted(capacities)), max(capacities)
-    n_rows = docs.select(id_col).count()
-    groups = max(1, -(-n_rows // group_rows))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (word_count(text_col) + 1).alias("n_tokens"))
-    # counted before the shuffle, so only two numbers a row are moved
-    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
+    groups = max(1, -(-size["rows"] // group_rows), -(-(size["bytes"] or 0) // group_bytes))
+    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    rows = rows.mapInPandas(_tokenized(tokenizer_path, end_id, kind), T.StructType([*rows.schema.fields[:2], T.StructField("_ids", T.BinaryType())]))
+    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
 
     def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "n_tokens"], kind="stable")
-        n = frame["n_tokens"].to_numpy(np.int64)
+        frame = frame.sort_values("_row")
+        n = frame["_ids"].map(len).to_numpy(np.int64) // int(kind[-1])
         parts = -(-n // longest)
         row = np.repeat(np.arange(len(n)), parts)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        length = np.minimum(n[row] - piece * longest, longest)
+        start = piece * longest
+        length = np.minimum(n[row] - start, longest)
         bins, offsets, sizes = pack(length.tolist(), capacities, overhead)
+        ids = frame["_ids"].tolist()
         return pd.DataFrame({
-            "doc_id": frame["doc_id"].iloc[row].to_numpy(),
+            id_col: frame["_id"].iloc[row].to_numpy(),
             "piece": piece.astype(np.int32),
-            "start": piece * longest,
+            "start": start,
             "n_tokens": length,
             "bin_group": np.full(len(row), key[0], np.int64),
             "bin": np.asarray(bins, np.int32),
             "bin_offset": np.asarray(offsets, np.int64),
             "bin_length": np.asarray(sizes, np.int32)[np.asarray(bins, np.int64)] if len(row) else np.zeros(0, np.int32),
+            "ids": [np.frombuffer(ids[r], kind, k, a * int(kind[-1])).astype(np.int32) for r, a, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)],
         })
 
-    return rows.groupBy("bin_group").applyInPandas(pack_group, SCHEMA)
+    made = T._parse_datatype_string("piece int, start long, n_tokens long, bin_group long, bin int, bin_offset long, bin_length int, ids array<int>")
+    return rows.groupBy("bin_group").applyInPandas(pack_group, T.StructType([T.StructField(id_col, rows.schema["_id"].dataType), *made.fields]))
 
 
+def sequences(pieces: DataFrame, id_col: str = "doc_id", pad_id: int = 0) -> DataFrame:
+    """The packed training sequences: bin_group, bin, ids of the length of the bin, n_tokens of them real, and the documents and first places of the pieces in it."""
+    part = F.struct("bin_offset", F.col(id_col).alias("doc"), "ids")
+    bins = pieces.groupBy("bin_group", "bin", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("parts"))  # a bin's pieces, bounded by its length
+    ids = F.concat(F.flatten("parts.ids"), F.array_repeat(F.lit(pad_id), (F.col("bin_length") - F.col("n_tokens")).cast("int")))
+    return bins.select("bin_group", "bin", ids.alias("ids"), "n_tokens", F.col("parts.doc").alias("docs"), F.col("parts.bin_offset").alias("offsets"))

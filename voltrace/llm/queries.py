@@ -24,6 +24,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def public_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(_documents(spark, sf_dir))
 
@@ -32,17 +38,13 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), n=3, percent=90)
 
 
-def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(_documents(spark, sf_dir))
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return best_fit_packing(_documents(spark, sf_dir), tokenizer_path or public_vocabulary())
 
 
 def op4_simple8b(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    if tokenizer_path is None:
-        import public_tokenizers
-
-        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     files = scratch_path(spark, "token-files")
-    write_token_files(_documents(spark, sf_dir), files, tokenizer_path)
+    write_token_files(_documents(spark, sf_dir), files, tokenizer_path or public_vocabulary())
     return read_token_files(spark, files)
 
 
