@@ -17,6 +17,7 @@ from voltrace.llm.jaccard_join import one_of_each_class
 from voltrace.llm.mixing import mix
 from voltrace.llm.packing import best_fit_packing
 from voltrace.llm.quality_rules import quality_rules
+from voltrace.llm.queries import public_vocabulary
 
 ORACLE_SQL = None
 
@@ -49,8 +50,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @with_scratch
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return best_fit_packing(docs)
+    """Pieces of documents, as token ids, in training sequences."""
+    return best_fit_packing(docs, public_vocabulary())
 
 
 STAGES = [
