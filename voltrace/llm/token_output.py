@@ -36,7 +36,7 @@ from .simple8b import read_image, write_image
 END_ID = 1
 SEGMENT_IDS = 1 << 20
 #: Bounds of a worker's table of chunks; beyond them it starts anew.
-CACHE_CHUNKS, CACHE_IDS = 800_000, 6_000_000
+CACHE_CHUNKS, CACHE_IDS = 600_000, 5_000_000
 #: ASCII marks that may trail a word.
 MARKS = b".,;:!?|#*$%&\"()"
 #: A control character that is no white space.
@@ -81,57 +81,58 @@ class ChunkCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.parts = _Numbers(), {}
-        self.length, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-        self.start = np.zeros(1024, np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        parts, split, missing = self.parts, [], []
-        for chunk in new:
+        self.number = _Numbers()
+        self.length, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids, self.filled = np.zeros(4096, np.uint32), 0
+
+    def _learn(self) -> None:
+        """Code the new chunks; the parts of one that is parted are chunks too, and so are looked up themselves."""
+        number, new = self.number, self.number.new
+        first, whole, parted = len(number) - len(new), [], []
+        for k, chunk in enumerate(new):  # grows meanwhile
             core = chunk.rstrip(MARKS)
             if core and len(core) < len(chunk) and (core[-1:].isalnum() if core[-1] < 128 else _ends_in_letter(core.decode("utf-8", "surrogatepass"))):
-                mark = chunk[len(core) :]
-                split.append((core, mark))
-                if mark not in parts:
-                    parts[mark] = None
-                    missing.append(mark)
+                parted.append((first + k, number[core], number[chunk[len(core) :]]))
             else:
-                core = chunk
-                split.append((core, None))
-            if core not in parts:
-                parts[core] = None
-                missing.append(core)
-        self._encode_parts(missing)
-        coded = [parts[c] if m is None else parts[c] + parts[m] for c, m in split]
-        first = len(self.number) - len(new)
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        while first + len(new) > len(self.length):
+                whole.append(k)
+        number.new = []
+        while len(number) > len(self.length):
             self.length, self.start = np.concatenate([self.length, self.length * 0]), np.concatenate([self.start, self.start * 0])
+        coded = self._encode([new[k] for k in whole])
+        self._store(np.array(whole, np.int64) + first, np.fromiter(map(len, coded), np.int64, len(coded)) // 4, np.frombuffer(b"".join(coded), np.uint32))
+        if parted:
+            rows = np.array(parted, np.int64)
+            at, length = self._places(rows[:, 1:].ravel())
+            self._store(rows[:, 0], length.reshape(-1, 2).sum(axis=1), self.ids[at])
+
+    def _store(self, rows: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids * 0])
-        self.length[first : first + len(new)] = lengths
-        self.start[first : first + len(new)] = self.filled + np.cumsum(lengths) - lengths
+        self.length[rows], self.start[rows] = length, self.filled + np.cumsum(length) - length
         self.ids[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
 
-    def _encode_parts(self, missing: list[bytes]) -> None:
-        """Many parts in one call, with a mark between them that the vocabulary keeps apart; parts that hold the mark or a special token's name go alone."""
-        alone = [c for c in missing if BETWEEN in c or b"<|" in c]
-        held = set(alone)
-        rest = [c for c in missing if c not in held] if alone else missing
-        groups = [[c] for c in alone] + [rest[i : i + 100] for i in range(0, len(rest), 100)]
-        texts = [(b" " + BETWEEN + b" ").join(g).decode("utf-8", "surrogatepass") for g in groups]
+    def _places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids of some chunks are, one chunk after the other; ids per chunk)."""
+        length = self.length[rows]
+        at = np.repeat(self.start[rows] - (np.cumsum(length) - length), length)
+        return at + np.arange(len(at)), length
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Many chunks in one call, with a mark between them that the vocabulary keeps apart; chunks that hold the mark or a special token's name go alone."""
+        alone = {k for k, c in enumerate(chunks) if BETWEEN in c or b"<|" in c}
+        rest = [k for k in range(len(chunks)) if k not in alone]
+        groups = [[k] for k in sorted(alone)] + [rest[i : i + 100] for i in range(0, len(rest), 100)]
+        texts = [(b" " + BETWEEN + b" ").join(chunks[k] for k in g).decode("utf-8", "surrogatepass") for g in groups]
+        out = [b""] * len(chunks)
         for g, coded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             data = array("I", coded.ids).tobytes()
-            if len(g) == 1:
-                self.parts[g[0]] = data
-            else:
-                ends = [4 * i for i, x in enumerate(coded.ids) if x == self.between] + [len(data)]
-                begin = 0
-                for chunk, end in zip(g, ends, strict=True):
-                    self.parts[chunk] = data[begin:end]
-                    begin = end + 4
+            ends = [*([] if len(g) == 1 else [4 * i for i, x in enumerate(coded.ids) if x == self.between]), len(data)]
+            begin = 0
+            for k, end in zip(g, ends, strict=True):
+                out[k] = data[begin:end]
+                begin = end + 4
+        return out
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each followed by end_id; ids per text)."""
@@ -146,8 +147,7 @@ class ChunkCoder:
             rows += map(number.__getitem__, raw.split())
             rows.append(-1)
         if number.new:
-            self._learn(number.new)
-            number.new = []
+            self._learn()
         row = np.array(rows, np.int64)
         end = np.flatnonzero(row < 0)
         row[end] = 0
