@@ -15,7 +15,6 @@ from voltrace.llm import simple8b
 from voltrace.llm.exact_dedup import exact_dedup
 from voltrace.llm.jaccard_join import jaccard_components, one_of_each_class
 from voltrace.llm.kneser_ney import kn_quality
-from voltrace.llm.lm_scoring import lm_scores
 from voltrace.llm.mixing import mix, mix_plan, splitting_tree, word_targets
 from voltrace.llm.packing import LENGTHS, pack
 from voltrace.llm.pii import find_pii
@@ -268,43 +267,6 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
-def test_lm_scores(docs, empty):
-    got = {r["doc_id"]: r for r in lm_scores(docs, sample_words=3000, head=64, pairs=256).collect()}
-    counts, tokens = Counter(), {}
-    for i, t, *_ in ROWS:
-        tokens[i] = [*(t or "").encode().lower().split(), b"\n"]
-        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
-            counts.update(tokens[i])
-    n, v = sum(counts.values()), len(counts)
-    for i, ts in tokens.items():
-        r = got[i]
-        assert r["held_out"] == (zlib.crc32(str("" if i is None else i).encode()) % 7 == 2)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ts), sum(counts[w] > 0 for w in ts), n)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ts), rel_tol=1e-9)
-        assert r["score"] < 0
-    assert lm_scores(empty).count() == 0
-
-
-def test_mixer_is_a_distribution():
-    """Over all byte strings that a code can spell, first bytes' probabilities add up to one."""
-    from voltrace.llm.context_mixing import BITS, Code, Mixer, count, empty_counts
-
-    rng = random.Random(1)
-    vocabulary = [w.encode() for w in set(words(rng, 500))]
-    code, tables = Code.of(vocabulary), empty_counts(tuple(range(len(BITS))))
-    assert math.isclose(float((0.5 ** code.length).sum()), 1.0)
-    zero = np.zeros(len(vocabulary), np.int64)
-    count(vocabulary, np.ones(len(vocabulary)), zero, tuple(range(len(BITS))), tables, code)
-    mixer = Mixer.from_counts(tables, code)
-    sample = [vocabulary[i] for i in rng.choices(range(len(vocabulary)), k=3000)]
-    before = mixer.log10(vocabulary, zero).mean()
-    mixer.train(sample, np.zeros(3000, np.int64), tables, np.zeros((3000, len(BITS)), np.float32))
-    logs = mixer.log10(vocabulary, zero)
-    assert logs.mean() > before
-    assert (10**logs).sum() <= 1 + 1e-6
-    assert np.allclose(logs[:5], [mixer.log10([w], zero[:1])[0] for w in vocabulary[:5]])
-
-
 def test_kneser_ney(docs, empty, labels):
     rows = kn_quality(docs, labels, min_calibration=5).collect()
     assert len(rows) == len(ROWS) and all(r["perplexity"] > 0 and r["n_tokens"] >= 1 for r in rows)
