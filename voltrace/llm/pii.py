@@ -1,11 +1,12 @@
 """Personal data in whole texts: exact patterns, and a skip-chain field that adds to them.
 
-The field is trained on at most train_docs texts (chosen by a hash of the id), whose
-words are labelled by the patterns and a rule for secrets; see skip_chain. The model has a fixed size.
+The field is trained on every text, whose words are labelled by the patterns and a rule for secrets;
+see skip_chain. Each task learns online from its texts, one batch after the other, and the weights of all tasks are
+averaged by the number of words that they have seen. The model has a fixed size.
 
 Defined results: a null or empty text has no spans; an empty table gives an empty
-result, and without training words only the patterns count; repeated rows are rows of their own;
-other columns pass untouched.
+result, and without training words only the patterns count; repeated rows are rows of their own; spans are in the order of
+start, kind and end; ids may be of any type; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 from .pii_rules import base_spans, digest, joined
-from .skip_chain import Graph, Weights, added_spans, fit, graph, infer, weak_labels
+from .skip_chain import Graph, Learner, Weights, added_spans, graph, infer, weak_labels
 
-TRAIN_DOCS = 4000
 COUNTED = ("email", "ip", "card", "phone")
+#: Weights are added up as whole numbers of this fraction, so that their sum does not depend on the order.
+FINE = 1 << 24
 
 
 def _arrays(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -36,40 +38,52 @@ def _arrays(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return np.array(features, np.int64), np.array(edges, np.int64).reshape(-1, 3), [*starts, at]
 
 
-def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    learner = Learner()
     for f in frames:
-        rows = []
+        graphs, labels = [], []
         for text in f["_text"]:
             g = graph(text)
             if g.spans:
-                rows.append((g.features, [list(e) for e in g.edges], weak_labels(g, base_spans(text))))
-        yield pd.DataFrame(rows, columns=["features", "edges", "labels"])
+                graphs.append(g)
+                labels += weak_labels(g, base_spans(text))
+        if graphs:
+            features, edges, _ = _arrays(graphs)
+            learner.learn(features, np.array(labels, np.int64), edges)
+    yield pd.DataFrame({"total": [np.rint(learner.mean() * learner.seen * FINE).astype(np.int64).tobytes()], "n": [learner.seen]})
 
 
-def fit_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Weights | None:
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    chosen = src.select("_id").dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    rows = src.join(F.broadcast(chosen), "_id").select("_text").filter(F.col("_text").rlike("[0-9@]"))  # train_docs rows at most
-    got = rows.mapInPandas(_examples, "features array<array<int>>, edges array<array<int>>, labels array<int>").toArrow().to_pandas()
-    if not len(got):
-        return None
-    got = sorted(zip(([[list(x) for x in f] for f in got["features"]]), ([[list(x) for x in e] for e in got["edges"]]), (list(x) for x in got["labels"]), strict=True))
-    graphs = [Graph(spans=[(0, 0)] * len(f), features=f, edges=[tuple(x) for x in e]) for f, e, _ in got]
-    features, edges, _ = _arrays(graphs)
-    return fit(features, np.array([x for *_, y in got for x in y], np.int64), edges)
+def _add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total, n = np.zeros(Weights.SIZE, np.int64), 0
+    for f in frames:
+        for data, more in zip(f["total"], f["n"], strict=True):
+            total, n = total + np.frombuffer(data, np.int64), n + more
+    yield pd.DataFrame({"total": [total.tobytes()], "n": [n]})
+
+
+def fit_pii(docs: DataFrame, text_col: str = "text") -> Weights | None:
+    """The field's weights, learned from all texts; None without a suspicious word."""
+    rows = docs.select(F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").rlike("[0-9@]"))
+    parts = rows.mapInPandas(_learn, "total binary, n long").repartition(4).mapInPandas(_add, "total binary, n long").collect()  # four rows
+    n = sum(r["n"] for r in parts)
+    return Weights.of(sum(np.frombuffer(r["total"], np.int64) for r in parts) / (FINE * n)) if n else None
+
 
+def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", payload: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """id_col, payload columns, n_email, n_ip, n_card, n_phone and base_sha256 of the patterns, all spans with those that the field adds, n_added, n_spans and private (any span).
 
-def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", payload: list[str] | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """id_col, payload columns, n_email, n_ip, n_card, n_phone and base_sha256 of the patterns, and all spans with those that the field adds."""
+    prefix: put before the names of these columns, where payload has columns of the same names.
+    """
     small_batches(docs.sparkSession)
-    model = fit_pii(docs, text_col, id_col, train_docs)
+    model = fit_pii(docs, text_col)
     payload = [c for c in payload or [] if c != id_col]
     names = [f"_p{k}" for k in range(len(payload))]
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(k) for k, c in zip(names, payload, strict=True)])
     schema = T.StructType([f for f in src.schema.fields if f.name != "_text"])
     for k in COUNTED:
         schema = schema.add(f"n_{k}", T.LongType())
-    schema = schema.add("base_sha256", T.StringType()).add("spans", T.StringType())
+    schema = schema.add("base_sha256", T.StringType()).add("spans", T.StringType()).add("n_added", T.LongType()).add("n_spans", T.LongType()).add("private", T.BooleanType())
+    made = schema.names[len(src.columns) - 1 :]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -88,7 +102,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", pa
                 out[f"n_{k}"] = [sum(s[0] == k for s in spans) for spans in base]
             out["base_sha256"] = [digest(s) for s in base]
             out["spans"] = [joined(s) for s in everything]
+            out["n_added"] = [len(s) - len(b) for s, b in zip(everything, base, strict=True)]
+            out["n_spans"] = [len(s) for s in everything]
+            out["private"] = [bool(s) for s in everything]
             yield out
 
     found = src.mapInPandas(run, schema)
-    return found.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(names, payload, strict=True)], *[f"n_{k}" for k in COUNTED], "base_sha256", "spans")
+    return found.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(names, payload, strict=True)], *[F.col(c).alias(prefix + c) for c in made])

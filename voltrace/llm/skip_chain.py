@@ -7,7 +7,7 @@ are two edges apart at most, and with the next one of the same form (digits and
 stands, unless a chain edge joins the two already. Labels come from loopy sum-product message passing over all edges of a batch
 of texts at once, so evidence at one occurrence decides all of them together.
 
-Weights are fitted by pseudo-likelihood to labels that the exact patterns and one rule for
+All weights, those of the edges too, are fitted by pseudo-likelihood to labels that the exact patterns and one rule for
 secrets give.
 """
 
@@ -125,16 +125,16 @@ def graph(text: str | None) -> Graph:
 
 
 def weak_labels(g: Graph, spans: list[tuple[str, int, int]]) -> list[int]:
-    """Labels from the exact patterns; a long mixed word after a cue is a secret."""
+    """Labels from the exact patterns; a long mixed word after a cue is a secret, there and wherever else it stands in the text."""
     out, k = [], 0
+    secret = LABELS.index("secret")
+    announced = {w for w, cue in zip(g.cores, g.cues, strict=True) if cue and _SECRET.fullmatch(w)}
     spans = sorted(spans, key=lambda s: s[1])
-    for (a, b), word, cue in zip(g.spans, g.cores, g.cues, strict=True):
+    for (a, b), word in zip(g.spans, g.cores, strict=True):
         while k < len(spans) and spans[k][2] <= a:
             k += 1
         label = next((LABELS.index(s[0]) for s in spans[k : k + 4] if s[1] < b and a < s[2]), 0)
-        if not label and cue and _SECRET.fullmatch(word):
-            label = LABELS.index("secret")
-        out.append(label)
+        out.append(secret if not label and word in announced else label)
     return out
 
 
@@ -143,35 +143,60 @@ class Weights:
     unary: np.ndarray  # buckets x labels
     pair: np.ndarray  # kinds of edges x labels x labels
 
-
-def fit(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, rounds: int = 120, rate: float = 0.3, l2: float = 1e-4) -> Weights:
-    """Maximum pseudo-likelihood by AdaGrad: each node given its features and its neighbours' labels."""
-    n = len(labels)
-    unary, pair = np.zeros((BUCKETS, N_LABELS)), np.zeros((3, N_LABELS, N_LABELS))
-    gu, gp = np.full_like(unary, 1e-8), np.full_like(pair, 1e-8)
-    left, right, kind = (edges[:, 0], edges[:, 1], edges[:, 2]) if len(edges) else (np.zeros(0, int),) * 3
-    truth = np.zeros((n, N_LABELS))
-    truth[np.arange(n), labels] = 1
-    for _ in range(rounds):
-        score = unary[features].sum(axis=1)
-        np.add.at(score, right, pair[kind, labels[left]])
-        np.add.at(score, left, pair[kind, :, labels[right]])
-        score -= score.max(axis=1, keepdims=True)
-        p = np.exp(score)
-        delta = (truth - p / p.sum(axis=1, keepdims=True)) / n
-        step_u = -l2 * unary
-        for k in range(features.shape[1]):
-            np.add.at(step_u, features[:, k], delta)
-        step_p = -l2 * pair
-        np.add.at(step_p, (kind, labels[left]), delta[right])
-        np.add.at(step_p.transpose(0, 2, 1), (kind, labels[right]), delta[left])
-        gu += step_u**2
-        gp += step_p**2
-        unary += rate * step_u / np.sqrt(gu)
-        pair += rate * step_p / np.sqrt(gp)
-    same = np.eye(N_LABELS)
-    pair[SAME] = np.maximum(pair[SAME], same * 1.0)  # repeated words never pull apart
-    return Weights(unary, pair)
+    SIZE = (BUCKETS + 3 * N_LABELS) * N_LABELS
+
+    @staticmethod
+    def of(flat: np.ndarray) -> Weights:
+        return Weights(flat[: BUCKETS * N_LABELS].reshape(BUCKETS, N_LABELS), flat[BUCKETS * N_LABELS :].reshape(3, N_LABELS, N_LABELS))
+
+
+class Learner:
+    """Maximum pseudo-likelihood by AdaGrad, online: each node given its features and its neighbours' labels."""
+
+    def __init__(self, rate: float = 0.3, l2: float = 1e-5):
+        self.rate, self.l2, self.seen = rate, l2, 0
+        self.unary, self.pair = np.zeros((BUCKETS, N_LABELS)), np.zeros((3, N_LABELS, N_LABELS))
+        self._gu, self._gp = np.full_like(self.unary, 1e-8), np.full_like(self.pair, 1e-8)
+
+    def learn(self, features: np.ndarray, labels: np.ndarray, edges: np.ndarray, passes: int = 4) -> None:
+        """One batch of nodes, gone over a few times. Its buckets alone are worked on."""
+        n = len(labels)
+        self.seen += n
+        used, local = np.unique(features, return_inverse=True)
+        local = local.reshape(features.shape)
+        left, right, kind = edges[:, 0], edges[:, 1], edges[:, 2]
+        truth = np.zeros((n, N_LABELS))
+        truth[np.arange(n), labels] = 1
+        unary, gu = self.unary[used], self._gu[used]
+        for _ in range(passes):
+            score = unary[local].sum(axis=1)
+            np.add.at(score, right, self.pair[kind, labels[left]])
+            np.add.at(score, left, self.pair[kind, :, labels[right]])
+            score -= score.max(axis=1, keepdims=True)
+            p = np.exp(score)
+            delta = (truth - p / p.sum(axis=1, keepdims=True)) / n
+            step_u = -self.l2 * unary
+            for c in range(N_LABELS):
+                step_u[:, c] += np.bincount(local.ravel(), np.repeat(delta[:, c], features.shape[1]), len(used))
+            step_p = -self.l2 * self.pair
+            np.add.at(step_p, (kind, labels[left]), delta[right])
+            np.add.at(step_p.transpose(0, 2, 1), (kind, labels[right]), delta[left])
+            gu += step_u**2
+            self._gp += step_p**2
+            unary += self.rate * step_u / np.sqrt(gu)
+            self.pair += self.rate * step_p / np.sqrt(self._gp)
+        self.unary[used], self._gu[used] = unary, gu
+
+    def mean(self) -> np.ndarray:
+        """The weights in one row."""
+        return np.concatenate([self.unary.ravel(), self.pair.ravel()])
+
+
+def fit(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, rounds: int = 120) -> Weights:
+    """The weights for nodes that are all there at once."""
+    learner = Learner()
+    learner.learn(features, labels, edges, rounds)
+    return Weights.of(learner.mean())
 
 
 def infer(w: Weights, features: np.ndarray, edges: np.ndarray, rounds: int = 10, damping: float = 0.5) -> np.ndarray:
