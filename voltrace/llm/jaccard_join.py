@@ -12,9 +12,10 @@ tile are compared with its first set, then, where it still spans several compone
 last; what is left is compared in blocks, and only sets of different components are paired.
 Every link is thus found or implied by others. Hot tiles are split by skew-aware joins and by blocks.
 
-Defined results: a null or empty text has an empty set and links with nothing; equal texts
+Defined results: ids are whole numbers, other kinds are refused; a null or empty text has an empty set and links with nothing; equal texts
 are one class; rows without an id take the component of their text, or null if there is
-none; an empty table gives an empty result; other columns pass untouched.
+none; an id on several texts stands for all of them, so their classes are one; an empty table gives an
+empty result; other columns are not carried (join the classes by id), but one_of_each_class keeps whole rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, release_scratch, scratch_mark, small_batches
+from .common import join_groups, materialize, release_scratch, scratch_mark, small_batches, whole_ids
 from .components import connected_components
 from .shingles import WordHashes, bitmap, enough, fold, intersection, overlap_bound, segment_keys, shingle_set
 
@@ -120,12 +121,13 @@ def _tile_pairs(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", payload: list[str] | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: id_col, n_shingles and component_id, the smallest id that links reach (itself included).
 
     Two texts link when 100 * shared shingles >= percent * all shingles of both; percent above 67.
     """
     small_batches(docs.sparkSession)
+    whole_ids(docs, id_col)
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     features = materialize(src.mapInPandas(_features(n, percent), "_id long, n_shingles long, _digest binary, _bits binary, _keys array<long>"), "shingle-features")
     classes = materialize(features.filter("n_shingles > 0").groupBy("_digest").agg(F.min("_id").alias("rep"), F.count("*").alias("_n")), "shingle-classes")

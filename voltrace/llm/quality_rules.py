@@ -2,7 +2,7 @@
 
 The base rule (too few words, too many repeated ones) is exact. On top of it stands a
 boosted model of the labels' `quality`, trained on at most max_labels labelled rows
-(chosen by a hash of doc_id, so reruns agree) and flattened into node arrays that
+(first in the order of hashes of doc_id and text, so reruns agree) and flattened into node arrays that
 score a batch of documents at a time. Scores never rise with the share of symbols,
 repeated lines, repeated words, exclamation marks, bars or the most frequent word.
 The threshold keeps at least keep_good of the good rows of the sample.
@@ -34,7 +34,7 @@ KEEP_GOOD = 0.998
 def _sample_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         stats = [statistics(t) for t in f["_text"]]
-        yield pd.DataFrame({"good": f["_good"], "failed": [fails_base(c[0], c[4]) for c, _ in stats], "x": [v for _, v in stats]})
+        yield pd.DataFrame({"turn": f["_turn"], "place": f["_place"], "good": f["_good"], "failed": [fails_base(c[0], c[4]) for c, _ in stats], "x": [v for _, v in stats]})
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_labels: int = MAX_LABELS, min_labels: int = MIN_LABELS, keep_good: float = KEEP_GOOD) -> tuple[Forest, float] | None:
@@ -42,7 +42,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     good = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good")).dropna()
     good = good.groupBy("_id").agg(F.min("_good").alias("_good")).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(good), "_id")
-    got = rows.select("_good", "_text").mapInPandas(_sample_features, "good int, failed boolean, x array<double>").limit(2 * max_labels).toArrow().to_pandas()
+    rows = rows.select(F.xxhash64("_id").alias("_turn"), F.xxhash64("_text").alias("_place"), "_good", "_text")
+    seen = rows.mapInPandas(_sample_features, "turn long, place long, good int, failed boolean, x array<double>")
+    got = seen.orderBy("turn", "place", "good", "x").limit(max_labels).toArrow().to_pandas()  # rows with one id may be many
     got = got[~got["failed"].astype(bool)] if len(got) else got
     if not len(got):
         return None

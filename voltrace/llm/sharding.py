@@ -12,7 +12,7 @@ keys; the latter hold at least 1/heavy_share of all bytes each, so there are few
 Slots are counted inside fine ranges and offset by the ranges before, so no task holds a shard.
 
 Defined results: a null text weighs 1 byte and has the checksum of the empty text; an empty table gives an empty
-result; repeated rows get slots of their own; extra columns named in payload pass untouched.
+result; repeated rows get slots of their own; rows of one range are in the order of text hash, id and place in the table; ids may be of any type; extra columns named in payload pass untouched.
 """
 
 from __future__ import annotations
@@ -39,8 +39,12 @@ def shard_by_splitters(
     sample_keys: int = 50_000,
     heavy_share: int = 1024,
     payload: list[str] | None = None,
+    prefix: str = "",
 ) -> DataFrame:
-    """Return id_col, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) and the payload columns."""
+    """Return id_col, the payload columns, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null).
+
+    prefix: put before the names of these columns, where payload has columns of the same names.
+    """
     spark = docs.sparkSession
     payload = [c for c in payload or [] if c != id_col]
     carried = {f"_p{k}": F.col(c) for k, c in enumerate(payload)}
@@ -97,20 +101,16 @@ def shard_by_splitters(
         filled[shard_of[r]] += weight[r][1]
     table = F.broadcast(spark.createDataFrame([(r, shard_of[r], offset[r]) for r in sorted(weight)], "_range long, shard int, _offset long"))
     slot = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "_id", "_row"))
-    return (
-        rows.withColumn("_nth", slot)
-        .join(table, "_range")
-        .select(
-            F.col("_id").alias(id_col),
-            *[F.col(k).alias(c) for k, c in zip(carried, payload, strict=True)],
-            "size",
-            "text_crc32",
-            F.lit("bytes").alias("law"),
-            "shard",
-            (F.col("_offset") + F.col("_nth") - 1).alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
-    )
+    made = {
+        "size": F.col("size"),
+        "text_crc32": F.col("text_crc32"),
+        "law": F.lit("bytes"),
+        "shard": F.col("shard"),
+        "slot": F.col("_offset") + F.col("_nth") - 1,
+        "grown_shard": F.lit(None).cast("int"),
+    }
+    placed = rows.withColumn("_nth", slot).join(table, "_range")
+    return placed.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(carried, payload, strict=True)], *[c.alias(prefix + k) for k, c in made.items()])
 
 
 def plan_shards(weight: dict[int, tuple[int, int]], n_light: int, first_piece: list[int], pieces: list[int], shards: int) -> dict[int, int]:
