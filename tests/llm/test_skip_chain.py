@@ -21,3 +21,50 @@ def test_one_cue_decides_all_repeats():
     g = graph(f'token = "{SECRET}" then' + f" far away {SECRET}" * 40)
     labels = infer(Weights(unary, pair), np.array(g.features), np.array(g.edges))
     assert labels.tolist() == [LABELS.index("secret")] * 41
+
+
+def test_messages_against_all_labellings():
+    """On trees the marginals are exact; with a loop the best labels are those of the exact marginals when they are clear."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for trial in range(25):
+        n = 4
+        unary, pair = np.zeros((BUCKETS, N_LABELS)), rng.normal(size=(3, N_LABELS, N_LABELS))
+        features = np.arange(n)[:, None]
+        unary[:n] = rng.normal(size=(n, N_LABELS)) * 2
+        edges = [(0, 1, CHAIN), (1, 2, SAME), (1, 3, ALIKE)] + ([(2, 3, CHAIN)] if trial % 2 else [])
+        weight = np.zeros((n, N_LABELS))
+        for labels in itertools.product(range(N_LABELS), repeat=n):
+            p = np.exp(sum(unary[i, labels[i]] for i in range(n)) + sum(pair[k, labels[a], labels[b]] for a, b, k in edges))
+            for i in range(n):
+                weight[i, labels[i]] += p
+        weight /= weight.sum(axis=1, keepdims=True)
+        got = infer(Weights(unary, pair), features, np.array(edges), rounds=40)
+        for i in range(n):
+            first, second = np.sort(weight[i])[::-1][:2]
+            if not trial % 2 or first > 2 * second:
+                assert got[i] == weight[i].argmax()
+
+
+def test_weights_are_learned_together():
+    """Learners of parts of the data agree with what is plain in all of it, also for the edges."""
+    from voltrace.llm.pii import _arrays
+    from voltrace.llm.pii_rules import base_spans
+    from voltrace.llm.skip_chain import Learner, weak_labels
+
+    total = 0
+    for part in range(5):
+        graphs, labels = [], []
+        for k in range(20):
+            text = f'token = "{SECRET[:36]}{part:02d}{k:02d}" then far away {SECRET[:36]}{part:02d}{k:02d} and {k} more of 20{k:02d}'
+            graphs.append(graph(text))
+            labels += weak_labels(graphs[-1], base_spans(text))
+        learner = Learner()
+        learner.learn(*(lambda f, e, _: (f, np.array(labels), e))(*_arrays(graphs)))
+        total = total + learner.sums()
+    weights = Weights.of(total)
+    secret = LABELS.index("secret")
+    assert weights.pair[SAME][secret, secret] > weights.pair[SAME][secret, 0]
+    g = graph(f'token = "{SECRET}" then far away {SECRET} and 7 more of 2011')
+    assert infer(weights, np.array(g.features), np.array(g.edges)).tolist() == [secret, secret, 0, 0]

@@ -1,8 +1,8 @@
 """Personal data in whole texts: exact patterns, and a skip-chain field that adds to them.
 
 The field is trained on every text, whose words are labelled by the patterns and a rule for secrets;
-see skip_chain. Each task learns online from its texts, one batch after the other, and the weights of all tasks are
-averaged by the number of words that they have seen. The model has a fixed size.
+see skip_chain. Each task learns online from its texts, one batch after the other, and each weight is
+averaged over all tasks by how often they have seen it. The model has a fixed size.
 
 Defined results: a null or empty text has no spans; an empty table gives an empty
 result, and without training words only the patterns count; repeated rows are rows of their own; spans are in the order of
@@ -25,7 +25,7 @@ from .skip_chain import Graph, Learner, Weights, added_spans, graph, infer, weak
 
 COUNTED = ("email", "ip", "card", "phone")
 #: Weights are added up as whole numbers of this fraction, so that their sum does not depend on the order.
-FINE = 1 << 24
+FINE = 1 << 16
 
 
 def _arrays(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -50,23 +50,23 @@ def _learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if graphs:
             features, edges, _ = _arrays(graphs)
             learner.learn(features, np.array(labels, np.int64), edges)
-    yield pd.DataFrame({"total": [np.rint(learner.mean() * learner.seen * FINE).astype(np.int64).tobytes()], "n": [learner.seen]})
+    yield pd.DataFrame({"total": [np.rint(learner.sums() * FINE).astype(np.int64).tobytes()]})
 
 
 def _add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, n = np.zeros(Weights.SIZE, np.int64), 0
+    total = np.zeros(Weights.SIZE, np.int64)
     for f in frames:
-        for data, more in zip(f["total"], f["n"], strict=True):
-            total, n = total + np.frombuffer(data, np.int64), n + more
-    yield pd.DataFrame({"total": [total.tobytes()], "n": [n]})
+        for data in f["total"]:
+            total = total + np.frombuffer(data, np.int64)
+    yield pd.DataFrame({"total": [total.tobytes()]})
 
 
 def fit_pii(docs: DataFrame, text_col: str = "text") -> Weights | None:
     """The field's weights, learned from all texts; None without a suspicious word."""
     rows = docs.select(F.col(text_col).cast("string").alias("_text")).filter(F.col("_text").rlike("[0-9@]"))
-    parts = rows.mapInPandas(_learn, "total binary, n long").repartition(4).mapInPandas(_add, "total binary, n long").collect()  # four rows
-    n = sum(r["n"] for r in parts)
-    return Weights.of(sum(np.frombuffer(r["total"], np.int64) for r in parts) / (FINE * n)) if n else None
+    parts = rows.mapInPandas(_learn, "total binary").repartition(4).mapInPandas(_add, "total binary").collect()  # four rows
+    total = sum(np.frombuffer(r["total"], np.int64) for r in parts)
+    return Weights.of(total / FINE) if total.any() else None
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", payload: list[str] | None = None, prefix: str = "") -> DataFrame:

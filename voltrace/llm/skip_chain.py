@@ -25,6 +25,8 @@ LABELS = ("none", *KINDS)
 N_LABELS = len(LABELS)
 BUCKETS = 1 << 13
 CHAIN, SAME, ALIKE = 0, 1, 2
+#: Times that each batch of words is gone over.
+PASSES = 60
 #: Words that announce a secret (fixed values of the rule that labels training texts).
 CUES = frozenset(["token", "key", "secret", "password", "passwd", "apikey", "api_key", "bearer"])
 
@@ -143,25 +145,30 @@ class Weights:
     unary: np.ndarray  # buckets x labels
     pair: np.ndarray  # kinds of edges x labels x labels
 
-    SIZE = (BUCKETS + 3 * N_LABELS) * N_LABELS
+    #: Numbers in Learner.sums().
+    SIZE = BUCKETS * (N_LABELS + 1) + 3 * (N_LABELS**2 + 1)
 
     @staticmethod
-    def of(flat: np.ndarray) -> Weights:
-        return Weights(flat[: BUCKETS * N_LABELS].reshape(BUCKETS, N_LABELS), flat[BUCKETS * N_LABELS :].reshape(3, N_LABELS, N_LABELS))
+    def of(sums: np.ndarray) -> Weights:
+        """The weights of some learners together, from the total of their sums()."""
+        unary, times, pair, edges = np.split(sums, np.cumsum([BUCKETS * N_LABELS, BUCKETS, 3 * N_LABELS**2]))
+        return Weights(unary.reshape(BUCKETS, N_LABELS) / np.maximum(times, 1)[:, None], pair.reshape(3, N_LABELS, N_LABELS) / np.maximum(edges, 1)[:, None, None])
 
 
 class Learner:
     """Maximum pseudo-likelihood by AdaGrad, online: each node given its features and its neighbours' labels."""
 
     def __init__(self, rate: float = 0.3, l2: float = 1e-5):
-        self.rate, self.l2, self.seen = rate, l2, 0
+        self.rate, self.l2 = rate, l2
+        self.times, self.edges = np.zeros(BUCKETS), np.zeros(3)
         self.unary, self.pair = np.zeros((BUCKETS, N_LABELS)), np.zeros((3, N_LABELS, N_LABELS))
         self._gu, self._gp = np.full_like(self.unary, 1e-8), np.full_like(self.pair, 1e-8)
 
-    def learn(self, features: np.ndarray, labels: np.ndarray, edges: np.ndarray, passes: int = 4) -> None:
+    def learn(self, features: np.ndarray, labels: np.ndarray, edges: np.ndarray, passes: int = PASSES) -> None:
         """One batch of nodes, gone over a few times. Its buckets alone are worked on."""
         n = len(labels)
-        self.seen += n
+        self.times += np.bincount(features.ravel(), minlength=BUCKETS)
+        self.edges += np.bincount(edges[:, 2], minlength=3)
         used, local = np.unique(features, return_inverse=True)
         local = local.reshape(features.shape)
         left, right, kind = edges[:, 0], edges[:, 1], edges[:, 2]
@@ -187,16 +194,9 @@ class Learner:
             self.pair += self.rate * step_p / np.sqrt(self._gp)
         self.unary[used], self._gu[used] = unary, gu
 
-    def mean(self) -> np.ndarray:
-        """The weights in one row."""
-        return np.concatenate([self.unary.ravel(), self.pair.ravel()])
-
-
-def fit(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, rounds: int = 120) -> Weights:
-    """The weights for nodes that are all there at once."""
-    learner = Learner()
-    learner.learn(features, labels, edges, rounds)
-    return Weights.of(learner.mean())
+    def sums(self) -> np.ndarray:
+        """Each weight times how often it has been learned from, and these times; to be added up over learners."""
+        return np.concatenate([(self.unary * self.times[:, None]).ravel(), self.times, (self.pair * self.edges[:, None, None]).ravel(), self.edges])
 
 
 def infer(w: Weights, features: np.ndarray, edges: np.ndarray, rounds: int = 10, damping: float = 0.5) -> np.ndarray:
