@@ -128,28 +128,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col:
     """
     small_batches(docs.sparkSession)
     whole_ids(docs, id_col)
+    begin = scratch_mark()
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     features = materialize(src.mapInPandas(_features(n, percent), "_id long, n_shingles long, _digest binary, _bits binary, _keys array<long>"), "shingle-features")
     classes = materialize(features.filter("n_shingles > 0").groupBy("_digest").agg(F.min("_id").alias("rep"), F.count("*").alias("_n")), "shingle-classes")
-    full_sets = features.filter("n_shingles > 0")
     n_rows = features.count()
-    copies = join_groups(full_sets.select("_digest", "_id"), classes.filter("_n > 1"), ["_digest"], "_n", n_rows).filter("_id <> rep").select("_digest", "_id")
+    copies = join_groups(features.filter("n_shingles > 0").select("_digest", "_id"), classes.filter("_n > 1"), ["_digest"], "_n", n_rows).filter("_id <> rep").select("_digest", "_id")
     copies = materialize(copies, "copies")
     small = copies.count() <= MOST_BROADCAST  # else joined by a shuffle
-    reps = full_sets.filter("_id IS NOT NULL").join(F.broadcast(copies) if small else copies, ["_digest", "_id"], "left_anti")
-    meta = reps.select(F.col("_id").alias("id"), F.col("n_shingles").alias("size"), F.col("_bits").alias("bits"))
-    keys = reps.select(F.explode("_keys").alias("key"), F.col("_id").alias("id"))
+
+    def reps(of: DataFrame) -> DataFrame:
+        return of.filter("n_shingles > 0 AND _id IS NOT NULL").join(F.broadcast(copies) if small else copies, ["_digest", "_id"], "left_anti")
+
+    keys = reps(features).select(F.explode("_keys").alias("key"), F.col("_id").alias("id"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     tiles = materialize(keys.join(shared, "key"), "tiles")
+    slim = materialize(features.drop("_keys"), "shingle-features")
+    release_scratch(begin, keep=(classes, copies, tiles, slim))
+    features = slim
+    meta = reps(features).select(F.col("_id").alias("id"), F.col("n_shingles").alias("size"), F.col("_bits").alias("bits"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those that link."""
+        """Of candidate pairs (a, b), those that link; the sets that this needs are deleted again."""
+        begin = scratch_mark()
         side = lambda x: meta.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
         pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_bounded(percent), "a long, b long"), "bounded-pairs")
         wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
         sets = materialize(src.join(wanted, "_id", "left_semi").mapInPandas(_sets(n), "_id long, _set binary"), "sets")
         one = lambda x: sets.select(F.col("_id").alias(x), F.col("_set").alias(f"set_{x}"))
-        return materialize(pairs.join(one("a"), "a").join(one("b"), "b").mapInPandas(_linked(percent), "a long, b long").distinct(), "links")
+        found = materialize(pairs.join(one("a"), "a").join(one("b"), "b").mapInPandas(_linked(percent), "a long, b long").distinct(), "links")
+        release_scratch(begin, keep=(found,))
+        return found
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tested = materialize(tiles.filter("id <> first").select(*pair("id", "first")).distinct(), "pairs")
