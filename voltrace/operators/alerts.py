@@ -56,7 +56,7 @@ def active_alerts(alerts: DataFrame, latest: DataFrame, vehicles: DataFrame, now
     rows = visible_alerts(alerts, latest, now, rules).join(vehicles, "vehicle_id")
     if vehicle_id is not None:
         rows = rows.filter(F.col("vehicle_id") == vehicle_id)
-    return rows.orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("opened_at").desc())
+    return rows.orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("opened_at").desc(), "alert_id")
 
 
 def active_count(alerts: DataFrame, latest: DataFrame, now: datetime, rules: Rules = _NONE) -> DataFrame:

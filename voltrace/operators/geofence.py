@@ -1,7 +1,10 @@
 """Versioned geofences: edits, containment, the version in force, and confirmed crossings.
 
 Positions meet fences through grid cells, an equi-join, so no plan multiplies
-all positions by all fences and nothing is broadcast that could grow.
+all positions by all fences and nothing is broadcast that could grow. There are grids of several widths; a
+fence lies in the finest whose cells are as wide as the fence, so it takes nine cells at most
+whatever its radius, and a position is looked up once for each grid that any fence uses. Cells
+go round the globe: the grids divide 360 degrees evenly.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from ..rules import EARTH_RADIUS_M, Rules
 from .current import last_positions
 
 _NONE = Rules()
-#: Edge of a grid cell in degrees; about 5.5 km of latitude.
-CELL_DEG = 0.05
+#: Cells round the globe in each grid, finest first (0.05 degrees, about 5.5 km of latitude); all divide 7200.
+GRIDS = (7200, 3600, 1800, 900, 450, 225, 75, 25, 5, 1)
 _M_PER_DEG = EARTH_RADIUS_M * 3.141592653589793 / 180
 
 DEFINITION = ["name", "lat", "lon", "radius_m", "active"]
@@ -67,22 +70,41 @@ def all_versions(versions: DataFrame) -> DataFrame:
     return versions.orderBy("geofence_id", "version")
 
 
-def _cell(degrees: Column) -> Column:
-    return F.floor(degrees / CELL_DEG).cast("long")
+def _of_grid(grid: Column, values: list[float]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), grid + 1)
 
 
-def _cells_of(fences: DataFrame, slack_m: float = 0.0) -> DataFrame:
-    """Fences once for every grid cell that their bounding box touches."""
-    reach = (F.col("radius_m") + slack_m) / _M_PER_DEG
-    wide = reach / F.greatest(F.cos(F.radians(F.abs("lat") + reach)), F.lit(0.01))
-    rows = fences.withColumn("cell_lat", F.explode(F.sequence(_cell(F.col("lat") - reach), _cell(F.col("lat") + reach))))
-    return rows.withColumn("cell_lon", F.explode(F.sequence(_cell(F.col("lon") - wide), _cell(F.col("lon") + wide))))
+def _cells_of(fences: DataFrame) -> DataFrame:
+    """Fences once for every cell of their grid that their bounding box touches."""
+    reach = F.col("radius_m") / _M_PER_DEG * 1.001
+    far = F.abs("lat") + reach
+    rows = fences.withColumn("_reach", reach).withColumn("_wide", F.when(far >= 89.0, 180.0).otherwise(F.least(F.lit(180.0), F.col("_reach") / F.cos(F.radians(far)))))
+    span = F.greatest("_reach", "_wide")
+    grid = F.least(F.size(F.filter(F.array(*[F.lit(360.0 / n) for n in GRIDS]), lambda width: width < span)), F.lit(len(GRIDS) - 1))
+    rows = rows.withColumn("grid", grid).withColumns({"_width": _of_grid(F.col("grid"), [360.0 / n for n in GRIDS]), "_n": _of_grid(F.col("grid"), list(GRIDS))})
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / F.col("_width")).cast("long"), F.floor(high / F.col("_width")).cast("long"))
+
+    rows = rows.withColumn("cell_lat", F.explode(cells(F.col("lat") + 90 - F.col("_reach"), F.col("lat") + 90 + F.col("_reach"))))
+    lon = F.array_distinct(F.transform(cells(F.col("lon") + 180 - F.col("_wide"), F.col("lon") + 180 + F.col("_wide")), lambda c: F.pmod(c, F.col("_n"))))
+    return rows.withColumn("cell_lon", F.explode(lon)).drop("_reach", "_wide", "_width", "_n")
+
+
+def _cells_at(positions: DataFrame, fences: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Positions once for every grid that some fence uses, with their cell in it. fences: from _cells_of."""
+    used = fences.select("grid").distinct()  # as many rows as there are grids at most
+    rows = positions.withColumn("grid", F.explode(F.array(*[F.lit(g) for g in range(len(GRIDS))]))).join(F.broadcast(used), "grid", "left_semi")
+    n = _of_grid(F.col("grid"), list(GRIDS))
+    width = _of_grid(F.col("grid"), [360.0 / g for g in GRIDS])
+    return rows.withColumns({"cell_lat": F.floor((F.col(lat) + 90) / width).cast("long"), "cell_lon": F.pmod(F.floor((F.col(lon) + 180) / width).cast("long"), n)})
 
 
 def containing_fences(positions: DataFrame, fences: DataFrame) -> DataFrame:
     """Positions (vehicle_id, lat, lon) with every active fence around them, most specific first (rank 1)."""
-    here = positions.select("vehicle_id", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), _cell(F.col("lat")).alias("cell_lat"), _cell(F.col("lon")).alias("cell_lon"))
-    near = here.join(_cells_of(fences.filter("active")), ["cell_lat", "cell_lon"])
+    cells = _cells_of(fences.filter("active"))
+    here = positions.select("vehicle_id", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"))
+    near = _cells_at(here, cells, "at_lat", "at_lon").join(cells, ["grid", "cell_lat", "cell_lon"])
     inside = near.filter(haversine_m(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon")) <= F.col("radius_m"))
     rank = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("radius_m", "geofence_id"))
     return inside.select("vehicle_id", "geofence_id", "name", "radius_m", rank.alias("rank"))
@@ -98,7 +120,7 @@ def geofence_list(latest: DataFrame, fences: DataFrame, include_inactive: bool =
     rows = fences.join(inside, "geofence_id", "left").withColumn("vehicle_count", F.coalesce("n", F.lit(0))).drop("n")
     if not include_inactive:
         rows = rows.filter("active")
-    return rows.orderBy(F.col("active").desc(), "name")
+    return rows.orderBy(F.col("active").desc(), "name", "geofence_id")
 
 
 def in_force(event_time: Column) -> Column:
@@ -113,8 +135,9 @@ def version_asof(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) ->
     are equi-joins on vehicle and on fence, with the time of validity as a condition.
     """
     trusted = fixes.filter(F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= rules.max_accuracy_m))
-    cells = _cells_of(versions).select("geofence_id", "cell_lat", "cell_lon").distinct()
-    pairs = trusted.select("vehicle_id", _cell(F.col("lat")).alias("cell_lat"), _cell(F.col("lon")).alias("cell_lon")).distinct().join(cells, ["cell_lat", "cell_lon"]).select("vehicle_id", "geofence_id").distinct()
+    cell = ["grid", "cell_lat", "cell_lon"]
+    cells = _cells_of(versions).select("geofence_id", *cell).distinct()
+    pairs = _cells_at(trusted.select("vehicle_id", "lat", "lon"), cells).select("vehicle_id", *cell).distinct().join(cells, cell).select("vehicle_id", "geofence_id").distinct()
     v = versions.select("geofence_id", "version", F.col("lat").alias("fence_lat"), F.col("lon").alias("fence_lon"), "radius_m", "active", "valid_from", "valid_to")
     return trusted.join(pairs, "vehicle_id").join(v, "geofence_id").filter(in_force(F.col("event_time")))
 
@@ -137,19 +160,60 @@ def crossings_of_sides(rows: DataFrame, rules: Rules = _NONE) -> DataFrame:
 
     The first run is believed with one fix and is no crossing. All windows share one partitioning by vehicle and fence.
     """
-    key = ["vehicle_id", "geofence_id"]
-    order = Window.partitionBy(*key).orderBy("event_time")
+    return confirmed(runs_of_sides(rows, rules), rules)
+
+
+def in_output_order(found: DataFrame) -> DataFrame:
+    """Crossings by time, fence and kind."""
+    return found.orderBy("event_time", "geofence_id", "kind", "vehicle_id")
+
+
+_PAIR = ["vehicle_id", "geofence_id"]
+
+
+def runs_of_sides(rows: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None) -> DataFrame:
+    """Runs of fixes on one side, numbered by pair of vehicle and fence, and whether each is believed.
+
+    state (schema CROSSING_STATE): where earlier fixes of these pairs have left off. Its run is run 0; new fixes on its side prolong it.
+    """
+    order = Window.partitionBy(*_PAIR).orderBy("event_time")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = rows.withColumns({"was": F.lag("inside").over(order), "previous": F.lag("event_time").over(order)})
-    runs = before.withColumn("run", F.sum(F.when(F.col("was").isNull() | (F.col("was") != F.col("inside")), 1).otherwise(0)).over(upto))
-    runs = runs.groupBy(*key, "run").agg(F.first("inside").alias("inside"), F.min("event_time").alias("event_time"), F.min("previous").alias("window_start"), F.count("*").alias("fixes"))
-    believed = runs.filter((F.col("fixes") >= rules.confirmation_fixes) | (F.col("run") == 1))
-    last = believed.withColumn("was", F.lag("inside").over(Window.partitionBy(*key).orderBy("run")))
+    side, previous = F.lag("inside").over(order), F.lag("event_time").over(order)
+    if state is not None:
+        held = state.select(*_PAIR, F.col("inside").alias("s_inside"), F.col("last_time").alias("s_last"))
+        rows = rows.join(held, _PAIR, "left")
+        side, previous = F.coalesce(side, "s_inside"), F.coalesce(previous, "s_last")
+    before = rows.withColumns({"was": side, "previous": previous})
+    runs = before.withColumn("run", F.sum(F.when(F.col("was").isNull() | (F.col("was") != F.col("inside")), 1).otherwise(0)).over(upto)).select(*_PAIR, "run", "inside", "event_time", F.col("previous").alias("window_start"), F.col("event_time").alias("last_time"), F.lit(1).alias("fixes"), F.lit(None).cast("boolean").alias("trusted"), F.lit(False).alias("seeded"))
+    if state is not None:
+        runs = runs.unionByName(state.select(*_PAIR, F.lit(0).cast("long").alias("run"), "inside", F.col("since").alias("event_time"), F.col("before").alias("window_start"), "last_time", "fixes", F.col("believed").alias("trusted"), F.lit(True).alias("seeded")))
+    first = F.min(F.struct("event_time", "window_start")).alias("first")
+    runs = runs.groupBy(*_PAIR, "run").agg(F.max("inside").alias("inside"), first, F.max("last_time").alias("last_time"), F.sum("fixes").alias("fixes"), F.max("trusted").alias("trusted"))
+    pair = Window.partitionBy(*_PAIR)
+    runs = runs.withColumn("trusted", F.max("trusted").over(pair))  # the side believed before
+    known = (F.col("run") == 0) & F.coalesce(F.col("trusted") == F.col("inside"), F.lit(False))
+    believed = (F.col("fixes") >= rules.confirmation_fixes) | known | ((F.col("run") == 1) & (F.min("run").over(pair) == 1))
+    return runs.select(*_PAIR, "run", "inside", "first.event_time", "first.window_start", "last_time", "fixes", "trusted", believed.alias("believed"))
+
+
+def confirmed(runs: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """The crossings of some runs: believed ones whose side is not that of the last believed run."""
+    was = F.coalesce(F.lag("inside").over(Window.partitionBy(*_PAIR).orderBy("run")), "trusted")
+    last = runs.filter("believed").withColumn("was", was)
     gap = F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
     return last.filter("was <> inside").select(
-        *key,
+        *_PAIR,
         F.when(F.col("inside"), "entry").otherwise("exit").alias("kind"),
         "event_time",
         "window_start",
         F.coalesce(gap > int(rules.max_certain_gap.total_seconds() * 1_000_000), F.lit(False)).alias("uncertain"),
     )
+
+
+def state_of_runs(runs: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """What later fixes go on from (schema CROSSING_STATE)."""
+    last = F.max_by(F.struct("inside", "event_time", "window_start", "last_time", "fixes"), "run").alias("r")
+    side = F.coalesce(F.max_by("inside", F.when(F.col("believed"), F.col("run"))), F.max("trusted")).alias("believed")
+    return runs.groupBy(*_PAIR).agg(last, side).select(
+        *_PAIR, "believed", "r.inside", F.col("r.event_time").alias("since"), F.col("r.window_start").alias("before"), "r.last_time", F.least(F.col("r.fixes"), F.lit(rules.confirmation_fixes)).cast("int").alias("fixes")
+    )
