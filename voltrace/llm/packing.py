@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
-from .token_output import END_ID, coder
+from .token_output import AT_ONCE, END_ID, coder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its length, in tokens.
@@ -107,9 +107,9 @@ def _tokenized(tokenizer_path: str, end_id: int, kind: str):
         tok = coder(tokenizer_path)
         for f in frames:
             texts, at = f["_text"].tolist(), 0
-            while at < len(texts):  # a few MB of text at a time
+            while at < len(texts):
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < 4_000_000):
+                while stop < len(texts) and (stop == at or size < AT_ONCE):
                     size += len(texts[stop] or b"")
                     stop += 1
                 ids, lengths = tok.encode(texts[at:stop], end_id)

@@ -36,7 +36,9 @@ from .simple8b import read_image, write_image
 END_ID = 1
 SEGMENT_IDS = 1 << 20
 #: Bounds of a worker's table of chunks; beyond them it starts anew.
-CACHE_CHUNKS, CACHE_IDS = 600_000, 5_000_000
+CACHE_CHUNKS, CACHE_IDS = 450_000, 4_000_000
+#: Bytes of text that a worker encodes at once.
+AT_ONCE = 1_500_000
 #: ASCII marks that may trail a word.
 MARKS = b".,;:!?|#*$%&\"()"
 #: A control character that is no white space.
@@ -192,9 +194,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, text_col:
         for f in frames:
             texts, doc_ids = f["_text"].tolist(), f["_id"].tolist()
             at = 0
-            while at < len(texts):  # a few MB of text at a time
+            while at < len(texts):
                 stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars < 4_000_000):
+                while stop < len(texts) and (stop == at or chars < AT_ONCE):
                     chars += len(texts[stop] or b"")
                     stop += 1
                 got, per_doc = tok.encode(texts[at:stop], end_id)
