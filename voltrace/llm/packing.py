@@ -133,7 +133,7 @@ def best_fit_packing(
     group_bytes: int = 1 << 25,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """One row per piece: id_col, piece, start, n_tokens, bin_group, bin, bin_offset, bin_length and ids, its token ids; see sequences()."""
+    """One row per piece: id_col, piece, start, n_tokens, bin_group, bin, bin_offset, bin_length and ids, its token ids as little-endian unsigned numbers (of 2 bytes, or of 4 if the vocabulary is larger); see sequences()."""
     from tokenizers import Tokenizer
 
     small_batches(docs.sparkSession)
@@ -164,16 +164,19 @@ def best_fit_packing(
             "bin": np.asarray(bins, np.int32),
             "bin_offset": np.asarray(offsets, np.int64),
             "bin_length": np.asarray(sizes, np.int32)[np.asarray(bins, np.int64)] if len(row) else np.zeros(0, np.int32),
-            "ids": [np.frombuffer(ids[r], kind, k, a * int(kind[-1])).astype(np.int32) for r, a, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)],
+            "ids": [ids[r][a : a + k] for r, a, k in zip(row.tolist(), (start * int(kind[-1])).tolist(), (length * int(kind[-1])).tolist(), strict=True)],
         })
 
-    made = T._parse_datatype_string("piece int, start long, n_tokens long, bin_group long, bin int, bin_offset long, bin_length int, ids array<int>")
+    made = T._parse_datatype_string("piece int, start long, n_tokens long, bin_group long, bin int, bin_offset long, bin_length int, ids binary")
     return rows.groupBy("bin_group").applyInPandas(pack_group, T.StructType([T.StructField(id_col, rows.schema["_id"].dataType), *made.fields]))
 
 
 def sequences(pieces: DataFrame, id_col: str = "doc_id", pad_id: int = 0) -> DataFrame:
-    """The packed training sequences: bin_group, bin, ids of the length of the bin, n_tokens of them real, and the documents and first places of the pieces in it."""
+    """The packed training sequences: bin_group, bin, ids filled up with pad_id to the length of the bin, n_tokens of them real, and the documents and first places of the pieces in it."""
     part = F.struct("bin_offset", F.col(id_col).alias("doc"), "ids")
-    bins = pieces.groupBy("bin_group", "bin", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("parts"))  # a bin's pieces, bounded by its length
-    ids = F.concat(F.flatten("parts.ids"), F.array_repeat(F.lit(pad_id), (F.col("bin_length") - F.col("n_tokens")).cast("int")))
+    width = F.max(F.octet_length("ids") / F.col("n_tokens")).cast("int").alias("width")
+    bins = pieces.groupBy("bin_group", "bin", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), width, F.sort_array(F.collect_list(part)).alias("parts"))  # a bin's pieces, bounded by its length
+    pad = F.substring(F.unhex(F.lit(pad_id.to_bytes(4, "little").hex())), F.lit(1), F.col("width"))
+    fill = F.unhex(F.repeat(F.hex(pad), (F.col("bin_length") - F.col("n_tokens")).cast("int")))
+    ids = F.concat(F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])), fill)
     return bins.select("bin_group", "bin", ids.alias("ids"), "n_tokens", F.col("parts.doc").alias("docs"), F.col("parts.bin_offset").alias("offsets"))

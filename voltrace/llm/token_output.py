@@ -35,8 +35,8 @@ from .simple8b import read_image, write_image
 
 END_ID = 1
 SEGMENT_IDS = 1 << 20
-#: Bounds of a worker's table of chunks; beyond them it starts anew.
-CACHE_CHUNKS, CACHE_IDS = 450_000, 4_000_000
+#: Bounds of a worker's table of chunks; beyond them the third that is met most often is kept.
+CACHE_CHUNKS, CACHE_IDS = 300_000, 4_000_000
 #: Bytes of text that a worker encodes at once.
 AT_ONCE = 1_500_000
 #: ASCII marks that may trail a word.
@@ -84,9 +84,25 @@ class ChunkCoder:
 
     def clear(self) -> None:
         self.number = _Numbers()
-        self.length, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.length, self.start, self.met = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.filled = np.zeros(4096, np.uint32), 0
 
+    def _shrink(self) -> None:
+        """Forget the chunks that are met seldom."""
+        chunks, n = list(self.number), len(self.number)
+        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: CACHE_CHUNKS // 3])
+        at, length = self._places(kept)
+        ids, met = self.ids[at], self.met[kept] // 2
+        if len(ids) > CACHE_IDS // 2:
+            self.clear()
+            return
+        self.number = _Numbers()
+        self.number.update(zip([chunks[k] for k in kept.tolist()], range(len(kept)), strict=True))
+        self.filled = 0
+        self.met[:] = 0
+        self.met[: len(kept)] = met
+        self._store(np.arange(len(kept)), length, ids)
+
     def _learn(self) -> None:
         """Code the new chunks; the parts of one that is parted are chunks too, and so are looked up themselves."""
         number, new = self.number, self.number.new
@@ -99,7 +115,7 @@ class ChunkCoder:
                 whole.append(k)
         number.new = []
         while len(number) > len(self.length):
-            self.length, self.start = np.concatenate([self.length, self.length * 0]), np.concatenate([self.start, self.start * 0])
+            self.length, self.start, self.met = (np.concatenate([x, x * 0]) for x in (self.length, self.start, self.met))
         coded = self._encode([new[k] for k in whole])
         self._store(np.array(whole, np.int64) + first, np.fromiter(map(len, coded), np.int64, len(coded)) // 4, np.frombuffer(b"".join(coded), np.uint32))
         if parted:
@@ -139,7 +155,7 @@ class ChunkCoder:
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each followed by end_id; ids per text)."""
         if len(self.number) > CACHE_CHUNKS or self.filled > CACHE_IDS:
-            self.clear()
+            self._shrink()
         number, rows = self.number, []
         for text in texts:
             raw = text or b""
@@ -151,6 +167,8 @@ class ChunkCoder:
         if number.new:
             self._learn()
         row = np.array(rows, np.int64)
+        often = np.bincount(row + 1)[1:]
+        self.met[: len(often)] += often
         end = np.flatnonzero(row < 0)
         row[end] = 0
         length = self.length[row]
