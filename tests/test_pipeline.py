@@ -12,7 +12,7 @@ from voltrace.operators.ingest import explode_signals, identified, new_rows
 from voltrace.plans.engine import Engine
 from voltrace.rules import Rules
 from voltrace.sources.schemas import ALERTS, LATEST_READINGS, PACKET, SIGNAL_READINGS, SIGNAL_ROLLUPS
-from voltrace.sources.store import Store
+from voltrace.sources.store import KEEP, Conflict, Store
 from voltrace.streaming import pipeline as P
 from voltrace.streaming.simulator import packets_of
 
@@ -29,7 +29,7 @@ class Clock:
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    return Engine(spark, str(tmp_path / "store"), Clock())
+    return Engine(spark, str(tmp_path / "store"), Clock(), buckets=4)
 
 
 def packets(spark, *rows):
@@ -93,7 +93,7 @@ def test_split_batches_and_order_do_not_matter(spark, tmp_path):
     rows = [(f"v{rng.randint(0, 3)}", -rng.randint(0, 300), {"soc": round(rng.random() * 100, 2), "lat": 12.9716, "lon": 77.5946 + rng.random() / 50}, None) for _ in range(60)]
     seen = []
     for k, batches in enumerate(([rows], [rows[i::4] for i in range(4)], [rows[::-1][:40], rows[:40]])):
-        engine = Engine(spark, str(tmp_path / f"s{k}"), Clock())
+        engine = Engine(spark, str(tmp_path / f"s{k}"), Clock(), buckets=3)
         engine.create_geofence("Depot", 12.9716, 77.5946, 900, NOW - timedelta(days=1))
         for b in batches:
             engine.ingest(packets(spark, *b))
@@ -119,8 +119,12 @@ def test_rollups(spark):
 
 
 def test_backfill_and_retention(engine):
-    n, k = 20, 200
-    assert engine.backfill(n, k) == n * (k * 6 + k // 2 * 3)
+    n, k, stages, changes = 20, 200, [], []
+    stop = engine.subscribe(lambda: changes.append(1))
+    report = engine.backfill(n, k, stages.append)
+    assert (report.vehicles, report.rows) == (n, n * (k * 6 + k // 2 * 3))
+    assert stages == list(report.seconds) == ["vehicles", "geofences", "signals", "positions", "latest"] and len(changes) == 5
+    stop()
     assert engine.already_populated()
     counts = {r["status"]: r["n"] for r in engine.status_counts().collect()}
     assert sum(counts.values()) == n and counts["offline"] == n // 5
@@ -138,11 +142,13 @@ def test_backfill_and_retention(engine):
     assert engine.store.read("geofence_events").count() >= crossings * 0.5
     assert engine.detail("v1")["register"].count() == 6
     assert engine.select_one("SELECT count(*) AS n FROM vehicles WHERE vehicle_id = :v", v="v1")["n"] == 1
+    assert engine.select_one("SELECT count(*) AS n FROM vehicles WHERE vehicle_id = ? AND model <> ?", "v1", "none")["n"] == 1
+    assert len(changes) == 5  # nobody listens any more
     engine.destroy()
 
 
 def test_store_publishes_all_or_nothing(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"))
+    store = Store(spark, str(tmp_path / "s"), 3)
     row = spark.createDataFrame([("v", "r", "m")], "vehicle_id string, reg_no string, model string")
     assert store.publish(append={"vehicles": row}, batch=("b", 1))
     assert not store.publish(append={"vehicles": row}, batch=("b", 1))
@@ -163,7 +169,7 @@ def test_stream_equals_one_batch(spark, tmp_path):
     for i in range(3):
         made.filter(F.pmod(F.xxhash64("vehicle_id", "event_time"), F.lit(3)) == i).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(PACKET).option("maxFilesPerTrigger", 1).parquet(folder)
-    a, b = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    a, b = Store(spark, str(tmp_path / "a"), 2), Store(spark, str(tmp_path / "b"), 2)
     P.start(stream, a, str(tmp_path / "checkpoint"), lambda: NOW, once=True).awaitTermination()
     P.process_batch(b, made, NOW)
     for table in ("signal_readings", "latest_readings", "packets"):
@@ -181,3 +187,101 @@ def test_replay_of_alerts(spark):
     log = spark.createDataFrame([("v", "soc", NOW + i * MIN, NOW, v, str(i)) for i, v in enumerate([50.0, 15.0, 8.0, 60.0, 5.0])], SIGNAL_READINGS)
     got = [tuple(r) for r in A.replay(log).orderBy("opened_at").select("opened_at", "last_seen_at", "resolved_at").collect()]
     assert got == [(NOW + MIN, NOW + 2 * MIN, NOW + 3 * MIN), (NOW + 4 * MIN, NOW + 4 * MIN, None)]
+
+
+def test_statements_for_effect(engine, spark):
+    rows = spark.createDataFrame([("v1", "r1", "m"), ("v2", "r2", "m"), ("v3", "r3", "n")], "vehicle_id string, reg_no string, model string")
+    engine.register_vehicles(rows)
+    engine.register_vehicles(rows.selectExpr("vehicle_id", "'other' AS reg_no", "model").union(spark.createDataFrame([("v4", "r4", "n")])))
+    assert [r["reg_no"] for r in engine.select("SELECT reg_no FROM vehicles ORDER BY vehicle_id")] == ["r1", "r2", "r3", "r4"]
+    engine.execute("UPDATE vehicles SET reg_no = concat(reg_no, ?), model = 'x' WHERE vehicle_id = ?", "-new", "v2")
+    engine.execute("DELETE FROM vehicles WHERE model = :m", m="n")
+    engine.execute("INSERT INTO vehicles SELECT 'v9', ?, 'm'", "r9")
+    assert [tuple(r) for r in engine.select("SELECT * FROM vehicles ORDER BY vehicle_id")] == [("v1", "r1", "m"), ("v2", "r2-new", "x"), ("v9", "r9", "m")]
+    with pytest.raises(ValueError, match="of the store"):
+        engine.execute("DROP TABLE vehicles")
+    assert engine.meta("schema_version") == "2" and engine.meta("none") is None
+    engine.set_meta("tour", "1")
+    engine.set_meta("tour", "2")
+    assert engine.meta("tour") == "2" and engine.store.read("meta").count() == 2
+
+
+def test_fences_of_a_user_are_kept(engine):
+    engine.create_geofence("Mine", 1.0, 2.0, 300)
+    assert not engine.seed_fences()
+    engine.backfill(3, 5)
+    assert [r["name"] for r in engine.geofences().collect()] == ["Mine"]
+
+
+def test_writers_wait_for_each_other(spark, tmp_path):
+    import threading
+
+    store = Store(spark, str(tmp_path / "s"), 2)
+    stale = store.manifest()["number"]
+    row = lambda k: spark.createDataFrame([(f"k{k}", "v")], "key string, value string")
+    threads = [threading.Thread(target=lambda k=k: store.transact(lambda t: {"replace": {"meta": t["meta"].unionByName(row(k))}}, ["meta"])) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert store.read("meta").count() == 7  # no write is lost
+    with pytest.raises(Conflict):
+        store.publish(append={"meta": row(9)}, based_on=stale)
+    assert store.read("meta").count() == 7
+
+
+def test_a_batch_touches_its_buckets_only(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), Clock(), buckets=16)
+    engine.create_geofence("Depot", 12.9716, 77.5946, 900, NOW - timedelta(days=9))
+    at = lambda v, m, east: (v, m, {"lat": 12.9716, "lon": 77.5946 + east}, None)
+    engine.ingest(packets(spark, *[at(f"v{i}", -3000, 0.0) for i in range(40)], *[at(f"v{i}", -50, 0.0) for i in range(40)]))
+    before = {t: {p["path"]: p["buckets"] for p in parts if "buckets" in p} for t, parts in engine.store.manifest()["tables"].items()}
+    engine.ingest(packets(spark, at("v1", -20, 0.1), at("v1", -10, 0.1)))
+    (mine,) = engine.store.buckets_of(spark.createDataFrame([("v1",)], "vehicle_id string"))
+    after = engine.store.manifest()["tables"]
+    for table in P.TOUCHED:
+        new = [p for p in after[table] if p["path"] not in before[table]]
+        assert all(set(p["buckets"]) <= {mine} for p in new), table  # nothing else was written
+        assert all(p["buckets"] == [b for b in before[table][p["path"]] if b != mine] for p in after[table] if p["path"] in before[table]), table
+    assert [(r["vehicle_id"], r["kind"]) for r in engine.store.read("geofence_events").collect()] == [("v1", "exit")]
+    plan = engine.store.read("signal_readings", buckets=[mine], since=NOW - timedelta(hours=2))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert {f.split("bucket=")[1].split("/")[0] for f in engine.store.read("signal_readings", buckets=[mine]).inputFiles()} == {str(mine)}
+
+
+def test_late_readings_are_replayed_others_go_on(spark, tmp_path, monkeypatch):
+    rng, made = random.Random(9), []
+    for v in range(6):
+        east = 0.0
+        for m in range(-400, 0, 10):
+            east = max(-0.02, min(0.02, east + rng.uniform(-0.012, 0.012)))
+            made.append((f"v{v}", m, {"lat": 12.9716, "lon": 77.5946 + east}, None))
+    late = [r for r in made if r[0] == "v3" and r[1] % 70 == 0]
+    rest = [r for r in made if r not in late]
+    one, many = (Engine(spark, str(tmp_path / k), Clock(), buckets=3) for k in ("one", "many"))
+    for engine in (one, many):
+        engine.create_geofence("Depot", 12.9716, 77.5946, 900, NOW - timedelta(days=1))
+        engine.create_geofence("Gate", 12.9716, 77.6046, 500, NOW - timedelta(days=1))
+    one.ingest(packets(spark, *made))
+    for low, high in ((-400, -250), (-250, -90), (-90, 0)):
+        many.ingest(packets(spark, *[r for r in rest if low <= r[1] < high]))
+    many.ingest(packets(spark, *late))
+    events = [sorted((r["vehicle_id"], names[r["geofence_id"]], r["kind"], r["event_time"], r["window_start"]) for r in e.store.read("geofence_events").collect()) for e in (one, many) for names in [{r["geofence_id"]: r["name"] for r in e.geofences().collect()}]]
+    assert events[0] == events[1] and len(events[0]) > 20
+    trips = [sorted((r["vehicle_id"], r["started_at"], r["ended_at"] or NOW) for r in e.store.read("trips").collect()) for e in (one, many)]
+    assert trips[0] == trips[1]
+    many.recompute_fleet()
+    assert one.store.read("crossing_state").filter("geofence_id <> ''").count() > 0
+
+
+def test_parts_are_merged_and_old_ones_removed(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), Clock(), buckets=2)
+    for k in range(18):
+        engine.store.publish(append={"signal_readings": spark.createDataFrame([(f"v{k}", "soc", NOW + k * MIN, NOW, float(k), f"p{k}")], SIGNAL_READINGS)})
+    listed = engine.store.manifest()["tables"]["signal_readings"]
+    assert engine.store.read("signal_readings").count() == 18
+    assert sorted(p["level"] for p in listed) == [0, 0, 1, 1]
+    assert len(engine.store._manifests()) <= 2 * KEEP
+    engine.store.publish(forget={"signal_readings": NOW + 5 * MIN})
+    assert engine.store.read("signal_readings").count() == 13 and len(engine.store.manifest()["tables"]["signal_readings"]) == 4
+    assert engine.store.read("signal_readings", since=NOW + 9 * MIN, until=NOW + 12 * MIN).count() == 3

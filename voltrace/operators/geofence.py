@@ -128,23 +128,34 @@ def in_force(event_time: Column) -> Column:
     return (event_time >= F.col("valid_from")) & (F.col("valid_to").isNull() | (event_time < F.col("valid_to")))
 
 
-def version_asof(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> DataFrame:
+def trusted_fixes(fixes: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    return fixes.filter(F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= rules.max_accuracy_m))
+
+
+def near_pairs(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """Vehicles and the fences whose cells they ever enter."""
+    cell = ["grid", "cell_lat", "cell_lon"]
+    cells = _cells_of(versions).select("geofence_id", *cell).distinct()
+    here = _cells_at(trusted_fixes(fixes, rules).select("vehicle_id", "lat", "lon"), cells).select("vehicle_id", *cell).distinct()
+    return here.join(cells, cell).select("vehicle_id", "geofence_id").distinct()
+
+
+def version_asof(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, known: DataFrame | None = None) -> DataFrame:
     """Trusted fixes with the version in force of every fence that their vehicle ever comes near.
 
     A vehicle that never enters the cells of a fence can't cross it, so these pairs are left out; the rest
-    are equi-joins on vehicle and on fence, with the time of validity as a condition.
+    are equi-joins on vehicle and on fence, with the time of validity as a condition. known: pairs that were near before.
     """
-    trusted = fixes.filter(F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= rules.max_accuracy_m))
-    cell = ["grid", "cell_lat", "cell_lon"]
-    cells = _cells_of(versions).select("geofence_id", *cell).distinct()
-    pairs = _cells_at(trusted.select("vehicle_id", "lat", "lon"), cells).select("vehicle_id", *cell).distinct().join(cells, cell).select("vehicle_id", "geofence_id").distinct()
+    pairs = near_pairs(fixes, versions, rules)
+    if known is not None:
+        pairs = pairs.unionByName(known.select("vehicle_id", "geofence_id")).distinct()
     v = versions.select("geofence_id", "version", F.col("lat").alias("fence_lat"), F.col("lon").alias("fence_lon"), "radius_m", "active", "valid_from", "valid_to")
-    return trusted.join(pairs, "vehicle_id").join(v, "geofence_id").filter(in_force(F.col("event_time")))
+    return trusted_fixes(fixes, rules).join(pairs, "vehicle_id").join(v, "geofence_id").filter(in_force(F.col("event_time")))
 
 
-def sides(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> DataFrame:
+def sides(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, known: DataFrame | None = None) -> DataFrame:
     """Per fix and fence: inside (true or false); fixes in the band around the edge are left out."""
-    rows = version_asof(fixes, versions, rules).filter("active")
+    rows = version_asof(fixes, versions, rules, known).filter("active")
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("fence_lat"), F.col("fence_lon"))
     margin = margin_m(F.col("accuracy_m"), rules)
     inside = F.when(distance <= F.col("radius_m") - margin, True).when(distance >= F.col("radius_m") + margin, False)

@@ -1,9 +1,15 @@
-"""The facade: open a store, ingest, query. Times come from the clock that is passed in."""
+"""The facade: open a store, ingest, query. Times come from the clock that is passed in.
+
+Everything that writes goes through the store's queue: a publish that was made from an outdated snapshot is made again.
+"""
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,15 +20,31 @@ from ..operators import geofence as G
 from ..operators import history as H
 from ..operators import status as S
 from ..operators import trips as T
+from ..operators.current import latest_readings
 from ..rules import SOC, Rules
 from ..sources import generate
-from ..sources.store import Store
+from ..sources.schemas import TABLES
+from ..sources.store import BUCKETS, Store
 from ..streaming import pipeline as P
 
 
+@dataclass
+class BackfillReport:
+    """What a backfill has written, and the seconds of each stage."""
+
+    vehicles: int = 0
+    rows: int = 0
+    seconds: dict[str, float] = field(default_factory=dict)
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime], rules: Rules | None = None):
-        self.spark, self.store, self.clock, self.rules = spark, Store(spark, root), clock, rules or Rules()
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime], rules: Rules | None = None, buckets: int = BUCKETS):
+        """buckets: into how many parts a new store splits its tables by vehicle; some for each core of the cluster."""
+        self.spark, self.store, self.clock, self.rules = spark, Store(spark, root, buckets), clock, rules or Rules()
+
+    def subscribe(self, listener: Callable[[], None]) -> Callable[[], None]:
+        """Call listener after every change of the store; returns how to stop it."""
+        return self.store.subscribe(lambda number, tables: listener())
 
     # fleet and vehicles
     def fleet_rows(self) -> DataFrame:
@@ -65,11 +87,17 @@ class Engine:
     def dismissed_count(self) -> int:
         return A.dismissed_count(self.store.read("alerts")).first()["n"]
 
+    def _alert(self, alert_id: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrites the bucket that holds the alert."""
+        found = self.store.buckets_of(self.store.read("alerts").filter(F.col("alert_id") == alert_id))
+        if found:
+            self.store.transact(lambda t: {"replace": {"alerts": change(self.store.read("alerts", buckets=found))}, "within": {"alerts": found}}, [])
+
     def dismiss(self, alert_id: str, reason: str) -> None:
-        self.store.publish(replace={"alerts": A.dismiss(self.store.read("alerts"), alert_id, reason, self.clock())})
+        self._alert(alert_id, lambda alerts: A.dismiss(alerts, alert_id, reason, self.clock()))
 
     def undo_dismiss(self, alert_id: str) -> None:
-        self.store.publish(replace={"alerts": A.undo_dismiss(self.store.read("alerts"), alert_id)})
+        self._alert(alert_id, lambda alerts: A.undo_dismiss(alerts, alert_id))
 
     # fences
     def geofences(self, include_inactive: bool = True) -> DataFrame:
@@ -80,14 +108,30 @@ class Engine:
         return self.store.read("geofences").count()
 
     def create_geofence(self, name: str, lat: float, lon: float, radius_m: float, valid_from: datetime | None = None) -> str:
-        t, fence = self.store.snapshot(["geofences", "geofence_versions"]), uuid.uuid4().hex[:16]
-        fences, versions = G.create_fence(t["geofences"], t["geofence_versions"], fence, name, lat, lon, radius_m, self.clock(), valid_from)
-        self.store.publish(replace={"geofences": fences, "geofence_versions": versions})
+        fence, now = uuid.uuid4().hex[:16], self.clock()
+
+        def build(t: dict[str, DataFrame]) -> dict:
+            fences, versions = G.create_fence(t["geofences"], t["geofence_versions"], fence, name, lat, lon, radius_m, now, valid_from)
+            return {"replace": {"geofences": fences, "geofence_versions": versions, "crossing_state": self._state_before(t["crossing_state"], valid_from or now)}}
+
+        self.store.transact(build, ["geofences", "geofence_versions", "crossing_state"])
         return fence
 
     def edit_geofence(self, geofence_id: str, name: str | None = None, lat: float | None = None, lon: float | None = None, radius_m: float | None = None, active: bool | None = None) -> None:
+        now = self.clock()
         edit = self.spark.createDataFrame([(geofence_id, name, lat, lon, radius_m, active)], "geofence_id string, name string, lat double, lon double, radius_m double, active boolean")
-        self.store.publish(replace={"geofence_versions": G.edit_fences(self.store.read("geofence_versions"), edit, self.clock())})
+
+        def build(t: dict[str, DataFrame]) -> dict:
+            before = t["geofence_versions"].filter((F.col("geofence_id") == geofence_id) & F.col("valid_to").isNull()).agg(F.min("valid_from")).first()[0]
+            return {"replace": {"geofence_versions": G.edit_fences(t["geofence_versions"], edit, now), "crossing_state": self._state_before(t["crossing_state"], min(before or now, now) if before and before >= now else now)}}
+
+        self.store.transact(build, ["geofence_versions", "crossing_state"])
+
+    @staticmethod
+    def _state_before(state: DataFrame, moment: datetime) -> DataFrame:
+        """The state of vehicles that have reported nothing since the moment from which fences change; the others are replayed when they next report."""
+        since = state.filter((F.col("geofence_id") == P.SELF) & (F.col("last_time") >= G.at(moment))).select("vehicle_id")
+        return state.join(since, "vehicle_id", "left_anti")
 
     def set_active(self, geofence_id: str, active: bool) -> None:
         self.edit_geofence(geofence_id, active=active)
@@ -113,28 +157,63 @@ class Engine:
     def recompute_fleet(self) -> None:
         P.recompute_fleet(self.store, self.clock(), self.rules)
 
-    def backfill(self, vehicles: int = 500, samples: int = 700) -> int:
-        """Fill the store with a synthetic fleet, overwriting what it held; returns the number of log rows."""
-        now = self.clock()
-        log = generate.log(self.spark, vehicles, samples, now)
-        fences, versions = generate.seed_fences(self.spark, datetime(2020, 1, 1))
-        nothing = {t: self.store.read(t).limit(0) for t in ("packets", "geofence_events", "trips", "alerts", "signal_rollups")}
-        self.store.publish(replace={"vehicles": generate.vehicles(self.spark, vehicles), "signal_readings": log, "geofences": fences, "geofence_versions": versions} | nothing)
-        from ..operators.current import latest_readings
+    def register_vehicles(self, vehicles: DataFrame) -> None:
+        """Add vehicles; those that are registered already stay as they are."""
+        self.store.transact(lambda t: {"append": {"vehicles": vehicles.dropDuplicates(["vehicle_id"]).join(t["vehicles"].select("vehicle_id"), "vehicle_id", "left_anti")}}, ["vehicles"])
 
-        stored = self.store.read("signal_readings")
-        self.store.publish(replace={"latest_readings": latest_readings(stored)})
-        return stored.count()
+    def set_meta(self, key: str, value: str) -> None:
+        one = self.spark.createDataFrame([(key, value)], TABLES["meta"])
+        self.store.transact(lambda t: {"replace": {"meta": t["meta"].filter(F.col("key") != key).unionByName(one)}}, ["meta"])
+
+    def meta(self, key: str) -> str | None:
+        row = self.store.read("meta").filter(F.col("key") == key).first()
+        return row["value"] if row else None
+
+    def seed_fences(self) -> bool:
+        """The usual four fences, if there are none; whether they were added."""
+        if not self.store.read("geofences").isEmpty():
+            return False
+        fences, versions = generate.seed_fences(self.spark, datetime(2020, 1, 1))
+        self.store.publish(replace={"geofences": fences, "geofence_versions": versions, "crossing_state": self.store.read("crossing_state").limit(0)})
+        return True
+
+    def backfill(self, vehicles: int = 500, samples: int = 700, on_stage: Callable[[str], None] | None = None) -> BackfillReport:
+        """Add a synthetic fleet's history: vehicles that are not registered yet, fences if there are none, its log, and the current state."""
+        report, now = BackfillReport(vehicles), self.clock()
+
+        def stage(name: str, run: Callable[[], None]) -> None:
+            if on_stage:
+                on_stage(name)
+            began = time.perf_counter()
+            run()
+            report.seconds[name] = time.perf_counter() - began
+
+        def rows(part: str) -> Callable[[], None]:
+            return lambda: self.store.publish(append={"signal_readings": generate.log(self.spark, vehicles, samples, now, part)})
+
+        stage("vehicles", lambda: self.register_vehicles(generate.vehicles(self.spark, vehicles)))
+        stage("geofences", self.seed_fences)
+        before = self.store.read("signal_readings").count()
+        stage("signals", rows("signals"))
+        stage("positions", rows("positions"))
+        stage("latest", lambda: self.store.transact(lambda t: {"replace": {"latest_readings": latest_readings(t["signal_readings"]), "crossing_state": t["crossing_state"].limit(0)}}, ["signal_readings", "crossing_state"]))
+        report.rows = self.store.read("signal_readings").count() - before
+        return report
 
     def already_populated(self) -> bool:
         return not self.store.read("signal_readings").isEmpty()
 
     def compact(self) -> dict[str, int]:
-        """Tiered retention; returns rows dropped and rollup rows."""
-        before = self.store.snapshot()
-        self.store.publish(replace=H.compact(before, self.clock(), self.rules))
-        after = self.store.snapshot()
-        return H.retention_report(before["signal_readings"], after["signal_readings"], after["signal_rollups"]).first().asDict()
+        """Tiered retention; returns rows dropped and rollup rows. Old days leave the log by the manifest, and nothing of what stays is rewritten."""
+        raw, oldest = H.cutoffs(self.clock(), self.rules)
+        dropped = self.store.read("signal_readings", until=raw).count()
+
+        def build(t: dict[str, DataFrame]) -> dict:
+            left = H.compact(t | {"signal_readings": self.store.read("signal_readings", until=raw)}, self.clock(), self.rules)
+            return {"replace": {"signal_rollups": left["signal_rollups"], "alerts": left["alerts"]}, "forget": {"signal_readings": raw, "packets": raw}}
+
+        self.store.transact(build, ["packets", "signal_rollups", "alerts"])
+        return {"rows_dropped": dropped, "rollup_rows": self.store.read("signal_rollups").count()}
 
     def table_counts(self) -> DataFrame:
         """Rows of every table."""
@@ -145,15 +224,47 @@ class Engine:
         return out
 
     # plain SQL over the tables
-    def select(self, sql: str, **args) -> list[Row]:
-        """Rows of a statement over the tables, with named arguments."""
-        for name, df in self.store.snapshot().items():
+    def _sql(self, sql: str, args: tuple, named: dict) -> DataFrame:
+        """A statement over the tables that it names, with positional (?) or named (:name) arguments."""
+        if args and named:
+            raise ValueError("arguments are either positional or named")
+        for name, df in self.store.snapshot([t for t in TABLES if re.search(rf"\b{t}\b", sql)]).items():
             df.createOrReplaceTempView(name)
-        return self.spark.sql(sql, args=args).collect()
+        bound = [a.replace(tzinfo=None) - (a.utcoffset() or timedelta()) if isinstance(a, datetime) else a for a in args]
+        return self.spark.sql(sql, args=bound or named or None)
 
-    def select_one(self, sql: str, **args) -> Row | None:
-        rows = self.select(sql, **args)
+    def select(self, sql: str, *args, **named) -> list[Row]:
+        return self._sql(sql, args, named).collect()
+
+    def select_one(self, sql: str, *args, **named) -> Row | None:
+        rows = self.select(sql, *args, **named)
         return rows[0] if rows else None
 
+    def execute(self, sql: str, *args, **named) -> None:
+        """INSERT INTO table SELECT ..., DELETE FROM table [WHERE ...] or UPDATE table SET column = value, ... [WHERE ...], published as a whole.
+
+        Arguments of an UPDATE are bound in the order of its text; a condition that is null does not hold.
+        """
+        words = r"\s*(?:INSERT\s+INTO\s+(?P<into>\w+)\s+(?P<rows>.+)|DELETE\s+FROM\s+(?P<of>\w+)(?:\s+WHERE\s+(?P<gone>.+))?|UPDATE\s+(?P<set>\w+)\s+SET\s+(?P<values>.+?)(?:\s+WHERE\s+(?P<where>.+))?)\s*;?\s*"
+        m = re.fullmatch(words, sql, re.I | re.S)
+        table = m and (m["into"] or m["of"] or m["set"])
+        if table not in TABLES:
+            raise ValueError("expected INSERT INTO, DELETE FROM or UPDATE of a table of the store")
+        columns = TABLES[table].names
+
+        def build(t: dict[str, DataFrame]) -> dict:
+            if m["into"]:
+                return {"append": {table: self._sql(m["rows"], args, named).toDF(*columns)}}
+            if m["of"]:
+                return {"replace": {table: self._sql(f"SELECT * FROM {table} WHERE NOT coalesce({m['gone'] or 'true'}, false)", args, named)}}
+            values = dict(re.match(r"\s*(\w+)\s*=\s*(.+)", v, re.S).groups() for v in re.split(r",(?![^()]*\))", m["values"]))
+            if set(values) - set(columns):
+                raise ValueError(f"{table} has no {sorted(set(values) - set(columns))}")
+            every = ", ".join(f"{v} AS new_{c}" for c, v in values.items())
+            rows = self._sql(f"SELECT *, {every}, coalesce({m['where'] or 'true'}, false) AS hit FROM {table}", args, named)
+            return {"replace": {table: rows.select(*[F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in columns])}}
+
+        self.store.transact(build, [])
+
     def destroy(self) -> None:
         self.store.destroy()

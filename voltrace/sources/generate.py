@@ -83,12 +83,12 @@ def unpivot_positions(wide: DataFrame) -> DataFrame:
     return wide.unpivot(keys, [LAT, LON, ACCURACY], "signal", "value")
 
 
-def log(spark: SparkSession, n: int, samples: int, now: datetime) -> DataFrame:
-    """The whole log: 6 rows a sample and 3 more on every other one."""
+def log(spark: SparkSession, n: int, samples: int, now: datetime, part: str | None = None) -> DataFrame:
+    """The log: 6 rows a sample (part "signals") and 3 more on every other one ("positions"); both if no part is named."""
     rows = grid(spark, n, samples, now)
-    sets = ((signals(rows), "bf"), (unpivot_positions(positions(rows)), "bfp"))
+    sets = [x for x in ((signals(rows), "bf"), (unpivot_positions(positions(rows)), "bfp")) if part in (None, "signals" if x[1] == "bf" else "positions")]
     parts = [d.select("vehicle_id", "signal", "event_time", at(now).alias("ingest_time"), "value", F.concat_ws("-", F.lit(name), "vi", "ki").alias("packet_id")) for d, name in sets]
-    return parts[0].unionByName(parts[1])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def seed_fences(spark: SparkSession, valid_from: datetime) -> tuple[DataFrame, DataFrame]:

@@ -3,88 +3,155 @@
 State lives in the snapshot store, not in operator state, so packets are recognised
 however late they come, and nothing is dropped by a watermark. A batch that is
 retried is recognised by its id and published once.
+
+A batch reads and rewrites the buckets of the vehicles that it touches. Crossings of a vehicle whose readings are all
+newer than what it had go on from its state; only a vehicle with late readings, or one that comes near a fence for the first time, is replayed from its log.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import alerts as A
 from ..operators import history
 from ..operators.current import guarded_upsert, location_fixes
-from ..operators.geofence import crossings
+from ..operators.geofence import confirmed, near_pairs, runs_of_sides, sides, state_of_runs
 from ..operators.ingest import accounting, explode_signals, identified, ledger_rows, new_rows, split, touched
 from ..operators.trips import trips
 from ..rules import Rules
-from ..sources.store import Store
+from ..sources.schemas import CROSSING_STATE
+from ..sources.store import PATIENCE_S, Conflict, Store
 
 _NONE = Rules()
+#: The fence of a state row that stands for the vehicle itself: its last_time is the newest reading seen.
+SELF = ""
+#: Packets of a batch up to which their ids are sent to the ledger; beyond, both sides are shuffled.
+MOST_BROADCAST = 100_000
+TOUCHED = ("latest_readings", "alerts", "geofence_events", "crossing_state", "trips")
+
+
+def fold(log: DataFrame, versions: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(crossings, state) of a log, from the start or going on from a state."""
+    runs = runs_of_sides(sides(location_fixes(log), versions, rules, state), rules, state)
+    return confirmed(runs, rules), state_of_runs(runs, rules)
 
 
 def derive(log: DataFrame, versions: DataFrame, vehicles: DataFrame, rules: Rules = _NONE) -> tuple[DataFrame, DataFrame]:
     """Crossings and trips of the given vehicles, replayed from all their readings."""
-    rows = log.join(vehicles.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
-    found = crossings(location_fixes(rows), versions, rules)
+    found = fold(_of(log, vehicles), versions, rules)[0]
     return found, trips(found)
 
 
+def _of(rows: DataFrame, vehicles: DataFrame, how: str = "left_semi") -> DataFrame:
+    return rows.join(vehicles.select("vehicle_id").distinct(), "vehicle_id", how)
+
+
 def replaced(old: DataFrame, new: DataFrame, vehicles: DataFrame, time_col: str, now: datetime, rules: Rules = _NONE) -> DataFrame:
     """old with the rows of some vehicles derived anew; rows from before the retention cut-off stay."""
-    keys = vehicles.select("vehicle_id").distinct()
-    mine = old.join(keys, "vehicle_id", "left_semi")
-    return old.join(keys, "vehicle_id", "left_anti").unionByName(history.keep_frozen(mine, new, time_col, now, rules))
+    return _of(old, vehicles, "left_anti").unionByName(history.keep_frozen(_of(old, vehicles), new, time_col, now, rules))
+
+
+def newest(log: DataFrame) -> DataFrame:
+    """State rows of the vehicles themselves."""
+    seen = log.groupBy("vehicle_id").agg(F.max("event_time").alias("last_time"))
+    values = {"geofence_id": F.lit(SELF), "believed": F.lit(None), "inside": F.lit(False), "since": F.col("last_time"), "before": F.lit(None), "fixes": F.lit(0)}
+    return seen.withColumns(values).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CROSSING_STATE])
 
 
 def process_batch(store: Store, packets: DataFrame, now: datetime, batch: tuple[str, int] | None = None, rules: Rules = _NONE) -> dict[str, int]:
-    """Ingest one batch of packets (schema PACKET) and publish everything that follows from it; returns the accounting."""
-    t = store.snapshot()
-    packets = identified(packets).persist()
+    """Ingest one batch of packets (schema PACKET) and publish everything that follows from it; returns the accounting. Made again if another writer publishes meanwhile."""
+    until = time.monotonic() + PATIENCE_S
+    while True:
+        try:
+            return _process(store, packets, now, batch, rules)
+        except Conflict:
+            if time.monotonic() > until:
+                raise
+
+
+def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str, int] | None, rules: Rules) -> dict[str, int]:
+    based_on, kept = store.manifest()["number"], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return kept[-1]
+
     try:
+        packets = keep(identified(packets))
         accepted, rejected = split(packets, now, rules)
-        fresh = new_rows(explode_signals(accepted, now), t["packets"]).persist()
+        rows = explode_signals(accepted, now)
+        ids = accepted.select("packet_id").distinct()
+        ledger = store.read("packets", buckets=store.buckets_of(ids, "packet_id")).select("packet_id")
+        if packets.count() <= MOST_BROADCAST:  # the ledger stays where it is
+            ledger = ledger.join(F.broadcast(ids), "packet_id", "left_semi").distinct()
+        fresh = keep(new_rows(rows, ledger))
         counts = accounting(accepted, rejected, fresh).first().asDict()
         if not counts["accepted"]:
-            store.publish(append={"rejected_packets": rejected}, batch=batch)
+            store.publish(append={"rejected_packets": rejected}, batch=batch, based_on=based_on)
             return counts
-        keys = touched(fresh).persist()
-        latest = guarded_upsert(t["latest_readings"], fresh).persist()
+        keys = keep(touched(fresh))
+        buckets = store.buckets_of(keys)
+        t = store.snapshot(["geofence_versions", *TOUCHED], buckets=buckets)
+        latest = keep(guarded_upsert(t["latest_readings"], fresh))
         alerts = A.step(t["alerts"], A.alert_conditions(latest, now, rules, keys))
-        found, made = derive(t["signal_readings"].unionByName(fresh), t["geofence_versions"], keys, rules)
+
+        had = t["crossing_state"].filter(F.col("geofence_id") == SELF).select("vehicle_id", "last_time")
+        old_state = t["crossing_state"].filter(F.col("geofence_id") != SELF)
+        # what a vehicle did before it first came near a fence is not in its state
+        first = near_pairs(location_fixes(fresh), t["geofence_versions"], rules).join(old_state, ["vehicle_id", "geofence_id"], "left_anti").select("vehicle_id", F.lit(True).alias("first")).distinct()
+        marked = keys.join(had, "vehicle_id", "left").join(first, "vehicle_id", "left")
+        marked = keep(marked.withColumn("late", F.col("last_time").isNull() | (F.col("from_time") <= F.col("last_time")) | F.col("first").isNotNull()))
+        late, others = marked.filter("late"), marked.filter("NOT late")
+        log = store.read("signal_readings", buckets=store.buckets_of(late)).unionByName(fresh)
+        again, again_state = fold(_of(log, late), t["geofence_versions"], rules)
+        more, more_state = fold(_of(fresh, others), t["geofence_versions"], rules, _of(old_state, others))
+        events = keep(replaced(t["geofence_events"], again, late, "event_time", now, rules).unionByName(more))
+        seen = newest(fresh.select("vehicle_id", "event_time").unionByName(had.select("vehicle_id", F.col("last_time").alias("event_time"))))
+        state = _of(old_state, keys, "left_anti").unionByName(again_state).unionByName(more_state).unionByName(seen)
         store.publish(
             append={"signal_readings": fresh, "packets": ledger_rows(fresh), "rejected_packets": rejected},
             replace={
                 "latest_readings": latest,
                 "alerts": alerts,
-                "geofence_events": replaced(t["geofence_events"], found, keys, "event_time", now, rules),
-                "trips": replaced(t["trips"], made, keys, "started_at", now, rules),
+                "geofence_events": events,
+                "crossing_state": state,
+                "trips": replaced(t["trips"], trips(_of(events, keys)), keys, "started_at", now, rules),
             },
+            within=dict.fromkeys(TOUCHED, buckets),
             batch=batch,
+            based_on=based_on,
         )
-        for frame in (fresh, keys, latest):
-            frame.unpersist()
         return counts
     finally:
-        packets.unpersist()
+        for frame in kept:
+            frame.unpersist()
 
 
 def refresh(store: Store, now: datetime, rules: Rules = _NONE) -> None:
     """Judge all alert conditions again because time has passed."""
-    t = store.snapshot(["alerts", "latest_readings"])
-    store.publish(replace={"alerts": A.step(t["alerts"], A.alert_conditions(t["latest_readings"], now, rules))})
+    store.transact(lambda t: {"replace": {"alerts": A.step(t["alerts"], A.alert_conditions(t["latest_readings"], now, rules))}}, ["alerts", "latest_readings"])
 
 
 def recompute_fleet(store: Store, now: datetime, rules: Rules = _NONE) -> None:
-    """Derive crossings and trips of all registered vehicles anew, in one job."""
-    t = store.snapshot()
-    found, made = derive(t["signal_readings"], t["geofence_versions"], t["vehicles"], rules)
-    store.publish(replace={
-        "geofence_events": replaced(t["geofence_events"], found, t["vehicles"], "event_time", now, rules),
-        "trips": replaced(t["trips"], made, t["vehicles"], "started_at", now, rules),
-    })
+    """Derive crossings, trips and state of all registered vehicles anew, in one job; other vehicles are replayed when they next report."""
+
+    def build(t: dict[str, DataFrame]) -> dict:
+        log = _of(t["signal_readings"], t["vehicles"])
+        found, state = fold(log, t["geofence_versions"], rules)
+        events = replaced(t["geofence_events"], found, t["vehicles"], "event_time", now, rules)
+        return {"replace": {
+            "geofence_events": events,
+            "crossing_state": state.unionByName(newest(log)),
+            "trips": replaced(t["trips"], trips(_of(events, t["vehicles"])), t["vehicles"], "started_at", now, rules),
+        }}
+
+    store.transact(build)
 
 
 def start(packets: DataFrame, store: Store, checkpoint: str, clock: Callable[[], datetime], name: str = "ingest", rules: Rules = _NONE, once: bool = False) -> StreamingQuery:
