@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltrace.llm import simple8b
-from voltrace.llm.exact_dedup import exact_dedup
+from voltrace.llm.exact_dedup import exact_dedup, one_of_each
 from voltrace.llm.jaccard_join import jaccard_components, one_of_each_class
 from voltrace.llm.kneser_ney import kn_quality
 from voltrace.llm.mixing import mix, mix_plan, splitting_tree, word_targets
@@ -267,6 +267,16 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
+def test_one_of_each(docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = docs.sparkSession.read.parquet(str(tmp_path / "docs"))
+    for frame in (docs, stored):
+        kept = one_of_each(frame)
+        assert kept.columns == docs.columns
+        assert Counter(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in kept.collect()) == Counter({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in ROWS})
+    assert "_made_place" in one_of_each(stored)._jdf.queryExecution().toString()
+
+
 def test_kneser_ney(docs, empty, labels):
     rows = kn_quality(docs, labels, min_calibration=5).collect()
     assert len(rows) == len(ROWS) and all(r["perplexity"] > 0 and r["n_tokens"] >= 1 for r in rows)

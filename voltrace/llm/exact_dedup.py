@@ -14,14 +14,17 @@ an empty table gives an empty result; other columns pass through untouched.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_groups, materialize, text_or_empty
+from .common import SPACES, join_groups, materialize, release_scratch, scratch_mark, text_or_empty
 
 #: A chunk ends behind one of these marks, at the earliest after MIN_CHUNK characters, or else after MAX_CHUNK characters.
 BOUNDARY = r"[.!?;:,|#*]"
 MIN_CHUNK, MAX_CHUNK = 1024, 4096
+#: Dropped rows (a file's name and a number each) up to which they are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def normalized(text_col: str) -> Column:
@@ -95,6 +98,24 @@ def exact_dedup(
     )
 
 
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with docs' columns.
+
+    Rows that are read from files are named by file and place in it, so what is written are the names of the dropped rows
+    and no texts. Other rows have no lasting name and are written whole.
+    """
+    place = ["_made_file", "_made_place"]
+    try:
+        named = docs.select("*", *[F.col(c).alias(k) for k, c in zip(place, ("_metadata.file_path", "_metadata.row_index"), strict=True)])
+    except AnalysisException:  # not read from files
+        return exact_dedup(docs, text_col, id_col, payload=docs.columns, prefix="_made_").filter("_made_kept").select(*docs.columns)
+    begin = scratch_mark()
+    found = exact_dedup(named, text_col, id_col, payload=place, prefix="_made_")
+    gone = materialize(found.filter("NOT _made_kept").select(*place), "dropped-copies")
+    release_scratch(begin, keep=(gone,))
+    return named.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, place, "left_anti").select(*docs.columns)
+
+
 def _split_shared(docs, facts, shared, digest, pieces, id_col, text_col, boundary, min_chunk, max_chunk) -> DataFrame:
     """Give the contents that share a digest numbers of their own, and rewrite the recipes they occur in.
 
