@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voltrace.llm.common import materialize, release_scratch, scratch_mark, with_scratch
-from voltrace.llm.exact_dedup import exact_dedup
+from voltrace.llm.exact_dedup import one_of_each
 from voltrace.llm.jaccard_join import one_of_each_class
 from voltrace.llm.mixing import mix
 from voltrace.llm.packing import best_fit_packing
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @with_scratch
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal without white space."""
-    return exact_dedup(docs, payload=docs.columns, prefix="_made_").filter("_made_kept").select(*docs.columns)
+    return one_of_each(docs)
 
 
 @with_scratch
