@@ -82,6 +82,8 @@ _CTE = {
         uncertain AS start_uncertain, to_uncertain AS end_uncertain, NULL::DOUBLE AS distance_km FROM legs WHERE kind = 'exit' AND around = 0""",
     "packets_in": """SELECT vehicle_id, event_time + CASE WHEN n % 41 = 0 THEN INTERVAL 60 DAY ELSE INTERVAL 0 DAY END AS event_time, signal, value, n % 37 = 0 AS empty,
         n, CASE WHEN n % 2 = 0 THEN 'd' || n END AS device_id FROM (SELECT *, packet_id::BIGINT AS n FROM log)""",
+    "named": """SELECT *, coalesce(device_id, sha256(vehicle_id || '|' || epoch_us(event_time)::VARCHAR || '|' || CASE WHEN empty THEN '' ELSE signal || '=' || value::VARCHAR END)) AS packet_id,
+        CASE WHEN event_time > TIMESTAMP '2024-01-31 00:05:00' THEN 'clock_skew_future' WHEN empty THEN 'empty_packet' END AS reason FROM packets_in""",
     "rolled": """SELECT vehicle_id, signal, time_bucket(INTERVAL 300 SECOND, event_time) AS bucket_start, min(value) AS min_value, max(value) AS max_value,
         arg_max(value, event_time) AS last_value, max(event_time) AS last_event_time, count(*) AS sample_count FROM log WHERE event_time < TIMESTAMP '2024-01-24' GROUP BY ALL""",
 }
@@ -119,7 +121,8 @@ _HISTORY = """SELECT vehicle_id, max(event_time) AS bucket_at, arg_max(value, ev
 GROUP BY vehicle_id, time_bucket(INTERVAL 10080 SECOND, event_time)"""
 _REJECT = "CASE WHEN event_time > TIMESTAMP '2024-01-31 00:05:00' THEN 'clock_skew_future' WHEN empty THEN 'empty_packet' END"
 _GRID = """SELECT vi, ki, 'v' || vi AS vehicle_id, TIMESTAMP '2024-01-31' - to_minutes((ki * 6 + CASE WHEN vi % 5 = 0 THEN 20 + vi % 40 ELSE 0 END)::INTEGER) AS event_time
-  FROM range(0, 40) v(vi), range(0, 50) k(ki)"""
+  FROM range(0, 60) v(vi), range(0, 240) k(ki)"""
+_SIM = "((vi * {a} + tick * {b} + (vi % 97) * (tick % 89)) % 1000003 * 48271 % {n})"
 _NOISE = "((vi * {a} + ki * {b} + (vi % 97) * (ki % 89)) % 1000003 * 48271 % {n})"
 
 ORACLES = {
@@ -162,8 +165,7 @@ FROM versions WHERE geofence_id IN ('f1', 'f2') AND valid_to IS NULL"""
     "trip_list": _with(
         body="""SELECT t.*, o.name AS origin_name, d.name AS destination_name, floor(epoch(ended_at))::BIGINT - floor(epoch(started_at))::BIGINT AS duration_s FROM trips t
 LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROUP BY geofence_id) o ON o.geofence_id = origin_geofence_id
-LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROUP BY geofence_id) d ON d.geofence_id = destination_geofence_id
-ORDER BY started_at DESC, t.vehicle_id, trip_id LIMIT 50"""
+LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROUP BY geofence_id) d ON d.geofence_id = destination_geofence_id"""
     ),
     "trips_in_progress": _with(body="SELECT count(*) AS n FROM trips WHERE status = 'in_progress'"),
     "soc_history": _with(body=_HISTORY),
@@ -171,21 +173,23 @@ ORDER BY started_at DESC, t.vehicle_id, trip_id LIMIT 50"""
     "rollup_5min": _with(body="SELECT * FROM rolled"),
     "rollup_merge": _with(body="SELECT * FROM rolled"),
     "retention_survivors": _with(body="SELECT 'signal_readings' AS t, count(*) AS n FROM log WHERE event_time >= TIMESTAMP '2024-01-24' UNION ALL SELECT 'signal_rollups', count(*) FROM rolled UNION ALL SELECT 'alerts', count(*) FROM alerts UNION ALL SELECT 'packets', count(*) FROM log WHERE event_time >= TIMESTAMP '2024-01-24'"),
-    "ingest_rejects": _with(body=f"SELECT vehicle_id, event_time, {_REJECT} AS reason FROM (SELECT * FROM packets_in UNION ALL SELECT * FROM packets_in WHERE n % 10 = 0) WHERE reason IS NOT NULL"),
+    "ingest_rejects": _with(body="SELECT packet_id, vehicle_id, event_time, reason FROM (SELECT * FROM named UNION ALL SELECT * FROM named WHERE n % 10 = 0) WHERE reason IS NOT NULL"),
     "ingest_accounting": _with(
         body=f"""SELECT count(DISTINCT CASE WHEN reason IS NULL AND n % 3 <> 0 THEN n END) AS accepted, count(*) FILTER (WHERE reason IS NULL) - count(DISTINCT CASE WHEN reason IS NULL AND n % 3 <> 0 THEN n END) AS duplicates,
   count(*) FILTER (WHERE reason = 'clock_skew_future') AS clock_skew_future, count(*) FILTER (WHERE reason = 'empty_packet') AS empty_packet
 FROM (SELECT *, {_REJECT} AS reason FROM (SELECT * FROM packets_in UNION ALL SELECT * FROM packets_in WHERE n % 10 = 0))"""
     ),
-    "ingest_log_rows": _with(body=f"SELECT vehicle_id, signal, event_time, value FROM packets_in WHERE {_REJECT} IS NULL AND n % 3 <> 0"),
+    "ingest_log_rows": _with(body="SELECT packet_id, vehicle_id, signal, event_time, value FROM named WHERE reason IS NULL AND n % 3 <> 0"),
     "ingest_touched": _with(body=f"SELECT vehicle_id, min(event_time) AS from_time FROM packets_in WHERE {_REJECT} IS NULL AND n % 3 <> 0 GROUP BY vehicle_id"),
     "ledger_rows": _with(body="SELECT packet_id, vehicle_id, event_time, ingest_time, 1::INTEGER AS signal_count FROM log"),
-    "generate_vehicles": "SELECT 'v' || i AS vehicle_id, 'KA-' || lpad((i % 60 + 1)::VARCHAR, 2, '0') || '-EV-' || lpad(i::VARCHAR, 4, '0') AS reg_no, CASE i % 3 WHEN 0 THEN 'eTruck 19T' WHEN 1 THEN 'eTruck 28T' ELSE 'eVan 3.5T' END AS model FROM range(0, 40) t(i)",
+    "generate_vehicles": "SELECT 'v' || i AS vehicle_id, 'KA-' || lpad((i % 60 + 1)::VARCHAR, 2, '0') || '-EV-' || lpad(i::VARCHAR, 4, '0') AS reg_no, CASE i % 3 WHEN 0 THEN 'eTruck 19T' WHEN 1 THEN 'eTruck 28T' ELSE 'eVan 3.5T' END AS model FROM range(0, 60) t(i)",
     "generate_signals": f"""WITH g AS ({_GRID}), d AS (SELECT *, greatest(3.0::DOUBLE, least(100.0::DOUBLE, 8.0::DOUBLE + 92.0::DOUBLE * abs(1.0::DOUBLE - 2.0::DOUBLE * (((ki + vi * 17) % 240)::DOUBLE / 240.0::DOUBLE)))) AS soc,
   CASE WHEN (vi + ki) % 7 < 3 THEN 0.0::DOUBLE ELSE round(15.0::DOUBLE + {_NOISE.format(a=31, b=17, n=6000)}::DOUBLE / 100.0::DOUBLE, 1) END AS speed FROM g)
 SELECT vehicle_id, event_time, 'soc' AS signal, round(soc, 6) AS value FROM d
 UNION ALL SELECT vehicle_id, event_time, 'speed', speed FROM d
 UNION ALL SELECT vehicle_id, event_time, 'battery_temp', round(22.0::DOUBLE + {_NOISE.format(a=13, b=7, n=2800)}::DOUBLE / 100.0::DOUBLE, 1) FROM d
+UNION ALL SELECT vehicle_id, event_time, 'range_km', round((soc * 4.2::DOUBLE)::DECIMAL(30, 12), 1)::DOUBLE FROM d
+UNION ALL SELECT vehicle_id, event_time, 'odometer', round((120000.0::DOUBLE + vi * 137.0::DOUBLE + (700 - ki) * 1.7::DOUBLE)::DECIMAL(30, 9), 1)::DOUBLE FROM d
 UNION ALL SELECT vehicle_id, event_time, 'ignition', CASE WHEN speed > 0 OR (vi + ki) % 11 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM d""",
     "generate_positions": f"""WITH g AS ({_GRID}), p AS (SELECT *, (sin(2.0::DOUBLE * pi() * ki / 96.0::DOUBLE + vi) + 1.0::DOUBLE) / 2.0::DOUBLE AS part, {_NOISE.format(a=7919, b=104729, n=1000)}::DOUBLE / 1000.0::DOUBLE AS jitter FROM g WHERE ki % 2 = 0)
 SELECT vehicle_id, event_time, s.signal, round(CASE s.signal WHEN 'lat' THEN 12.9716::DOUBLE + part * (13.01::DOUBLE - 12.9716::DOUBLE) + (jitter - 0.5::DOUBLE) * 0.00025::DOUBLE
@@ -199,4 +203,49 @@ FROM p CROSS JOIN (VALUES ('lat'), ('lon'), ('gps_accuracy_m')) s(signal)""",
     (SELECT vehicle_id, CASE signal WHEN 'soc' THEN 'battery_soc' ELSE 'battery_temp' END AS kind, event_time, CASE signal WHEN 'soc' THEN value < 20 ELSE value > 45 END AS bad FROM log WHERE signal IN ('soc', 'battery_temp'))))
 WHERE run > 0 GROUP BY vehicle_id, kind, run"""
     ),
+    "vehicle_trips_ranked": _with(
+        body="""SELECT t.*, o.name AS origin_name, d.name AS destination_name, floor(epoch(ended_at))::BIGINT - floor(epoch(started_at))::BIGINT AS duration_s, row_number() OVER (ORDER BY started_at DESC, trip_id)::INTEGER AS nth FROM trips t
+LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROUP BY geofence_id) o ON o.geofence_id = origin_geofence_id
+LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROUP BY geofence_id) d ON d.geofence_id = destination_geofence_id
+WHERE vehicle_id = 'v5' QUALIFY nth <= 50"""
+    ),
+    "simulated_ingest": f"""WITH s AS (SELECT value % 40 AS vi, value // 40 AS tick FROM range(0, 2000) t(value)),
+h AS (SELECT *, CASE WHEN {_SIM.format(a=11, b=29, n=20)} = 0 THEN 3 + {_SIM.format(a=5, b=3, n=4)} ELSE 0 END AS held FROM s)
+SELECT 'v' || vi AS vehicle_id, signal, count(DISTINCT greatest(0, tick - held)) AS n, count(DISTINCT greatest(0, tick - held)) AS packets
+FROM h CROSS JOIN (VALUES ('soc'), ('range_km'), ('speed'), ('battery_temp'), ('ignition'), ('odometer'), ('lat'), ('lon'), ('gps_accuracy_m')) g(signal) GROUP BY ALL""",
+    "store_log": _with(body="SELECT vehicle_id, signal, event_time, value, packet_id FROM named WHERE reason IS NULL"),
+    "store_latest": _with(body="SELECT vehicle_id, signal, max(event_time) AS event_time, arg_max(value, event_time) AS value FROM named WHERE reason IS NULL GROUP BY ALL"),
+    "store_ledger": _with(body="SELECT packet_id, vehicle_id, event_time, 1::INTEGER AS signal_count FROM named WHERE reason IS NULL"),
+    "store_rejected": _with(
+        body="""SELECT packet_id, vehicle_id, event_time, reason FROM (SELECT * FROM named UNION ALL SELECT * FROM named WHERE n % 10 = 0 UNION ALL SELECT * FROM named WHERE n % 2 = 0 UNION ALL SELECT * FROM named WHERE n % 10 = 0)
+WHERE reason IS NOT NULL"""
+    ),
+    "store_geofence_events": _with(body="SELECT * FROM crossed"),
+    "store_trips": _with(body="SELECT * FROM trips"),
+    "store_refresh": _with(body=_STEP + "\nUNION ALL\n" + _OPENED),
+    "store_recompute": _with(body="SELECT * FROM crossed WHERE vehicle_id IN (SELECT vehicle_id FROM vehicles)"),
+    "alert_conditions_scoped": _with(body="SELECT * FROM conditions WHERE vehicle_id IN (SELECT vehicle_id FROM log WHERE packet_id::BIGINT % 5 = 0)"),
+    "geofence_dateline": _with(
+        body="""SELECT vehicle_id, geofence_id, geofence_id AS name, radius_m, row_number() OVER (PARTITION BY vehicle_id ORDER BY radius_m, geofence_id)::INTEGER AS rank
+FROM (SELECT vehicle_id, lat, CASE WHEN lon + 102.38::DOUBLE >= 180 THEN lon + 102.38::DOUBLE - 360 ELSE lon + 102.38::DOUBLE END AS lon FROM here) h
+JOIN (VALUES ('d1', 12.99::DOUBLE, 179.99::DOUBLE, 2500.0::DOUBLE), ('d2', 13.0, -179.985, 3000.0), ('d3', 12.98, -180.0, 800.0), ('d4', 12.9, -179.5, 400000.0), ('d5', 12.985, 179.998, 60.0), ('d6', 60.0, 100.0, 9000000.0)) g(geofence_id, flat, flon, radius_m)
+ON 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(flat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(flat)) * pow(sin(radians(flon - lon) / 2), 2))) <= radius_m"""
+    ),
+    "geofence_list_active": _with(body="SELECT v.*, coalesce(n, 0) AS vehicle_count FROM versions v LEFT JOIN (SELECT geofence_id, count(*) AS n FROM inside GROUP BY geofence_id) USING (geofence_id) WHERE valid_to IS NULL AND active"),
+    "fence_create": _with(
+        body=f"""SELECT *, TIMESTAMP '2020-01-01' AS created_at FROM versions
+UNION ALL SELECT 'f9', 1, 'New Yard', 12.95, 77.6, 700.0, true, TIMESTAMP '2024-01-20', NULL, {NOW}"""
+    ),
+    "fence_edit_same_instant": _with(body="SELECT * REPLACE (CASE WHEN geofence_id = 'f1' AND valid_to IS NULL THEN 'Same Depot' ELSE name END AS name, CASE WHEN geofence_id = 'f1' AND valid_to IS NULL THEN 77.6 ELSE lon END AS lon) FROM versions"),
+    "fence_versions_ranked": _with(body="SELECT *, row_number() OVER (ORDER BY geofence_id, version)::INTEGER AS nth FROM versions"),
+    "fix_first_received": _with(
+        body="""SELECT vehicle_id, ts AS event_time, ts AS ingest_time, min(event_id::VARCHAR) AS packet_id, round(arg_min(lat, event_id::VARCHAR), 9) AS lat, round(arg_min(lon, event_id::VARCHAR), 9) AS lon, arg_min(accuracy_m, event_id::VARCHAR) AS accuracy_m
+FROM fix_rows GROUP BY vehicle_id, ts"""
+    ),
+    "fleet_worst_severity": _with(body="SELECT vehicle_id, CASE worst_rank WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' END AS worst FROM fleet"),
+    "fleet_list_ranked": _with(body="SELECT row_number() OVER (ORDER BY coalesce(worst_rank, 0) DESC, open_alerts DESC, reg_no)::INTEGER AS nth, vehicle_id FROM fleet"),
+    "active_alerts_ranked": _with(body="SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, opened_at DESC, alert_id)::INTEGER AS nth, alert_id FROM visible JOIN vehicles USING (vehicle_id)"),
+    "geofence_list_ranked": _with(body="SELECT row_number() OVER (ORDER BY active DESC, name, geofence_id)::INTEGER AS nth, geofence_id FROM versions WHERE valid_to IS NULL"),
+    "soc_history_ranked": _with(body=f"SELECT row_number() OVER (ORDER BY vehicle_id, bucket_at)::INTEGER AS nth, vehicle_id, bucket_at FROM ({_HISTORY})"),
+    "crossings_ranked": _with(body="SELECT row_number() OVER (ORDER BY event_time, geofence_id, kind, vehicle_id)::INTEGER AS nth, vehicle_id, geofence_id, kind, event_time FROM crossed"),
 }

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import alerts as A
 from ..operators import current as C
@@ -17,11 +23,46 @@ from ..operators import status as S
 from ..operators import trips as T
 from ..sources import generate
 from ..sources import telemetry as E
+from ..sources.store import Store
 from ..sources.telemetry import NOW, RULES
+from ..streaming import pipeline as P
 
 ALERTS_BEFORE = datetime(2024, 1, 29)
 RAW_CUT = datetime(2024, 1, 24)
-GENERATED = (40, 50)
+GENERATED = (60, 240)
+#: For queries that go through a store: nothing is old enough to be frozen.
+STORED = replace(RULES, raw_retention=timedelta(days=3650))
+
+_STORES: list[Store] = []
+_FILLED: dict[tuple, Store] = {}
+
+
+def _filled(fill: Callable[[_View], Store]) -> Callable[[_View], Store]:
+    """A store that several queries read is filled once a session and sf_dir."""
+
+    def once(v: _View) -> Store:
+        key = (id(v.spark), v.spark.sparkContext.applicationId, v.sf_dir, fill.__name__)
+        if key not in _FILLED:
+            _FILLED[key] = fill(v)
+        return _FILLED[key]
+
+    return once
+
+
+def _store(spark: SparkSession) -> Store:
+    """An empty store in the shared folder, removed at exit."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _STORES.append(Store(spark, f"{(root or tempfile.mkdtemp(prefix='voltrace-')).rstrip('/')}/stores/{uuid.uuid4().hex}", 4))
+    return _STORES[-1]
+
+
+@atexit.register
+def _remove_stores() -> None:
+    for store in _STORES:
+        with contextlib.suppress(Exception):  # the session has ended, or the folder is gone already
+            store.destroy()
 
 
 class _View:
@@ -139,7 +180,7 @@ def _generated_positions(v: _View) -> DataFrame:
 
 
 def _generated_signals(v: _View) -> DataFrame:
-    rows = generate.signals(generate.grid(v.spark, *GENERATED, NOW)).filter("signal NOT IN ('range_km', 'odometer')")
+    rows = generate.signals(generate.grid(v.spark, *GENERATED, NOW))
     return rows.select("vehicle_id", "event_time", "signal", F.round("value", 6).alias("value"))
 
 
@@ -152,6 +193,82 @@ def _streamed(v: _View) -> DataFrame:
     return I.explode_signals(accepted, NOW).groupBy("vehicle_id", "signal").agg(F.count("*").alias("n"), F.countDistinct("packet_id").alias("packets"))
 
 
+def _ranked(df: DataFrame) -> DataFrame:
+    """The rows of an ordered result with their place in it."""
+    return df.withColumn("nth", F.monotonically_increasing_id()).withColumn("nth", F.row_number().over(Window.orderBy("nth")))
+
+
+@_filled
+def _ingested(v: _View) -> Store:
+    """Two batches through a store, the second with all packets of the first again."""
+    store = _store(v.spark)
+    for k, part in enumerate(("event_id % 2 = 0", "true")):
+        P.process_batch(store, E.telemetry_packets(v.events.filter(part)), NOW, ("events", k), STORED)
+    return store
+
+
+@_filled
+def _driven(v: _View) -> Store:
+    """Positions in four batches through a store with fences: two in order, then late ones of some vehicles, then the rest."""
+    store, middle = _store(v.spark), F.lit(datetime(2024, 1, 15)).cast("timestamp_ntz")
+    fences, versions = E.telemetry_fences(v.spark)
+    store.publish(replace={"geofences": fences, "geofence_versions": versions})
+    late, new = F.col("event_id") % 7 == 0, F.col("ts").cast("timestamp_ntz") >= middle
+    for k, part in enumerate((~late & ~new, ~late & new, late & (F.col("user_id") % 2 == 0), late)):
+        P.process_batch(store, E.position_packets(v.events.filter(part)), NOW, ("positions", k), STORED)
+    return store
+
+
+def _refreshed(v: _View) -> DataFrame:
+    store = _store(v.spark)
+    store.publish(replace={"alerts": v.alerts, "latest_readings": v.latest})
+    P.refresh(store, NOW, RULES)
+    return store.read("alerts")
+
+
+def _recomputed(v: _View) -> DataFrame:
+    store = _store(v.spark)
+    fences, versions = E.telemetry_fences(v.spark)
+    store.publish(replace={"geofences": fences, "geofence_versions": versions, "vehicles": v.vehicles}, append={"signal_readings": v.positions})
+    P.recompute_fleet(store, NOW, STORED)
+    return store.read("geofence_events")
+
+
+def _dateline(v: _View) -> DataFrame:
+    """Positions moved to both sides of 180 degrees, and fences around there."""
+    here = C.last_positions(C.latest_readings(v.positions))
+    moved = here.withColumn("lon", F.when(F.col("lon") + 102.38 >= 180.0, F.col("lon") + 102.38 - 360.0).otherwise(F.col("lon") + 102.38))
+    fences = [("d1", 12.99, 179.99, 2500.0), ("d2", 13.0, -179.985, 3000.0), ("d3", 12.98, -180.0, 800.0), ("d4", 12.9, -179.5, 400000.0), ("d5", 12.985, 179.998, 60.0), ("d6", 60.0, 100.0, 9000000.0)]
+    rows = v.spark.createDataFrame([(f, f, *at, True) for f, *at in fences], "geofence_id string, name string, lat double, lon double, radius_m double, active boolean")
+    return G.containing_fences(moved, rows)
+
+
+def _created(v: _View) -> DataFrame:
+    fences, versions = G.create_fence(*E.telemetry_fences(v.spark), "f9", "New Yard", 12.95, 77.6, 700.0, NOW, datetime(2024, 1, 20))
+    return versions.join(fences, "geofence_id")
+
+
+def _edited_at_once(v: _View) -> DataFrame:
+    """An edit at the instant at which the open version began: it is changed in place."""
+    edits = v.spark.createDataFrame([("f1", "Same Depot", None, 77.6, None, None)], "geofence_id string, name string, lat double, lon double, radius_m double, active boolean")
+    return G.edit_fences(v.versions, edits, datetime(2024, 1, 12))
+
+
+def _first_received(v: _View) -> DataFrame:
+    """Fixes of one instant, of which the first received counts: here every fix comes a second time, later and elsewhere."""
+    again = v.positions.withColumns({"packet_id": F.concat(F.lit("z"), "packet_id"), "ingest_time": F.col("ingest_time") + F.expr("INTERVAL 1 HOUR"), "value": F.col("value") + 1.0})
+    first = C.location_fixes(v.positions.unionByName(again), "first_received")
+    return first.withColumns({c: F.round(c, 9) for c in ("lat", "lon")})
+
+
+def _labelled(v: _View) -> DataFrame:
+    return v.fleet.select("vehicle_id", S.worst_severity().alias("worst"))
+
+
+def _scoped(v: _View) -> DataFrame:
+    return A.alert_conditions(v.latest, NOW, RULES, v.log.filter("CAST(packet_id AS BIGINT) % 5 = 0").select("vehicle_id"))
+
+
 _QUERIES: dict[str, Callable[[_View], DataFrame]] = {
     "latest_readings": lambda v: v.latest,
     "guarded_upsert": _guarded_upsert,
@@ -179,22 +296,44 @@ _QUERIES: dict[str, Callable[[_View], DataFrame]] = {
     "fence_scd2_edit": _scd2_edit,
     "crossings": lambda v: v.crossings,
     "trips": lambda v: v.trips,
-    "trip_list": lambda v: T.trip_list(v.trips, v.versions),
+    "trip_list": lambda v: T.trip_list(v.trips, v.versions, limit=None),
+    "vehicle_trips_ranked": lambda v: _ranked(T.trip_list(v.trips, v.versions, "v5", 50)),
     "trips_in_progress": lambda v: T.in_progress_count(v.trips),
     "soc_history": _history,
     "recent_readings": lambda v: H.recent_readings(v.log, "v5"),
     "rollup_5min": lambda v: H.rollup(v.log, RAW_CUT, RULES),
     "rollup_merge": _merge,
     "retention_survivors": _retention,
-    "ingest_rejects": lambda v: v.ingest[1].select("vehicle_id", "event_time", "reason"),
+    "ingest_rejects": lambda v: v.ingest[1].select("packet_id", "vehicle_id", "event_time", "reason"),
     "ingest_accounting": lambda v: I.accounting(*v.ingest),
-    "ingest_log_rows": lambda v: v.ingest[2].select("vehicle_id", "signal", "event_time", "value"),
+    "ingest_log_rows": lambda v: v.ingest[2].select("packet_id", "vehicle_id", "signal", "event_time", "value"),
     "ingest_touched": lambda v: I.touched(v.ingest[2]),
     "ledger_rows": lambda v: I.ledger_rows(v.log),
     "generate_vehicles": lambda v: generate.vehicles(v.spark, GENERATED[0]),
     "generate_signals": _generated_signals,
     "generate_positions": _generated_positions,
     "simulated_ingest": _streamed,
+    "store_log": lambda v: _ingested(v).read("signal_readings").drop("ingest_time"),
+    "store_latest": lambda v: _ingested(v).read("latest_readings"),
+    "store_ledger": lambda v: _ingested(v).read("packets").drop("ingest_time"),
+    "store_rejected": lambda v: _ingested(v).read("rejected_packets").drop("ingest_time"),
+    "store_geofence_events": lambda v: _driven(v).read("geofence_events"),
+    "store_trips": lambda v: _driven(v).read("trips"),
+    "store_refresh": _refreshed,
+    "store_recompute": _recomputed,
+    "alert_conditions_scoped": _scoped,
+    "geofence_dateline": _dateline,
+    "geofence_list_active": lambda v: G.geofence_list(C.latest_readings(v.positions), v.fences, include_inactive=False),
+    "fence_create": _created,
+    "fence_edit_same_instant": _edited_at_once,
+    "fence_versions_ranked": lambda v: _ranked(G.all_versions(v.versions)),
+    "fix_first_received": _first_received,
+    "fleet_worst_severity": _labelled,
+    "fleet_list_ranked": lambda v: _ranked(S.fleet_list(v.fleet)).select("nth", "vehicle_id"),
+    "active_alerts_ranked": lambda v: _ranked(A.active_alerts(v.alerts, v.latest, v.vehicles, NOW, RULES)).select("nth", "alert_id"),
+    "geofence_list_ranked": lambda v: _ranked(G.geofence_list(C.latest_readings(v.positions), v.fences)).select("nth", "geofence_id"),
+    "soc_history_ranked": lambda v: _ranked(_history(v)).select("nth", "vehicle_id", "bucket_at"),
+    "crossings_ranked": lambda v: _ranked(G.in_output_order(v.crossings)).select("nth", "vehicle_id", "geofence_id", "kind", "event_time"),
 }
 
 

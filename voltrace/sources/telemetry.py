@@ -106,3 +106,10 @@ def telemetry_packets(rows: DataFrame) -> DataFrame:
     device = F.when(n % 2 == 0, F.concat(F.lit("d"), n.cast("string")))
     once = log.select("vehicle_id", time.alias("event_time"), signals.alias("signals"), device.alias("device_packet_id"), "n")
     return once.unionByName(once.filter("n % 10 = 0")).drop("n")
+
+
+def position_packets(rows: DataFrame) -> DataFrame:
+    """Events as packets of one fix each."""
+    keys = ["vehicle_id", "event_time", "packet_id"]
+    wide = telemetry_positions(rows).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("signal", "value"))).alias("signals"))  # three a packet
+    return wide.select("vehicle_id", "event_time", "signals", F.concat(F.lit("p"), "packet_id").alias("device_packet_id"))
