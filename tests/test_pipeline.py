@@ -29,7 +29,7 @@ class Clock:
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    return Engine(spark, str(tmp_path / "store"), Clock(), buckets=4)
+    return Engine(spark, str(tmp_path / "store"), Clock(), buckets=1)
 
 
 def packets(spark, *rows):
@@ -93,7 +93,7 @@ def test_split_batches_and_order_do_not_matter(spark, tmp_path):
     rows = [(f"v{rng.randint(0, 3)}", -rng.randint(0, 300), {"soc": round(rng.random() * 100, 2), "lat": 12.9716, "lon": 77.5946 + rng.random() / 50}, None) for _ in range(60)]
     seen = []
     for k, batches in enumerate(([rows], [rows[i::4] for i in range(4)], [rows[::-1][:40], rows[:40]])):
-        engine = Engine(spark, str(tmp_path / f"s{k}"), Clock(), buckets=3)
+        engine = Engine(spark, str(tmp_path / f"s{k}"), Clock(), buckets=2)
         engine.create_geofence("Depot", 12.9716, 77.5946, 900, NOW - timedelta(days=1))
         for b in batches:
             engine.ingest(packets(spark, *b))
@@ -169,7 +169,7 @@ def test_stream_equals_one_batch(spark, tmp_path):
     for i in range(3):
         made.filter(F.pmod(F.xxhash64("vehicle_id", "event_time"), F.lit(3)) == i).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(PACKET).option("maxFilesPerTrigger", 1).parquet(folder)
-    a, b = Store(spark, str(tmp_path / "a"), 2), Store(spark, str(tmp_path / "b"), 2)
+    a, b = Store(spark, str(tmp_path / "a"), 1), Store(spark, str(tmp_path / "b"), 1)
     P.start(stream, a, str(tmp_path / "checkpoint"), lambda: NOW, once=True).awaitTermination()
     P.process_batch(b, made, NOW)
     for table in ("signal_readings", "latest_readings", "packets"):
@@ -258,7 +258,7 @@ def test_late_readings_are_replayed_others_go_on(spark, tmp_path, monkeypatch):
             made.append((f"v{v}", m, {"lat": 12.9716, "lon": 77.5946 + east}, None))
     late = [r for r in made if r[0] == "v3" and r[1] % 70 == 0]
     rest = [r for r in made if r not in late]
-    one, many = (Engine(spark, str(tmp_path / k), Clock(), buckets=3) for k in ("one", "many"))
+    one, many = (Engine(spark, str(tmp_path / k), Clock(), buckets=2) for k in ("one", "many"))
     for engine in (one, many):
         engine.create_geofence("Depot", 12.9716, 77.5946, 900, NOW - timedelta(days=1))
         engine.create_geofence("Gate", 12.9716, 77.6046, 500, NOW - timedelta(days=1))

@@ -54,7 +54,7 @@ def _store(spark: SparkSession) -> Store:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    _STORES.append(Store(spark, f"{(root or tempfile.mkdtemp(prefix='voltrace-')).rstrip('/')}/stores/{uuid.uuid4().hex}", 4))
+    _STORES.append(Store(spark, f"{(root or tempfile.mkdtemp(prefix='voltrace-')).rstrip('/')}/stores/{uuid.uuid4().hex}", 2))
     return _STORES[-1]
 
 

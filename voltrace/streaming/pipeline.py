@@ -36,9 +36,9 @@ MOST_BROADCAST = 100_000
 TOUCHED = ("latest_readings", "alerts", "geofence_events", "crossing_state", "trips")
 
 
-def fold(log: DataFrame, versions: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(crossings, state) of a log, from the start or going on from a state."""
-    runs = runs_of_sides(sides(location_fixes(log), versions, rules, state), rules, state)
+def fold(log: DataFrame, versions: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(crossings, state) of a log, from the start or going on from a state. keep: persists what both are made of."""
+    runs = keep(runs_of_sides(sides(location_fixes(log), versions, rules, state), rules, state))
     return confirmed(runs, rules), state_of_runs(runs, rules)
 
 
@@ -109,8 +109,8 @@ def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str,
         marked = keep(marked.withColumn("late", F.col("last_time").isNull() | (F.col("from_time") <= F.col("last_time")) | F.col("first").isNotNull()))
         late, others = marked.filter("late"), marked.filter("NOT late")
         log = store.read("signal_readings", buckets=store.buckets_of(late)).unionByName(fresh)
-        again, again_state = fold(_of(log, late), t["geofence_versions"], rules)
-        more, more_state = fold(_of(fresh, others), t["geofence_versions"], rules, _of(old_state, others))
+        again, again_state = fold(_of(log, late), t["geofence_versions"], rules, keep=keep)
+        more, more_state = fold(_of(fresh, others), t["geofence_versions"], rules, _of(old_state, others), keep)
         events = keep(replaced(t["geofence_events"], again, late, "event_time", now, rules).unionByName(more))
         seen = newest(fresh.select("vehicle_id", "event_time").unionByName(had.select("vehicle_id", F.col("last_time").alias("event_time"))))
         state = _of(old_state, keys, "left_anti").unionByName(again_state).unionByName(more_state).unionByName(seen)
@@ -141,17 +141,27 @@ def refresh(store: Store, now: datetime, rules: Rules = _NONE) -> None:
 def recompute_fleet(store: Store, now: datetime, rules: Rules = _NONE) -> None:
     """Derive crossings, trips and state of all registered vehicles anew, in one job; other vehicles are replayed when they next report."""
 
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return kept[-1]
+
     def build(t: dict[str, DataFrame]) -> dict:
         log = _of(t["signal_readings"], t["vehicles"])
-        found, state = fold(log, t["geofence_versions"], rules)
-        events = replaced(t["geofence_events"], found, t["vehicles"], "event_time", now, rules)
+        found, state = fold(log, t["geofence_versions"], rules, keep=keep)
+        events = keep(replaced(t["geofence_events"], found, t["vehicles"], "event_time", now, rules))
         return {"replace": {
             "geofence_events": events,
             "crossing_state": state.unionByName(newest(log)),
             "trips": replaced(t["trips"], trips(_of(events, t["vehicles"])), t["vehicles"], "started_at", now, rules),
         }}
 
-    store.transact(build)
+    try:
+        store.transact(build)
+    finally:
+        for frame in kept:
+            frame.unpersist()
 
 
 def start(packets: DataFrame, store: Store, checkpoint: str, clock: Callable[[], datetime], name: str = "ingest", rules: Rules = _NONE, once: bool = False) -> StreamingQuery:
