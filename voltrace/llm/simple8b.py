@@ -45,21 +45,20 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     ids = ids.astype(np.uint64)
     if int(ids.max()) >= 1 << 60:
         raise ValueError("ids of 2**60 and more cannot be coded")
-    at = np.arange(n, dtype=np.int32)
-    left = np.minimum(block_ids - at % block_ids, n - at).astype(np.int32)  # ids to the end of the block
-    choice, takes = np.full(n, len(COUNTS) - 1, np.int8), np.ones(n, np.int32)
     narrow = _too_narrow(ids) if int(ids.max()) >= len(_SMALL) else _SMALL[ids.astype(np.int64)]
+    left = np.minimum(block_ids - np.arange(n) % block_ids, n - np.arange(n)).astype(np.uint16 if block_ids < 1 << 16 else np.int64)  # ids to the end of the block
+    choice, least, have = np.full(n, len(COUNTS) - 1, np.int8), narrow, 1
     for s in range(len(COUNTS) - 2, -1, -1):  # from few wide ids to many narrow ones
         count = int(COUNTS[s])
-        wide = np.flatnonzero(narrow > s)
-        begin = np.concatenate([[0], wide + 1])
-        places = np.concatenate([wide, [n]]) - begin - (count - 1)  # places in each run of narrow ids where count of them begin
-        runs = np.flatnonzero(places > 0)
-        places, begin = places[runs], begin[runs]
-        start = np.repeat(begin - (np.cumsum(places) - places), places) + np.arange(places.sum())
-        start = start[left[start] >= count]
-        choice[start] = s
-        takes[start] = count
+        if count > n:
+            break
+        for k in range(have, count):  # what the widest of the next ids needs
+            least = np.maximum(least[:-1], narrow[k:])
+        have = count
+        fits = least <= s
+        fits &= left[: len(least)] >= count
+        np.copyto(choice[: len(least)], s, where=fits)
+    takes = COUNTS[choice].astype(np.int32)
     # walk all blocks in step
     starts = np.arange(0, n, block_ids, dtype=np.int64)
     ends = np.minimum(starts + block_ids, n)
@@ -73,18 +72,13 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, np.
     first, block = np.concatenate(where), np.concatenate(of)
     order = np.argsort(first, kind="stable")
     first, block = first[order], block[order]
-    sel, took = choice[first].astype(np.int64), takes[first].astype(np.int64)
+    sel = choice[first].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(sel).tolist():
+    for s in np.unique(sel).tolist():  # every word is full
         rows = np.flatnonzero(sel == s)
-        part, length = first[rows], took[rows]
-        acc = np.zeros(len(rows), np.uint64)
+        part, acc = first[rows], np.zeros(len(rows), np.uint64)
         for k in range(int(COUNTS[s])):
-            on = length > k
-            if not on.any():
-                break
-            value = np.where(on, ids[np.minimum(part + k, n - 1)], np.uint64(0))
-            acc |= value << np.uint64(k * int(WIDTHS[s]))
+            acc |= ids.take(part + k) << np.uint64(k * int(WIDTHS[s]))
         words[rows] |= acc
     offsets = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=len(starts)))]).astype(np.uint64)
     return words, offsets

@@ -35,8 +35,8 @@ from .simple8b import read_image, write_image
 
 END_ID = 1
 SEGMENT_IDS = 1 << 20
-#: Bounds of a worker's table of chunks; beyond them the third that is met most often is kept.
-CACHE_CHUNKS, CACHE_IDS = 300_000, 4_000_000
+#: Bounds of a worker's table of chunks; beyond them the half that is met most often is kept.
+CACHE_CHUNKS, CACHE_IDS = 650_000, 5_000_000
 #: Bytes of text that a worker encodes at once.
 AT_ONCE = 1_500_000
 #: ASCII marks that may trail a word.
@@ -90,10 +90,10 @@ class ChunkCoder:
     def _shrink(self) -> None:
         """Forget the chunks that are met seldom."""
         chunks, n = list(self.number), len(self.number)
-        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: CACHE_CHUNKS // 3])
+        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: CACHE_CHUNKS // 2])
         at, length = self._places(kept)
         ids, met = self.ids[at], self.met[kept] // 2
-        if len(ids) > CACHE_IDS // 2:
+        if len(ids) > CACHE_IDS * 3 // 4:
             self.clear()
             return
         self.number = _Numbers()
