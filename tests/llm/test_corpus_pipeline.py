@@ -33,4 +33,4 @@ def test_stages(spark, tmp_path):
 def test_queries_cover_all_operators(spark):
     from voltrace.llm.queries import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))

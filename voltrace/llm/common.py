@@ -47,12 +47,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, codec: str | None = None, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. by: a column whose values become folders."""
     global _collected
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if time.monotonic() - _collected > 2:
         spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has been written
         _collected = time.monotonic()

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline over the table documents, and SQL for those that SQL can express."""
+"""The queries op1 to op13 and the pipeline over the table documents, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, with_scratch
+from .conversations import damaged, repair_conversations
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .kneser_ney import kn_quality
 from .lm_scoring import lm_scores
+from .merkle import folded, leaf, merkle_proofs, proof_digest, tampered
 from .mixing import mix_plan
+from .oracles import OP11, OP12
 from .packing import best_fit_packing
 from .pii import find_pii
 from .quality_rules import quality_rules
 from .sharding import shard_by_splitters
+from .simhash import simhash_components
 from .token_output import read_token_files, write_token_files
 
 
@@ -76,6 +80,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", visits.alias("visits"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = leaf(*[tampered() if c == "text" else F.col(c) for c in columns])
+    rows = merkle_proofs(_documents(spark, sf_dir), columns, carried={"changed": changed})
+    rows = rows.withColumns({"proof_sha256": proof_digest(F.col("proof")), "folded_root": folded(F.col("changed"), F.col("proof"))})
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name; results have a method release() that deletes their scratch tables."""
     named = {
@@ -89,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kneser_ney": op8_kneser_ney,
         "op9_pii": op9_pii,
         "op10_mixing": op10_mixing,
+        "op11_conversations": op11_conversations,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_simhash": op13_simhash,
     }
     return {name: with_scratch(query) for name, query in named.items()}
 
@@ -109,4 +132,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op11_conversations": OP11, "op12_merkle_manifest": OP12}
