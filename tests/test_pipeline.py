@@ -194,13 +194,20 @@ def test_statements_for_effect(engine, spark):
     engine.register_vehicles(rows)
     engine.register_vehicles(rows.selectExpr("vehicle_id", "'other' AS reg_no", "model").union(spark.createDataFrame([("v4", "r4", "n")])))
     assert [r["reg_no"] for r in engine.select("SELECT reg_no FROM vehicles ORDER BY vehicle_id")] == ["r1", "r2", "r3", "r4"]
-    engine.execute("UPDATE vehicles SET reg_no = concat(reg_no, ?), model = 'x' WHERE vehicle_id = ?", "-new", "v2")
-    engine.execute("DELETE FROM vehicles WHERE model = :m", m="n")
-    engine.execute("INSERT INTO vehicles SELECT 'v9', ?, 'm'", "r9")
-    assert [tuple(r) for r in engine.select("SELECT * FROM vehicles ORDER BY vehicle_id")] == [("v1", "r1", "m"), ("v2", "r2-new", "x"), ("v9", "r9", "m")]
+    spark.range(1).createOrReplaceTempView("vehicles")  # a view of the user's own
+    engine.update("vehicles", {"reg_no": "concat(reg_no, ', WHERE ')", "model": "'a, b'"}, "vehicle_id = ?", "v2")
+    engine.delete("vehicles", "model = :m", m="n")
+    engine.insert("vehicles", "SELECT 'v9', ?, 'm'", "r9")
+    assert [tuple(r) for r in engine.select("SELECT * FROM vehicles ORDER BY vehicle_id")] == [("v1", "r1", "m"), ("v2", "r2, WHERE ", "a, b"), ("v9", "r9", "m")]
     with pytest.raises(ValueError, match="of the store"):
-        engine.execute("DROP TABLE vehicles")
-    assert engine.meta("schema_version") == "2" and engine.meta("none") is None
+        engine.delete("users")
+    assert spark.table("vehicles").columns == ["id"]
+    latest = spark.createDataFrame([(f"v{k}", "soc", NOW, float(k)) for k in range(9)], LATEST_READINGS)
+    engine.store.publish(replace={"latest_readings": latest})
+    engine.delete("latest_readings", "value > ? OR vehicle_id = ?", 7.0, "v1")
+    engine.update("latest_readings", {"value": "value + :more", "signal": "'x'"}, "vehicle_id = 'v3'", more=1.0)
+    assert sorted((r["vehicle_id"], r["signal"], r["value"]) for r in engine.store.read("latest_readings").collect()) == [(f"v{k}", "x" if k == 3 else "soc", 4.0 if k == 3 else float(k)) for k in (0, 2, 3, 4, 5, 6, 7)]
+    assert engine.meta("schema_version") == "3" and engine.meta("none") is None
     engine.set_meta("tour", "1")
     engine.set_meta("tour", "2")
     assert engine.meta("tour") == "2" and engine.store.read("meta").count() == 2
@@ -230,6 +237,27 @@ def test_writers_wait_for_each_other(spark, tmp_path):
     assert store.read("meta").count() == 7
 
 
+def test_a_claim_of_a_dead_writer_is_given_up(spark, tmp_path):
+    import os
+
+    store = Store(spark, str(tmp_path / "s"), 2)
+    claim = tmp_path / "s" / "_manifest" / f".claim-{store.manifest()['number'] + 1:012d}"
+    claim.write_text("")
+    row = spark.createDataFrame([("k", "v")], "key string, value string")
+    with pytest.raises(Conflict):  # it might be at work
+        store.publish(append={"meta": row})
+    os.utime(claim, (0, 0))
+    store.transact(lambda t: {"append": {"meta": row}}, [])
+    assert store.read("meta").count() == 2 and not claim.exists()
+
+
+def test_nothing_is_done_for_a_batch_that_is_published(engine, spark, monkeypatch):
+    batch = packets(spark, ("v1", -1, {"soc": 50.0}, "d1"))
+    assert engine.ingest(batch, ("b", 3))["accepted"] == 1
+    monkeypatch.setattr(P, "identified", None)  # not even looked at
+    assert engine.ingest(batch, ("b", 3)) == engine.ingest(batch, ("b", 2)) == P.NOTHING
+
+
 def test_a_batch_touches_its_buckets_only(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "s"), Clock(), buckets=16)
     engine.create_geofence("Depot", 12.9716, 77.5946, 900, NOW - timedelta(days=9))

@@ -51,12 +51,17 @@ def alert_rollup(alerts: DataFrame, latest: DataFrame, now: datetime, rules: Rul
     return visible_alerts(alerts, latest, now, rules).groupBy("vehicle_id").agg(F.count("*").alias("open_alerts"), worst.alias("worst_rank"))
 
 
+def alert_order() -> list[Column]:
+    """Critical ones first, then the newest."""
+    return [F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("opened_at").desc(), F.col("alert_id")]
+
+
 def active_alerts(alerts: DataFrame, latest: DataFrame, vehicles: DataFrame, now: datetime, rules: Rules = _NONE, vehicle_id: str | None = None) -> DataFrame:
     """Visible alerts of registered vehicles, critical and newest first."""
     rows = visible_alerts(alerts, latest, now, rules).join(vehicles, "vehicle_id")
     if vehicle_id is not None:
         rows = rows.filter(F.col("vehicle_id") == vehicle_id)
-    return rows.orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("opened_at").desc(), "alert_id")
+    return rows.orderBy(*alert_order())
 
 
 def active_count(alerts: DataFrame, latest: DataFrame, now: datetime, rules: Rules = _NONE) -> DataFrame:

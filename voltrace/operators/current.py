@@ -17,8 +17,8 @@ def _newest(*ties: str) -> Column:
 def latest_readings(log: DataFrame) -> DataFrame:
     """Newest reading per vehicle and signal; ties go to the later arrival, then the greater packet id.
 
-    One aggregation with map-side combining instead of a window, so the log is never
-    shuffled and a hot vehicle is reduced inside each task.
+    One aggregation with map-side combining instead of a window, so what is
+    shuffled is a row per key and task, and a hot vehicle is reduced inside each task.
     """
     newest = F.max_by(F.struct("event_time", "value"), _newest("ingest_time", "packet_id")).alias("r")
     return log.groupBy(*KEY).agg(newest).select(*KEY, "r.event_time", "r.value")
@@ -55,16 +55,18 @@ def last_positions(latest: DataFrame) -> DataFrame:
     return here.agg(_pick("value", LAT).alias("lat"), _pick("value", LON).alias("lon"), _pick("event_time", LAT).alias("event_time")).dropna(subset=["lat", "lon"])
 
 
-def location_fixes(log: DataFrame, tie: str = "merge") -> DataFrame:
+def location_fixes(log: DataFrame, tie: str = "merge", complete: bool = True) -> DataFrame:
     """Position rows pivoted to fixes.
 
     tie: what two fixes of one instant become: "merge" takes each component's maximum,
-    "first_received" the packet that arrived first.
+    "first_received" the packet that arrived first. complete: only those with latitude and longitude.
     """
     rows = log.filter(F.col("signal").isin(LAT, LON, ACCURACY))
     keys = ["vehicle_id", "event_time"] + (["packet_id"] if tie == "first_received" else [])
     arrived = [F.min("ingest_time").alias("ingest_time")] + ([] if tie == "first_received" else [F.min("packet_id").alias("packet_id")])
-    fixes = rows.groupBy(*keys).agg(_pick("value", LAT).alias("lat"), _pick("value", LON).alias("lon"), _pick("value", ACCURACY).alias("accuracy_m"), *arrived).dropna(subset=["lat", "lon"])
+    fixes = rows.groupBy(*keys).agg(_pick("value", LAT).alias("lat"), _pick("value", LON).alias("lon"), _pick("value", ACCURACY).alias("accuracy_m"), *arrived)
+    if complete:
+        fixes = fixes.dropna(subset=["lat", "lon"])
     if tie == "first_received":
         first = F.min_by(F.struct("lat", "lon", "accuracy_m", "ingest_time", "packet_id"), F.struct("ingest_time", "packet_id")).alias("f")
         fixes = fixes.groupBy("vehicle_id", "event_time").agg(first).select("vehicle_id", "event_time", "f.*")

@@ -33,13 +33,15 @@ def current_fences(fences: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def create_fence(fences: DataFrame, versions: DataFrame, geofence_id: str, name: str, lat: float, lon: float, radius_m: float, now: datetime, valid_from: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-    spark = fences.sparkSession
-    one = spark.range(1)
-    row = one.select(
-        F.lit(geofence_id).alias("geofence_id"), F.lit(1).alias("version"), F.lit(name).alias("name"), F.lit(float(lat)).alias("lat"), F.lit(float(lon)).alias("lon"),
-        F.lit(float(radius_m)).alias("radius_m"), F.lit(True).alias("active"), at(valid_from or now).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"),
-    )
-    return fences.unionByName(one.select(F.lit(geofence_id).alias("geofence_id"), at(now).alias("created_at"))), versions.unionByName(row)
+    values = {"geofence_id": F.lit(geofence_id), "name": F.lit(name), "lat": F.lit(float(lat)), "lon": F.lit(float(lon)), "radius_m": F.lit(float(radius_m)), "valid_from": at(valid_from or now)}
+    return create_fences(fences, versions, fences.sparkSession.range(1).select(*[v.alias(c) for c, v in values.items()]), now)
+
+
+def create_fences(fences: DataFrame, versions: DataFrame, new: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """Fences and versions with new fences (geofence_id, name, lat, lon, radius_m, and valid_from or null for now) as their first versions; ids that exist stay as they are."""
+    new = new.join(fences.select("geofence_id"), "geofence_id", "left_anti")
+    first = new.select("geofence_id", F.lit(1).alias("version"), "name", "lat", "lon", "radius_m", F.lit(True).alias("active"), F.coalesce("valid_from", at(now)).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    return fences.unionByName(new.select("geofence_id", at(now).alias("created_at"))), versions.unionByName(first)
 
 
 def edit_fences(versions: DataFrame, edits: DataFrame, now: datetime) -> DataFrame:
@@ -67,16 +69,16 @@ def set_active(versions: DataFrame, geofence_id: str, active: bool, now: datetim
 
 
 def all_versions(versions: DataFrame) -> DataFrame:
-    return versions.orderBy("geofence_id", "version")
+    return versions.orderBy(*VERSION_ORDER)
 
 
 def _of_grid(grid: Column, values: list[float]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), grid + 1)
 
 
-def _cells_of(fences: DataFrame) -> DataFrame:
-    """Fences once for every cell of their grid that their bounding box touches."""
-    reach = F.col("radius_m") / _M_PER_DEG * 1.001
+def _cells_of(fences: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Fences once for every cell of their grid that their bounding box touches; margin: metres around them that belong to it."""
+    reach = (F.col("radius_m") + margin) / _M_PER_DEG * 1.001
     far = F.abs("lat") + reach
     rows = fences.withColumn("_reach", reach).withColumn("_wide", F.when(far >= 89.0, 180.0).otherwise(F.least(F.lit(180.0), F.col("_reach") / F.cos(F.radians(far)))))
     span = F.greatest("_reach", "_wide")
@@ -114,13 +116,17 @@ def current_geofence(latest: DataFrame, fences: DataFrame) -> DataFrame:
     return containing_fences(last_positions(latest), fences).filter("rank = 1")
 
 
+def fence_order() -> list[Column]:
+    return [F.col("active").desc(), F.col("name"), F.col("geofence_id")]
+
+
 def geofence_list(latest: DataFrame, fences: DataFrame, include_inactive: bool = True) -> DataFrame:
     """Current fences with the number of vehicles inside each, active ones first."""
     inside = containing_fences(last_positions(latest), fences).groupBy("geofence_id").agg(F.count("*").alias("n"))
     rows = fences.join(inside, "geofence_id", "left").withColumn("vehicle_count", F.coalesce("n", F.lit(0))).drop("n")
     if not include_inactive:
         rows = rows.filter("active")
-    return rows.orderBy(F.col("active").desc(), "name", "geofence_id")
+    return rows.orderBy(*fence_order())
 
 
 def in_force(event_time: Column) -> Column:
@@ -133,33 +139,41 @@ def trusted_fixes(fixes: DataFrame, rules: Rules = _NONE) -> DataFrame:
 
 
 def near_pairs(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> DataFrame:
-    """Vehicles and the fences whose cells they ever enter."""
+    """Vehicles and the fences whose cells they ever enter. Outside these cells a trusted fix is outside the fence, beyond any margin."""
     cell = ["grid", "cell_lat", "cell_lon"]
-    cells = _cells_of(versions).select("geofence_id", *cell).distinct()
+    cells = _cells_of(versions, max(rules.min_margin_m, rules.max_accuracy_m)).select("geofence_id", *cell).distinct()
     here = _cells_at(trusted_fixes(fixes, rules).select("vehicle_id", "lat", "lon"), cells).select("vehicle_id", *cell).distinct()
     return here.join(cells, cell).select("vehicle_id", "geofence_id").distinct()
 
 
-def version_asof(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, known: DataFrame | None = None) -> DataFrame:
-    """Trusted fixes with the version in force of every fence that their vehicle ever comes near.
+_PAIR = ["vehicle_id", "geofence_id"]
 
-    A vehicle that never enters the cells of a fence can't cross it, so these pairs are left out; the rest
-    are equi-joins on vehicle and on fence, with the time of validity as a condition. known: pairs that were near before.
-    """
-    pairs = near_pairs(fixes, versions, rules)
-    if known is not None:
-        pairs = pairs.unionByName(known.select("vehicle_id", "geofence_id")).distinct()
-    v = versions.select("geofence_id", "version", F.col("lat").alias("fence_lat"), F.col("lon").alias("fence_lon"), "radius_m", "active", "valid_from", "valid_to")
-    return trusted_fixes(fixes, rules).join(pairs, "vehicle_id").join(v, "geofence_id").filter(in_force(F.col("event_time")))
 
+def version_asof(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, pairs: DataFrame | None = None) -> DataFrame:
+    """Trusted fixes with the version in force of every fence that their vehicle ever comes near.
 
-def sides(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, known: DataFrame | None = None) -> DataFrame:
+    A vehicle that never enters the cells of a fence can't cross it, so these pairs are left out. A version's start and the fixes
+    are rows of one time line per vehicle and fence, and a fix takes the last start before it: a row per fix and fence, and one per version,
+    however often a fence has been edited. pairs: distinct vehicles and fences to look at instead.
+    """
+    pairs = near_pairs(fixes, versions, rules) if pairs is None else pairs.select(*_PAIR)
+    here = trusted_fixes(fixes, rules).select("vehicle_id", "event_time", F.struct("lat", "lon", "accuracy_m").alias("fix"))
+    version = F.struct("version", F.col("lat").alias("fence_lat"), F.col("lon").alias("fence_lon"), "radius_m", "active", "valid_from", "valid_to")
+    starts = pairs.join(versions.select("geofence_id", F.col("valid_from").alias("event_time"), version.alias("v")), "geofence_id")
+    line = here.join(pairs, "vehicle_id").select(*_PAIR, "event_time", "fix", F.lit(None).cast(starts.schema["v"].dataType).alias("v"))
+    line = line.unionByName(starts.select(*_PAIR, "event_time", F.lit(None).cast(line.schema["fix"].dataType).alias("fix"), "v"))
+    order = Window.partitionBy(*_PAIR).orderBy("event_time", F.col("fix").isNotNull(), "v.version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = line.withColumn("v", F.last("v", ignorenulls=True).over(order)).filter("fix IS NOT NULL AND v IS NOT NULL")
+    return rows.select(*_PAIR, "event_time", "fix.*", "v.*").filter(in_force(F.col("event_time")))
+
+
+def sides(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, pairs: DataFrame | None = None) -> DataFrame:
     """Per fix and fence: inside (true or false); fixes in the band around the edge are left out."""
-    rows = version_asof(fixes, versions, rules, known).filter("active")
+    rows = version_asof(fixes, versions, rules, pairs).filter("active")
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("fence_lat"), F.col("fence_lon"))
     margin = margin_m(F.col("accuracy_m"), rules)
     inside = F.when(distance <= F.col("radius_m") - margin, True).when(distance >= F.col("radius_m") + margin, False)
-    return rows.select("vehicle_id", "geofence_id", "event_time", inside.alias("inside")).filter("inside IS NOT NULL")
+    return rows.select(*_PAIR, "event_time", inside.alias("inside")).filter("inside IS NOT NULL")
 
 
 def crossings(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> DataFrame:
@@ -167,64 +181,83 @@ def crossings(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> Da
 
 
 def crossings_of_sides(rows: DataFrame, rules: Rules = _NONE) -> DataFrame:
-    """Confirmed entries and exits: runs of one side, long enough to believe, that differ from the last believed run.
+    """Confirmed entries and exits: runs of one side, long enough to believe, that differ from the side believed before.
 
-    The first run is believed with one fix and is no crossing. All windows share one partitioning by vehicle and fence.
+    The first run is believed with one fix and is no crossing.
     """
-    return confirmed(runs_of_sides(rows, rules), rules)
+    return confirmed(steps(rows, rules), rules)
 
 
-def in_output_order(found: DataFrame) -> DataFrame:
-    """Crossings by time, fence and kind."""
-    return found.orderBy("event_time", "geofence_id", "kind", "vehicle_id")
+CROSSING_ORDER = ["event_time", "geofence_id", "kind", "vehicle_id"]
+VERSION_ORDER = ["geofence_id", "version"]
 
 
-_PAIR = ["vehicle_id", "geofence_id"]
+def in_output_order(found: DataFrame) -> DataFrame:
+    """Crossings by time, fence and kind."""
+    return found.orderBy(*CROSSING_ORDER)
 
 
-def runs_of_sides(rows: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None) -> DataFrame:
-    """Runs of fixes on one side, numbered by pair of vehicle and fence, and whether each is believed.
+def steps(rows: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None) -> DataFrame:
+    """Fixes with a side, and after each one: the run of fixes on its side (since, before: the fix before it, fixes) and the side believed.
 
-    state (schema CROSSING_STATE): where earlier fixes of these pairs have left off. Its run is run 0; new fixes on its side prolong it.
+    state (schema CROSSING_STATE): where earlier fixes of these pairs have left off; a fix on its side prolongs its run. All windows have one partitioning and one order.
     """
     order = Window.partitionBy(*_PAIR).orderBy("event_time")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    side, previous = F.lag("inside").over(order), F.lag("event_time").over(order)
-    if state is not None:
-        held = state.select(*_PAIR, F.col("inside").alias("s_inside"), F.col("last_time").alias("s_last"))
-        rows = rows.join(held, _PAIR, "left")
-        side, previous = F.coalesce(side, "s_inside"), F.coalesce(previous, "s_last")
-    before = rows.withColumns({"was": side, "previous": previous})
-    runs = before.withColumn("run", F.sum(F.when(F.col("was").isNull() | (F.col("was") != F.col("inside")), 1).otherwise(0)).over(upto)).select(*_PAIR, "run", "inside", "event_time", F.col("previous").alias("window_start"), F.col("event_time").alias("last_time"), F.lit(1).alias("fixes"), F.lit(None).cast("boolean").alias("trusted"), F.lit(False).alias("seeded"))
-    if state is not None:
-        runs = runs.unionByName(state.select(*_PAIR, F.lit(0).cast("long").alias("run"), "inside", F.col("since").alias("event_time"), F.col("before").alias("window_start"), "last_time", "fixes", F.col("believed").alias("trusted"), F.lit(True).alias("seeded")))
-    first = F.min(F.struct("event_time", "window_start")).alias("first")
-    runs = runs.groupBy(*_PAIR, "run").agg(F.max("inside").alias("inside"), first, F.max("last_time").alias("last_time"), F.sum("fixes").alias("fixes"), F.max("trusted").alias("trusted"))
-    pair = Window.partitionBy(*_PAIR)
-    runs = runs.withColumn("trusted", F.max("trusted").over(pair))  # the side believed before
-    known = (F.col("run") == 0) & F.coalesce(F.col("trusted") == F.col("inside"), F.lit(False))
-    believed = (F.col("fixes") >= rules.confirmation_fixes) | known | ((F.col("run") == 1) & (F.min("run").over(pair) == 1))
-    return runs.select(*_PAIR, "run", "inside", "first.event_time", "first.window_start", "last_time", "fixes", "trusted", believed.alias("believed"))
-
-
-def confirmed(runs: DataFrame, rules: Rules = _NONE) -> DataFrame:
-    """The crossings of some runs: believed ones whose side is not that of the last believed run."""
-    was = F.coalesce(F.lag("inside").over(Window.partitionBy(*_PAIR).orderBy("run")), "trusted")
-    last = runs.filter("believed").withColumn("was", was)
-    gap = F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
-    return last.filter("was <> inside").select(
+    upto, earlier = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    held = {"believed": "boolean", "inside": "boolean", "since": "timestamp_ntz", "before": "timestamp_ntz", "last_time": "timestamp_ntz", "fixes": "int"}
+    if state is None:
+        rows = rows.withColumns({f"s_{c}": F.lit(None).cast(t) for c, t in held.items()})
+    else:
+        rows = rows.join(state.select(*_PAIR, *[F.col(c).alias(f"s_{c}") for c in held]), _PAIR, "left")
+    rows = rows.withColumns({"was": F.coalesce(F.lag("inside").over(order), "s_inside"), "previous": F.coalesce(F.lag("event_time").over(order), "s_last_time"), "nth": F.row_number().over(order)})
+    begins = F.when(F.col("was").isNull() | (F.col("was") != F.col("inside")), F.struct(F.col("nth").alias("n"), F.col("event_time").alias("since"), F.col("previous").alias("before")))
+    rows = rows.withColumn("run", F.last(begins, ignorenulls=True).over(upto))
+    goes_on = F.col("run").isNull()  # the run that the state has left off with
+    rows = rows.withColumns({
+        "since": F.coalesce("run.since", "s_since"),
+        "before": F.when(goes_on, F.col("s_before")).otherwise(F.col("run.before")),
+        "fixes": F.when(goes_on, F.col("nth") + F.col("s_fixes")).otherwise(F.col("nth") - F.col("run.n") + 1),
+    })
+    known = goes_on & (F.col("s_believed") == F.col("s_inside"))
+    first = F.col("s_believed").isNull() & (F.col("run.n") == 1)
+    rows = rows.withColumn("sure", F.when((F.col("fixes") >= rules.confirmation_fixes) | F.coalesce(known, F.lit(False)) | first, F.col("inside")))
+    rows = rows.withColumn("was_believed", F.coalesce(F.last("sure", ignorenulls=True).over(earlier), "s_believed"))
+    return rows.select(*_PAIR, "event_time", "inside", "since", "before", F.least(F.col("fixes"), F.lit(rules.confirmation_fixes)).cast("int").alias("fixes"), "sure", "was_believed", F.coalesce("sure", "was_believed").alias("believed"))
+
+
+def confirmed(rows: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """The crossings among steps: where a run comes to be believed whose side is not the one believed before."""
+    gap = F.unix_micros(F.col("since").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    return rows.filter("sure <> was_believed").select(
         *_PAIR,
         F.when(F.col("inside"), "entry").otherwise("exit").alias("kind"),
-        "event_time",
-        "window_start",
+        F.col("since").alias("event_time"),
+        F.col("before").alias("window_start"),
         F.coalesce(gap > int(rules.max_certain_gap.total_seconds() * 1_000_000), F.lit(False)).alias("uncertain"),
     )
 
 
-def state_of_runs(runs: DataFrame, rules: Rules = _NONE) -> DataFrame:
-    """What later fixes go on from (schema CROSSING_STATE)."""
-    last = F.max_by(F.struct("inside", "event_time", "window_start", "last_time", "fixes"), "run").alias("r")
-    side = F.coalesce(F.max_by("inside", F.when(F.col("believed"), F.col("run"))), F.max("trusted")).alias("believed")
-    return runs.groupBy(*_PAIR).agg(last, side).select(
-        *_PAIR, "believed", "r.inside", F.col("r.event_time").alias("since"), F.col("r.window_start").alias("before"), "r.last_time", F.least(F.col("r.fixes"), F.lit(rules.confirmation_fixes)).cast("int").alias("fixes")
-    )
+def state_of(rows: DataFrame, *by: Column) -> DataFrame:
+    """What later fixes go on from (schema CROSSING_STATE), from steps; by: further keys, as columns with names."""
+    last = F.max_by(F.struct("believed", "inside", "since", "before", F.col("event_time").alias("last_time"), "fixes"), "event_time").alias("r")
+    grouped = rows.groupBy(*_PAIR, *by).agg(last)
+    return grouped.select(*[c for c in grouped.columns if c != "r"], "r.*")
+
+
+def state_after(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """state after some steps that have gone on from it; pairs without any keep theirs."""
+    columns = [*_PAIR, "believed", "inside", "since", "before", "last_time", "fixes"]
+    return state_of(rows).select(*columns).unionByName(state.select(*columns).join(rows, _PAIR, "left_anti"))
+
+
+def outside_before(pairs: DataFrame, days: DataFrame, versions: DataFrame) -> DataFrame:
+    """State of pairs that have never been near: outside, if a trusted fix fell into a time when a version of the fence was active.
+
+    days: vehicle_id, and since and before, the first and last trusted fix of some day. Where a version ends between the two, its last fix is taken to be the day's first.
+    """
+    times = versions.filter("active").select("geofence_id", "valid_from", "valid_to")
+    rows = pairs.select(*_PAIR).join(days.filter("since IS NOT NULL").select("vehicle_id", "since", "before"), "vehicle_id").join(times, "geofence_id")
+    rows = rows.filter((F.col("valid_to").isNull() | (F.col("since") < F.col("valid_to"))) & (F.col("before") >= F.col("valid_from")))
+    last = F.when(F.col("valid_to").isNull() | (F.col("before") < F.col("valid_to")), F.col("before")).when(F.col("since") >= F.col("valid_from"), F.col("since"))
+    rows = rows.groupBy(*_PAIR).agg(F.max(last).alias("last_time")).filter("last_time IS NOT NULL")
+    return rows.select(*_PAIR, F.lit(False).alias("believed"), F.lit(False).alias("inside"), F.col("last_time").alias("since"), F.lit(None).cast("timestamp_ntz").alias("before"), "last_time", F.lit(1).alias("fixes"))

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import at, bucket, minus
 from ..rules import POSITION, SOC, Rules
@@ -57,6 +58,26 @@ def merge_rollups(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], accuracy: int = 2000) -> DataFrame:
+    """Exact percentiles by nearest rank per key: the value at place round(percent / 100 * (n - 1)) of n in order, from 0. Null values don't count.
+
+    A sketch, merged from all tasks, brackets each place first; only values inside the bracket, counted by value, are then ordered, so no task sorts a key's rows.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    margin = 2.0 / accuracy
+    ends = [min(1.0, max(0.0, p / 100 + side * margin)) for p in percents for side in (-1, 1)]
+    bounds = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("ends"), F.min("v").alias("least"), F.max("v").alias("most"))
+    each = F.array(*[F.struct(F.lit(p).alias("percent"), F.floor(F.lit(p / 100.0) * (F.col("n") - 1) + 0.5).alias("place"), F.when(F.lit(ends[2 * k] > 0), F.col("ends")[2 * k]).otherwise(F.col("least")).alias("low"), F.when(F.lit(ends[2 * k + 1] < 1), F.col("ends")[2 * k + 1]).otherwise(F.col("most")).alias("high")) for k, p in enumerate(percents)])
+    bounds = bounds.select(*keys, F.explode(each).alias("b")).select(*keys, "b.*")
+    counted = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    held = counted.join(bounds, keys).filter("v <= high")
+    under = held.filter("v < low").groupBy(*keys, "percent").agg(F.sum("c").alias("under"))
+    inside = held.filter("v >= low").join(under, [*keys, "percent"], "left")
+    upto = Window.partitionBy(*keys, "percent").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("upto", F.coalesce("under", F.lit(0)) + F.sum("c").over(upto))
+    return inside.filter("upto > place").groupBy(*keys, "percent").agg(F.min("v").alias("value"))
+
+
 def cutoffs(now: datetime, rules: Rules = _NONE) -> tuple[datetime, datetime]:
     return now - rules.raw_retention, now - rules.raw_retention - rules.rollup_retention
 
@@ -74,16 +95,6 @@ def compact(tables: dict[str, DataFrame], now: datetime, rules: Rules = _NONE) -
     }
 
 
-def keep_frozen(old: DataFrame, new: DataFrame, time_col: str, now: datetime, rules: Rules = _NONE) -> DataFrame:
-    """Derived rows of a replay over surviving readings, with rows from before the cut-off kept as they were.
-
-    Rows right after the cut-off can only be derived if the replay has seen enough of what came before; older
-    rows are never taken away.
-    """
-    raw = minus(now, rules.raw_retention)
-    return old.filter(F.col(time_col) < raw).unionByName(new.filter(F.col(time_col) >= raw))
-
-
 def retention_report(before: DataFrame, after: DataFrame, rollups: DataFrame) -> DataFrame:
     counts = [d.agg(F.count("*").alias(n)) for d, n in ((before, "was"), (after, "left"), (rollups, "rollup_rows"))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select((F.col("was") - F.col("left")).alias("rows_dropped"), "rollup_rows")  # single rows

@@ -27,8 +27,12 @@ def reject_reason(now: datetime, rules: Rules = _NONE) -> Column:
 def split(packets: DataFrame, now: datetime, rules: Rules = _NONE) -> tuple[DataFrame, DataFrame]:
     """(accepted packets, rejected rows)."""
     rows = packets.withColumn("reason", reject_reason(now, rules))
-    rejected = rows.filter("reason IS NOT NULL").select("packet_id", "vehicle_id", "event_time", at(now).alias("ingest_time"), "reason")
-    return rows.filter("reason IS NULL").drop("reason"), rejected
+    return rows.filter("reason IS NULL").drop("reason"), rejected_rows(rows, now)
+
+
+def rejected_rows(judged: DataFrame, now: datetime) -> DataFrame:
+    """The refused ones among packets with a reason."""
+    return judged.filter("reason IS NOT NULL").select("packet_id", "vehicle_id", "event_time", at(now).alias("ingest_time"), "reason")
 
 
 def explode_signals(accepted: DataFrame, now: datetime) -> DataFrame:

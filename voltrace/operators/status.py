@@ -33,13 +33,18 @@ def fleet_rows(vehicles: DataFrame, latest: DataFrame, alerts: DataFrame, now: d
     return state.select("vehicle_id", "reg_no", "model", "soc", "range_km", "last_ping", status(now, rules).alias("status"), F.coalesce("open_alerts", F.lit(0)).alias("open_alerts"), "worst_rank")
 
 
+def fleet_order() -> list[Column]:
+    """Worst alerts first, then most, then by registration."""
+    return [F.coalesce("worst_rank", F.lit(0)).desc(), F.col("open_alerts").desc(), F.col("reg_no"), F.col("vehicle_id")]
+
+
 def fleet_list(rows: DataFrame, status: str | None = None, query: str | None = None) -> DataFrame:
     """Rows of fleet_rows by status and text, worst alerts first."""
     if status:
         rows = rows.filter(F.col("status") == status)
     if query and query.strip():
         rows = rows.filter(contains_text(query, F.col("reg_no"), F.col("model")))
-    return rows.orderBy(F.coalesce("worst_rank", F.lit(0)).desc(), F.col("open_alerts").desc(), "reg_no")
+    return rows.orderBy(*fleet_order())
 
 
 def worst_severity() -> Column:

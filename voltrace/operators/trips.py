@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,6 +39,11 @@ def trips(crossings: DataFrame) -> DataFrame:
     )
 
 
+def trip_order() -> list[Column]:
+    """Newest first."""
+    return [F.col("started_at").desc(), F.col("vehicle_id"), F.col("trip_id")]
+
+
 def trip_list(trip_rows: DataFrame, versions: DataFrame, vehicle_id: str | None = None, limit: int | None = 50) -> DataFrame:
     """Trips with the latest names of both ends and their duration, newest first."""
     names = versions.groupBy("geofence_id").agg(F.max_by("name", "version").alias("name"))
@@ -47,7 +52,7 @@ def trip_list(trip_rows: DataFrame, versions: DataFrame, vehicle_id: str | None
     rows = trip_rows if vehicle_id is None else trip_rows.filter(F.col("vehicle_id") == vehicle_id)
     rows = rows.join(origin, "origin_geofence_id", "left").join(target, "destination_geofence_id", "left")
     seconds = F.unix_seconds(F.col("ended_at").cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp"))
-    rows = rows.withColumn("duration_s", seconds).orderBy(F.col("started_at").desc(), "vehicle_id", "trip_id")
+    rows = rows.withColumn("duration_s", seconds).orderBy(*trip_order())
     return rows.limit(limit) if limit is not None else rows
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
@@ -21,9 +21,10 @@ from ..operators import history as H
 from ..operators import status as S
 from ..operators import trips as T
 from ..operators.current import latest_readings
+from ..operators.replay import SELF
 from ..rules import SOC, Rules
 from ..sources import generate
-from ..sources.schemas import TABLES
+from ..sources.schemas import BUCKETED_BY, TABLES
 from ..sources.store import BUCKETS, Store
 from ..streaming import pipeline as P
 
@@ -41,6 +42,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime], rules: Rules | None = None, buckets: int = BUCKETS):
         """buckets: into how many parts a new store splits its tables by vehicle; some for each core of the cluster."""
         self.spark, self.store, self.clock, self.rules = spark, Store(spark, root, buckets), clock, rules or Rules()
+        self._apart = self.store.in_session(spark.newSession())
 
     def subscribe(self, listener: Callable[[], None]) -> Callable[[], None]:
         """Call listener after every change of the store; returns how to stop it."""
@@ -69,8 +71,8 @@ class Engine:
         }
 
     def soc_history(self, vehicle_id: str, window: timedelta = timedelta(hours=24), max_points: int = 240) -> DataFrame:
-        t = self.store.snapshot(["signal_readings", "signal_rollups"])
-        return H.signal_history(t["signal_readings"], t["signal_rollups"], self.clock(), vehicle_id, SOC, window, max_points)
+        log, since = self.store.read("signal_readings", since=self.clock() - window), self.rollups()
+        return H.signal_history(log, since, self.clock(), vehicle_id, SOC, window, max_points)
 
     def recent_soc_readings(self, vehicle_id: str, limit: int = 50) -> DataFrame:
         return H.recent_readings(self.store.read("signal_readings"), vehicle_id, SOC, limit)
@@ -112,9 +114,9 @@ class Engine:
 
         def build(t: dict[str, DataFrame]) -> dict:
             fences, versions = G.create_fence(t["geofences"], t["geofence_versions"], fence, name, lat, lon, radius_m, now, valid_from)
-            return {"replace": {"geofences": fences, "geofence_versions": versions, "crossing_state": self._state_before(t["crossing_state"], valid_from or now)}}
+            return {"replace": {"geofences": fences, "geofence_versions": versions} | self._states_before(t, valid_from or now)}
 
-        self.store.transact(build, ["geofences", "geofence_versions", "crossing_state"])
+        self.store.transact(build, ["geofences", "geofence_versions", "crossing_state", "crossing_days"])
         return fence
 
     def edit_geofence(self, geofence_id: str, name: str | None = None, lat: float | None = None, lon: float | None = None, radius_m: float | None = None, active: bool | None = None) -> None:
@@ -123,15 +125,16 @@ class Engine:
 
         def build(t: dict[str, DataFrame]) -> dict:
             before = t["geofence_versions"].filter((F.col("geofence_id") == geofence_id) & F.col("valid_to").isNull()).agg(F.min("valid_from")).first()[0]
-            return {"replace": {"geofence_versions": G.edit_fences(t["geofence_versions"], edit, now), "crossing_state": self._state_before(t["crossing_state"], min(before or now, now) if before and before >= now else now)}}
+            return {"replace": {"geofence_versions": G.edit_fences(t["geofence_versions"], edit, now)} | self._states_before(t, min(before or now, now))}
 
-        self.store.transact(build, ["geofence_versions", "crossing_state"])
+        self.store.transact(build, ["geofence_versions", "crossing_state", "crossing_days"])
 
-    @staticmethod
-    def _state_before(state: DataFrame, moment: datetime) -> DataFrame:
-        """The state of vehicles that have reported nothing since the moment from which fences change; the others are replayed when they next report."""
-        since = state.filter((F.col("geofence_id") == P.SELF) & (F.col("last_time") >= G.at(moment))).select("vehicle_id")
-        return state.join(since, "vehicle_id", "left_anti")
+    def _states_before(self, t: dict[str, DataFrame], moment: datetime) -> dict[str, DataFrame]:
+        """The states of vehicles that have reported nothing since the moment from which fences change; the others are replayed from their last day before it when they next report."""
+        state, days = t["crossing_state"], t["crossing_days"]
+        since = state.filter((F.col("geofence_id") == SELF) & (F.col("last_time") >= G.at(moment))).select("vehicle_id")
+        first = max(moment, self.store.forgotten("signal_readings") or moment)  # what was seen before the cut-off is not read again
+        return {"crossing_state": state.join(since, "vehicle_id", "left_anti"), "crossing_days": days.filter(F.col("as_of") <= G.at(first)).unionByName(days.filter(F.col("as_of") > G.at(first)).join(since, "vehicle_id", "left_anti"))}
 
     def set_active(self, geofence_id: str, active: bool) -> None:
         self.edit_geofence(geofence_id, active=active)
@@ -174,7 +177,7 @@ class Engine:
         if not self.store.read("geofences").isEmpty():
             return False
         fences, versions = generate.seed_fences(self.spark, datetime(2020, 1, 1))
-        self.store.publish(replace={"geofences": fences, "geofence_versions": versions, "crossing_state": self.store.read("crossing_state").limit(0)})
+        self.store.publish(replace={"geofences": fences, "geofence_versions": versions} | {t: self.store.read(t).limit(0) for t in ("crossing_state", "crossing_days")})
         return True
 
     def backfill(self, vehicles: int = 500, samples: int = 700, on_stage: Callable[[str], None] | None = None) -> BackfillReport:
@@ -188,32 +191,43 @@ class Engine:
             run()
             report.seconds[name] = time.perf_counter() - began
 
-        def rows(part: str) -> Callable[[], None]:
-            return lambda: self.store.publish(append={"signal_readings": generate.log(self.spark, vehicles, samples, now, part)})
+        def signals() -> None:
+            report.rows += self._published(generate.log(self.spark, vehicles, samples, now, "signals"))
+
+        def positions() -> None:
+            report.rows += self._published(generate.log(self.spark, vehicles, samples, now, "positions"))
+
+        def latest() -> None:
+            empty = ("crossing_state", "crossing_days")  # vehicles are replayed when they next report
+            self.store.transact(lambda t: {"replace": {"latest_readings": latest_readings(t["signal_readings"])} | {n: t[n].limit(0) for n in empty}}, ["signal_readings", *empty])
 
         stage("vehicles", lambda: self.register_vehicles(generate.vehicles(self.spark, vehicles)))
         stage("geofences", self.seed_fences)
-        before = self.store.read("signal_readings").count()
-        stage("signals", rows("signals"))
-        stage("positions", rows("positions"))
-        stage("latest", lambda: self.store.transact(lambda t: {"replace": {"latest_readings": latest_readings(t["signal_readings"]), "crossing_state": t["crossing_state"].limit(0)}}, ["signal_readings", "crossing_state"]))
-        report.rows = self.store.read("signal_readings").count() - before
+        stage("signals", signals)
+        stage("positions", positions)
+        stage("latest", latest)
         return report
 
+    def _published(self, rows: DataFrame) -> int:
+        """Append rows to the log; how many there were is counted as they are written."""
+        seen = Observation()
+        self.store.publish(append={"signal_readings": rows.observe(seen, F.count("*").alias("n"))})
+        return seen.get["n"]
+
     def already_populated(self) -> bool:
         return not self.store.read("signal_readings").isEmpty()
 
     def compact(self) -> dict[str, int]:
-        """Tiered retention; returns rows dropped and rollup rows. Old days leave the log by the manifest, and nothing of what stays is rewritten."""
-        raw, oldest = H.cutoffs(self.clock(), self.rules)
-        dropped = self.store.read("signal_readings", until=raw).count()
+        """Tiered retention; returns rows dropped and rollup rows.
 
-        def build(t: dict[str, DataFrame]) -> dict:
-            left = H.compact(t | {"signal_readings": self.store.read("signal_readings", until=raw)}, self.clock(), self.rules)
-            return {"replace": {"signal_rollups": left["signal_rollups"], "alerts": left["alerts"]}, "forget": {"signal_readings": raw, "packets": raw}}
+        Old days leave the log, the ledger and the rollups by the manifest, and nothing of what stays is rewritten but the buckets of alerts that go.
+        The state of every vehicle at the cut-off is kept, so what comes later is derived as if all were there still.
+        """
+        return P.compact(self.store, self.clock(), self.rules)
 
-        self.store.transact(build, ["packets", "signal_rollups", "alerts"])
-        return {"rows_dropped": dropped, "rollup_rows": self.store.read("signal_rollups").count()}
+    def rollups(self) -> DataFrame:
+        """One row per vehicle, signal and bucket; rows of a bucket that were rolled up at different times are merged."""
+        return P.rollups(self.store)
 
     def table_counts(self) -> DataFrame:
         """Rows of every table."""
@@ -223,15 +237,15 @@ class Engine:
             out = one if out is None else out.unionByName(one)
         return out
 
-    # plain SQL over the tables
-    def _sql(self, sql: str, args: tuple, named: dict) -> DataFrame:
+    # plain SQL over the tables, in a session of its own: views of the user's session stay as they are
+    def _sql(self, sql: str, args: tuple, named: dict, tables: dict[str, DataFrame] | None = None) -> DataFrame:
         """A statement over the tables that it names, with positional (?) or named (:name) arguments."""
         if args and named:
             raise ValueError("arguments are either positional or named")
-        for name, df in self.store.snapshot([t for t in TABLES if re.search(rf"\b{t}\b", sql)]).items():
+        for name, df in (tables or self._apart.snapshot([t for t in TABLES if re.search(rf"\b{t}\b", sql)])).items():
             df.createOrReplaceTempView(name)
         bound = [a.replace(tzinfo=None) - (a.utcoffset() or timedelta()) if isinstance(a, datetime) else a for a in args]
-        return self.spark.sql(sql, args=bound or named or None)
+        return self._apart.spark.sql(sql, args=bound or named or None)
 
     def select(self, sql: str, *args, **named) -> list[Row]:
         return self._sql(sql, args, named).collect()
@@ -240,31 +254,34 @@ class Engine:
         rows = self.select(sql, *args, **named)
         return rows[0] if rows else None
 
-    def execute(self, sql: str, *args, **named) -> None:
-        """INSERT INTO table SELECT ..., DELETE FROM table [WHERE ...] or UPDATE table SET column = value, ... [WHERE ...], published as a whole.
+    def insert(self, table: str, rows: str, *args, **named) -> None:
+        """Append the rows of a query, in the table's order of columns."""
+        self._apart.transact(lambda t: {"append": {table: self._sql(rows, args, named).toDF(*TABLES[table].names)}}, [])
 
-        Arguments of an UPDATE are bound in the order of its text; a condition that is null does not hold.
-        """
-        words = r"\s*(?:INSERT\s+INTO\s+(?P<into>\w+)\s+(?P<rows>.+)|DELETE\s+FROM\s+(?P<of>\w+)(?:\s+WHERE\s+(?P<gone>.+))?|UPDATE\s+(?P<set>\w+)\s+SET\s+(?P<values>.+?)(?:\s+WHERE\s+(?P<where>.+))?)\s*;?\s*"
-        m = re.fullmatch(words, sql, re.I | re.S)
-        table = m and (m["into"] or m["of"] or m["set"])
+    def delete(self, table: str, where: str = "true", *args, **named) -> None:
+        """Delete the rows of a table for which a condition holds; one that is null does not hold."""
+        self._change(table, f"SELECT * FROM {table} WHERE NOT coalesce({where}, false)", where, args, args, named)
+
+    def update(self, table: str, values: dict[str, str], where: str = "true", *args, **named) -> None:
+        """Set columns of a table to expressions over its columns, where a condition holds. Positional arguments belong to the condition; expressions take named ones."""
+        if set(values) - set(TABLES[table].names):
+            raise ValueError(f"{table} has no {sorted(set(values) - set(TABLES[table].names))}")
+        columns = ", ".join(f"CASE WHEN coalesce({where}, false) THEN {values[c]} ELSE {c} END AS {c}" if c in values else c for c in TABLES[table].names)
+        self._change(table, f"SELECT {columns} FROM {table}", where, args * len(values), args, named)
+
+    def _change(self, table: str, sql: str, where: str, args: tuple, tested: tuple, named: dict) -> None:
+        """Replace the buckets of a table that hold rows to change by what a statement makes of them."""
         if table not in TABLES:
-            raise ValueError("expected INSERT INTO, DELETE FROM or UPDATE of a table of the store")
-        columns = TABLES[table].names
+            raise ValueError(f"{table} is no table of the store")
 
         def build(t: dict[str, DataFrame]) -> dict:
-            if m["into"]:
-                return {"append": {table: self._sql(m["rows"], args, named).toDF(*columns)}}
-            if m["of"]:
-                return {"replace": {table: self._sql(f"SELECT * FROM {table} WHERE NOT coalesce({m['gone'] or 'true'}, false)", args, named)}}
-            values = dict(re.match(r"\s*(\w+)\s*=\s*(.+)", v, re.S).groups() for v in re.split(r",(?![^()]*\))", m["values"]))
-            if set(values) - set(columns):
-                raise ValueError(f"{table} has no {sorted(set(values) - set(columns))}")
-            every = ", ".join(f"{v} AS new_{c}" for c, v in values.items())
-            rows = self._sql(f"SELECT *, {every}, coalesce({m['where'] or 'true'}, false) AS hit FROM {table}", args, named)
-            return {"replace": {table: rows.select(*[F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in columns])}}
-
-        self.store.transact(build, [])
+            if table not in BUCKETED_BY:
+                return {"replace": {table: self._sql(sql, args, named, t)}}
+            held = self._apart.buckets_of(self._sql(f"SELECT {BUCKETED_BY[table]} FROM {table} WHERE {where}", tested, named, t), BUCKETED_BY[table])
+            some = {table: self._apart.read(table, buckets=held)}
+            return {"replace": {table: self._sql(sql, args, named, some)}, "within": {table: held}} if held else {}
+
+        self._apart.transact(build, [table])
 
     def destroy(self) -> None:
         self.store.destroy()

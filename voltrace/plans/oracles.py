@@ -62,6 +62,9 @@ _CTE = {
     "inside": """SELECT vehicle_id, geofence_id, name, radius_m, row_number() OVER (PARTITION BY vehicle_id ORDER BY radius_m, geofence_id) AS rank
         FROM here h JOIN (SELECT geofence_id, name, lat AS flat, lon AS flon, radius_m FROM versions WHERE valid_to IS NULL AND active) g
         ON 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(flat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(flat)) * pow(sin(radians(flon - lon) / 2), 2))) <= radius_m""",
+    "event_edits": """SELECT 'g' || (user_id % 8) AS geofence_id, ts AS valid_from, max(event_id) AS n FROM events WHERE event_type = 'signup' GROUP BY ALL""",
+    "event_versions": """SELECT geofence_id, row_number() OVER w::INTEGER AS version, 'Fence ' || geofence_id || '.' || (n % 9) AS name, 12.9716::DOUBLE + (n % 5)::DOUBLE / 125.0::DOUBLE AS lat, 77.5946::DOUBLE + (n % 7)::DOUBLE / 160.0::DOUBLE AS lon,
+        600.0::DOUBLE + (n % 6)::DOUBLE * 500.0::DOUBLE AS radius_m, n % 11 <> 0 AS active, valid_from, lead(valid_from) OVER w AS valid_to FROM event_edits WINDOW w AS (PARTITION BY geofence_id ORDER BY valid_from)""",
     "at_fence": """SELECT f.vehicle_id, v.geofence_id, f.event_time, v.version, v.active, v.radius_m, greatest(25.0::DOUBLE, coalesce(f.accuracy_m, 0)) AS margin,
         2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(v.lat - f.lat) / 2), 2) + cos(radians(f.lat)) * cos(radians(v.lat)) * pow(sin(radians(v.lon - f.lon) / 2), 2))) AS d
         FROM fixes f JOIN versions v ON f.event_time >= v.valid_from AND (v.valid_to IS NULL OR f.event_time < v.valid_to)
@@ -89,20 +92,21 @@ _CTE = {
 }
 
 
-def _with(*names: str, body: str) -> str:
-    """A statement with the named tables and all that they are made of."""
+def _with(body: str, extra: str = "", given: dict[str, str] | None = None) -> str:
+    """A statement with the tables that it names and all that they are made of; extra: a table of its own; given: other definitions of some tables."""
+    tables = _CTE | (given or {})
     needed: list[str] = []
 
     def add(text: str) -> None:
         import re
 
-        for name in _CTE:
+        for name in tables:
             if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
-                add(_CTE[name])
+                add(tables[name])
                 needed.append(name)
 
-    add(body)
-    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n]})" for n in needed) + "\n" + body
+    add(body + extra)
+    return "WITH " + ",\n".join([f"{n} AS ({tables[n]})" for n in needed] + [extra] * bool(extra)) + "\n" + body
 
 
 _STEP = """SELECT alert_id, a.vehicle_id, a.kind,
@@ -125,6 +129,23 @@ _GRID = """SELECT vi, ki, 'v' || vi AS vehicle_id, TIMESTAMP '2024-01-31' - to_m
 _SIM = "((vi * {a} + tick * {b} + (vi % 97) * (tick % 89)) % 1000003 * 48271 % {n})"
 _NOISE = "((vi * {a} + ki * {b} + (vi % 97) * (ki % 89)) % 1000003 * 48271 % {n})"
 
+#: Fences whose edits are the sign-ups.
+_MANY = {"versions": "SELECT * FROM event_versions"}
+_CHANGED = {"name": "CASE WHEN k % 2 = 0 THEN 'New ' || geofence_id ELSE name END", "lat": "CASE WHEN k % 3 = 0 THEN 13.0::DOUBLE ELSE lat END", "radius_m": "CASE WHEN k % 3 = 1 THEN 900.0::DOUBLE ELSE radius_m END", "active": "CASE WHEN k % 4 = 3 THEN false ELSE active END"}
+
+
+def _edited(opens: str, now: str) -> str:
+    """Versions after an edit of every fence: open ones that began before are closed and followed by the next, others are changed in place."""
+    changed = ", ".join(f"{c} AS {n}" for n, c in _CHANGED.items())
+    return _with(
+        body=f"""SELECT * EXCLUDE (k, opens) FROM (
+  SELECT * REPLACE (CASE WHEN opens THEN {now} ELSE valid_to END AS valid_to) FROM e WHERE valid_to IS NOT NULL OR opens
+  UNION ALL SELECT * REPLACE ({changed}, version + 1 AS version, {now} AS valid_from, NULL AS valid_to) FROM e WHERE opens
+  UNION ALL SELECT * REPLACE ({changed}) FROM e WHERE valid_to IS NULL AND NOT opens)""",
+        extra=f"e AS (SELECT *, substr(geofence_id, 2)::INTEGER AS k, valid_to IS NULL AND {opens} AS opens FROM event_versions)",
+    )
+
+
 ORACLES = {
     "latest_readings": _with(body="SELECT * FROM latest"),
     "guarded_upsert": _with(body="SELECT * FROM latest"),
@@ -154,12 +175,11 @@ FROM (SELECT v.vehicle_id, s.place, s.signal, l.value, l.event_time, CASE WHEN l
     "geofence_containment": _with(body="SELECT * FROM inside"),
     "current_geofence": _with(body="SELECT * FROM inside WHERE rank = 1"),
     "geofence_list": _with(body="SELECT v.*, coalesce(n, 0) AS vehicle_count FROM versions v LEFT JOIN (SELECT geofence_id, count(*) AS n FROM inside GROUP BY geofence_id) USING (geofence_id) WHERE valid_to IS NULL"),
-    "fence_version_asof": _with(body="SELECT vehicle_id, geofence_id, event_time, version, active FROM at_fence WHERE (vehicle_id, geofence_id) IN (SELECT vehicle_id, geofence_id FROM at_fence WHERE d <= radius_m + 1)"),
-    "fence_scd2_edit": _with(
-        body=f"""SELECT geofence_id, version, name, lat, lon, radius_m, active, valid_from, CASE WHEN geofence_id IN ('f1', 'f2') AND valid_to IS NULL THEN {NOW} ELSE valid_to END AS valid_to FROM versions
-UNION ALL SELECT geofence_id, version + 1, CASE geofence_id WHEN 'f1' THEN 'Depot North' ELSE name END, lat, lon, CASE geofence_id WHEN 'f2' THEN 900.0 ELSE radius_m END, geofence_id <> 'f2', {NOW}, NULL
-FROM versions WHERE geofence_id IN ('f1', 'f2') AND valid_to IS NULL"""
-    ),
+    "fence_version_asof": _with(body="SELECT vehicle_id, geofence_id, event_time, version, active FROM at_fence"),
+    "fence_visits": _with(body="SELECT vehicle_id, geofence_id, event_time, version, active FROM at_fence WHERE d <= radius_m"),
+    "fence_visits_many_versions": _with(body="SELECT vehicle_id, geofence_id, event_time, version, active FROM at_fence WHERE d <= radius_m", given=_MANY),
+    "crossings_many_versions": _with(body="SELECT * FROM crossed", given=_MANY),
+    "fence_scd2_edit": _edited(f"valid_from < {NOW}", NOW),
     "crossings": _with(body="SELECT * FROM crossed"),
     "trips": _with(body="SELECT * FROM trips"),
     "trip_list": _with(
@@ -233,11 +253,18 @@ ON 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(flat - lat) / 2), 2) + cos(
     ),
     "geofence_list_active": _with(body="SELECT v.*, coalesce(n, 0) AS vehicle_count FROM versions v LEFT JOIN (SELECT geofence_id, count(*) AS n FROM inside GROUP BY geofence_id) USING (geofence_id) WHERE valid_to IS NULL AND active"),
     "fence_create": _with(
-        body=f"""SELECT *, TIMESTAMP '2020-01-01' AS created_at FROM versions
-UNION ALL SELECT 'f9', 1, 'New Yard', 12.95, 77.6, 700.0, true, TIMESTAMP '2024-01-20', NULL, {NOW}"""
+        body=f"""SELECT v.*, CASE WHEN geofence_id[1] = 's' THEN {NOW} ELSE (SELECT min(valid_from) FROM event_versions w WHERE w.geofence_id = v.geofence_id) END AS created_at FROM (
+  SELECT * FROM event_versions UNION ALL
+  SELECT * FROM (SELECT CASE WHEN s_suppkey < 4 THEN 'g' ELSE 's' END || s_suppkey AS geofence_id, 1, s_name, 12.9::DOUBLE + s_suppkey::DOUBLE / 10000.0::DOUBLE, 77.5::DOUBLE + s_nationkey::DOUBLE / 1000.0::DOUBLE, 300.0::DOUBLE + s_nationkey::DOUBLE * 100.0::DOUBLE, true,
+    CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2024-01-20' ELSE {NOW} END, NULL FROM supplier) WHERE geofence_id NOT IN (SELECT geofence_id FROM event_versions)) v"""
+    ),
+    "fence_edit_same_instant": _edited("valid_from < (SELECT max(valid_from) FROM event_versions WHERE valid_to IS NULL)", "(SELECT max(valid_from) FROM event_versions WHERE valid_to IS NULL)"),
+    "fence_versions_ranked": _with(body="SELECT *, row_number() OVER (ORDER BY geofence_id, version)::INTEGER AS nth FROM event_versions"),
+    "store_retained": _with(body="SELECT * FROM crossed"),
+    "signal_percentiles": _with(
+        body="""SELECT signal, p AS percent, min(value) AS value FROM (SELECT signal, value, row_number() OVER (PARTITION BY signal ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY signal) AS n FROM log), (VALUES (50), (95)) t(p)
+WHERE place >= floor(p / 100.0::DOUBLE * (n - 1) + 0.5) GROUP BY signal, p"""
     ),
-    "fence_edit_same_instant": _with(body="SELECT * REPLACE (CASE WHEN geofence_id = 'f1' AND valid_to IS NULL THEN 'Same Depot' ELSE name END AS name, CASE WHEN geofence_id = 'f1' AND valid_to IS NULL THEN 77.6 ELSE lon END AS lon) FROM versions"),
-    "fence_versions_ranked": _with(body="SELECT *, row_number() OVER (ORDER BY geofence_id, version)::INTEGER AS nth FROM versions"),
     "fix_first_received": _with(
         body="""SELECT vehicle_id, ts AS event_time, ts AS ingest_time, min(event_id::VARCHAR) AS packet_id, round(arg_min(lat, event_id::VARCHAR), 9) AS lat, round(arg_min(lon, event_id::VARCHAR), 9) AS lon, arg_min(accuracy_m, event_id::VARCHAR) AS accuracy_m
 FROM fix_rows GROUP BY vehicle_id, ts"""

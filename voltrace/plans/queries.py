@@ -12,8 +12,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.places import with_place
 from ..operators import alerts as A
 from ..operators import current as C
 from ..operators import geofence as G
@@ -32,6 +32,9 @@ RAW_CUT = datetime(2024, 1, 24)
 GENERATED = (60, 240)
 #: For queries that go through a store: nothing is old enough to be frozen.
 STORED = replace(RULES, raw_retention=timedelta(days=3650))
+STORE_BUCKETS = 16
+#: The cut-off of the store that drops its old readings between two batches.
+CUT = datetime(2024, 1, 16)
 
 _STORES: list[Store] = []
 _FILLED: dict[tuple, Store] = {}
@@ -54,7 +57,7 @@ def _store(spark: SparkSession) -> Store:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    _STORES.append(Store(spark, f"{(root or tempfile.mkdtemp(prefix='voltrace-')).rstrip('/')}/stores/{uuid.uuid4().hex}", 2))
+    _STORES.append(Store(spark, f"{(root or tempfile.mkdtemp(prefix='voltrace-')).rstrip('/')}/stores/{uuid.uuid4().hex}", STORE_BUCKETS))
     return _STORES[-1]
 
 
@@ -104,6 +107,10 @@ class _View:
     def versions(self) -> DataFrame:
         return E.telemetry_fences(self.spark)[1]
 
+    @property
+    def event_versions(self) -> DataFrame:
+        return E.event_fences(self.events)[1]
+
     @property
     def fleet(self) -> DataFrame:
         return S.fleet_rows(self.vehicles, self.latest, self.alerts, NOW, RULES)
@@ -142,16 +149,36 @@ def _step(v: _View) -> DataFrame:
     return A.step(v.alerts, v.conditions)
 
 
+def _edits(v: _View) -> DataFrame:
+    """An edit for every fence whose edits are sign-ups: some move it, some rename it, some switch it off."""
+    k = F.substring("geofence_id", 2, 9).cast("int")
+    return v.event_versions.select("geofence_id").distinct().select(
+        "geofence_id",
+        F.when(k % 2 == 0, F.concat(F.lit("New "), "geofence_id")).alias("name"),
+        F.when(k % 3 == 0, F.lit(13.0)).alias("lat"),
+        F.lit(None).cast("double").alias("lon"),
+        F.when(k % 3 == 1, F.lit(900.0)).alias("radius_m"),
+        F.when(k % 4 == 3, F.lit(False)).alias("active"),
+    )
+
+
 def _scd2_edit(v: _View) -> DataFrame:
-    edits = v.spark.createDataFrame([("f1", "Depot North", None, None, None, None), ("f2", None, None, None, 900.0, False)], "geofence_id string, name string, lat double, lon double, radius_m double, active boolean")
-    return G.edit_fences(v.versions, edits, NOW)
+    return G.edit_fences(v.event_versions, _edits(v), NOW)
 
 
-def _asof(v: _View) -> DataFrame:
-    rows = G.version_asof(C.location_fixes(v.positions), v.versions, RULES)
+def _visits(v: _View, versions: DataFrame) -> DataFrame:
+    """Fixes inside a fence by its version in force."""
+    rows = G.version_asof(C.location_fixes(v.positions), versions, RULES)
     d = G.haversine_m(F.col("lat"), F.col("lon"), F.col("fence_lat"), F.col("fence_lon"))
-    near = rows.filter(d <= F.col("radius_m") + 1).select("vehicle_id", "geofence_id").distinct()
-    return rows.join(near, ["vehicle_id", "geofence_id"], "left_semi").select("vehicle_id", "geofence_id", "event_time", "version", "active")
+    return rows.filter(d <= F.col("radius_m")).select("vehicle_id", "geofence_id", "event_time", "version", "active")
+
+
+def _asof(v: _View) -> DataFrame:
+    """The version of every fence at every trusted fix, for all vehicles and fences."""
+    vehicles, fences = v.positions.select("vehicle_id").distinct(), v.versions.select("geofence_id").distinct()
+    pairs = vehicles.withColumn("geofence_id", F.explode(F.array(*[F.lit(r[0]) for r in fences.collect()])))  # four fences
+    rows = G.version_asof(C.location_fixes(v.positions), v.versions, RULES, pairs)
+    return rows.select("vehicle_id", "geofence_id", "event_time", "version", "active")
 
 
 def _history(v: _View) -> DataFrame:
@@ -193,9 +220,9 @@ def _streamed(v: _View) -> DataFrame:
     return I.explode_signals(accepted, NOW).groupBy("vehicle_id", "signal").agg(F.count("*").alias("n"), F.countDistinct("packet_id").alias("packets"))
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    """The rows of an ordered result with their place in it."""
-    return df.withColumn("nth", F.monotonically_increasing_id()).withColumn("nth", F.row_number().over(Window.orderBy("nth")))
+def _ranked(df: DataFrame, order: list) -> DataFrame:
+    """The rows of a result with their place in its order."""
+    return with_place(df, order, f"{_store(df.sparkSession).root}/places")
 
 
 @_filled
@@ -244,14 +271,37 @@ def _dateline(v: _View) -> DataFrame:
 
 
 def _created(v: _View) -> DataFrame:
-    fences, versions = G.create_fence(*E.telemetry_fences(v.spark), "f9", "New Yard", 12.95, 77.6, 700.0, NOW, datetime(2024, 1, 20))
+    """A fence for every supplier, beside those of the events; some ids exist already."""
+    n = F.col("s_suppkey")
+    new = v.spark.read.parquet(f"{v.sf_dir}/supplier.parquet").select(
+        F.when(n < 4, F.concat(F.lit("g"), n.cast("string"))).otherwise(F.concat(F.lit("s"), n.cast("string"))).alias("geofence_id"),
+        F.col("s_name").alias("name"),
+        (F.lit(12.9) + n.cast("double") / 10000.0).alias("lat"),
+        (F.lit(77.5) + F.col("s_nationkey").cast("double") / 1000.0).alias("lon"),
+        (F.lit(300.0) + F.col("s_nationkey").cast("double") * 100.0).alias("radius_m"),
+        F.when(n % 2 == 0, F.lit(datetime(2024, 1, 20))).cast("timestamp_ntz").alias("valid_from"),
+    )
+    fences, versions = G.create_fences(*E.event_fences(v.events), new, NOW)
     return versions.join(fences, "geofence_id")
 
 
 def _edited_at_once(v: _View) -> DataFrame:
-    """An edit at the instant at which the open version began: it is changed in place."""
-    edits = v.spark.createDataFrame([("f1", "Same Depot", None, 77.6, None, None)], "geofence_id string, name string, lat double, lon double, radius_m double, active boolean")
-    return G.edit_fences(v.versions, edits, datetime(2024, 1, 12))
+    """Edits at the instant at which the open version of one fence began: this version is changed in place, the others are closed."""
+    began = v.event_versions.filter("valid_to IS NULL").agg(F.max("valid_from")).first()[0]  # one moment
+    return G.edit_fences(v.event_versions, _edits(v), began or NOW)
+
+
+def _retained(v: _View) -> DataFrame:
+    """Crossings from two batches between which retention drops the readings before CUT; the second brings late ones from behind it."""
+    store, rules = _store(v.spark), replace(RULES, raw_retention=timedelta(days=10))
+    fences, versions = E.telemetry_fences(v.spark)
+    store.publish(replace={"geofences": fences, "geofence_versions": versions})
+    ts = F.col("ts").cast("timestamp_ntz")
+    first = (ts < F.lit(CUT)) | ((ts < F.lit(CUT + timedelta(days=4))) & (F.col("event_id") % 3 != 0))
+    P.process_batch(store, E.position_packets(v.events.filter(first)), CUT + timedelta(days=10), ("positions", 0), rules)
+    P.compact(store, CUT + timedelta(days=10), rules)
+    P.process_batch(store, E.position_packets(v.events.filter(~first)), CUT + timedelta(days=15), ("positions", 1), rules)
+    return store.read("geofence_events")
 
 
 def _first_received(v: _View) -> DataFrame:
@@ -294,10 +344,15 @@ _QUERIES: dict[str, Callable[[_View], DataFrame]] = {
     "geofence_list": lambda v: G.geofence_list(C.latest_readings(v.positions), v.fences),
     "fence_version_asof": _asof,
     "fence_scd2_edit": _scd2_edit,
+    "fence_visits": lambda v: _visits(v, v.versions),
+    "fence_visits_many_versions": lambda v: _visits(v, v.event_versions),
+    "crossings_many_versions": lambda v: G.crossings(C.location_fixes(v.positions), v.event_versions, RULES),
+    "signal_percentiles": lambda v: H.nearest_rank(v.log, ["signal"], "value", [50, 95]),
+    "store_retained": _retained,
     "crossings": lambda v: v.crossings,
     "trips": lambda v: v.trips,
     "trip_list": lambda v: T.trip_list(v.trips, v.versions, limit=None),
-    "vehicle_trips_ranked": lambda v: _ranked(T.trip_list(v.trips, v.versions, "v5", 50)),
+    "vehicle_trips_ranked": lambda v: _ranked(T.trip_list(v.trips, v.versions, "v5", 50), T.trip_order()),
     "trips_in_progress": lambda v: T.in_progress_count(v.trips),
     "soc_history": _history,
     "recent_readings": lambda v: H.recent_readings(v.log, "v5"),
@@ -326,14 +381,14 @@ _QUERIES: dict[str, Callable[[_View], DataFrame]] = {
     "geofence_list_active": lambda v: G.geofence_list(C.latest_readings(v.positions), v.fences, include_inactive=False),
     "fence_create": _created,
     "fence_edit_same_instant": _edited_at_once,
-    "fence_versions_ranked": lambda v: _ranked(G.all_versions(v.versions)),
+    "fence_versions_ranked": lambda v: _ranked(v.event_versions, G.VERSION_ORDER),
     "fix_first_received": _first_received,
     "fleet_worst_severity": _labelled,
-    "fleet_list_ranked": lambda v: _ranked(S.fleet_list(v.fleet)).select("nth", "vehicle_id"),
-    "active_alerts_ranked": lambda v: _ranked(A.active_alerts(v.alerts, v.latest, v.vehicles, NOW, RULES)).select("nth", "alert_id"),
-    "geofence_list_ranked": lambda v: _ranked(G.geofence_list(C.latest_readings(v.positions), v.fences)).select("nth", "geofence_id"),
-    "soc_history_ranked": lambda v: _ranked(_history(v)).select("nth", "vehicle_id", "bucket_at"),
-    "crossings_ranked": lambda v: _ranked(G.in_output_order(v.crossings)).select("nth", "vehicle_id", "geofence_id", "kind", "event_time"),
+    "fleet_list_ranked": lambda v: _ranked(v.fleet, S.fleet_order()).select("nth", "vehicle_id"),
+    "active_alerts_ranked": lambda v: _ranked(A.active_alerts(v.alerts, v.latest, v.vehicles, NOW, RULES), A.alert_order()).select("nth", "alert_id"),
+    "geofence_list_ranked": lambda v: _ranked(G.geofence_list(C.latest_readings(v.positions), v.fences), G.fence_order()).select("nth", "geofence_id"),
+    "soc_history_ranked": lambda v: _ranked(_history(v), ["vehicle_id", "bucket_at"]).select("nth", "vehicle_id", "bucket_at"),
+    "crossings_ranked": lambda v: _ranked(v.crossings, G.CROSSING_ORDER).select("nth", "vehicle_id", "geofence_id", "kind", "event_time"),
 }
 
 

@@ -27,7 +27,9 @@ ALERTS = _table("alert_id:s vehicle_id:s kind:s severity:s trigger_value:d opene
 #: last_event_time lets a later merge tell which value is newest.
 SIGNAL_ROLLUPS = _table("vehicle_id:s signal:s bucket_start:t min_value:d max_value:d last_value:d last_event_time:t sample_count:l")
 #: What a vehicle's crossings of a fence go on from: the side last believed and the last run of fixes on one side.
-CROSSING_STATE = _table("vehicle_id:s geofence_id:s believed:b? inside:b since:t before:t? last_time:t fixes:i")
+CROSSING_STATE = _table("vehicle_id:s geofence_id:s believed:b? inside:b since:t? before:t? last_time:t fixes:i")
+#: The same as it was after all fixes before as_of; made: the publish that has written it.
+CROSSING_DAYS = _table("vehicle_id:s geofence_id:s believed:b? inside:b since:t? before:t? last_time:t fixes:i as_of:t made:l")
 PACKET = StructType([
     StructField("vehicle_id", StringType()),
     StructField("event_time", TimestampNTZType()),
@@ -46,11 +48,12 @@ TABLES = {
     "geofence_versions": GEOFENCE_VERSIONS,
     "geofence_events": GEOFENCE_EVENTS,
     "crossing_state": CROSSING_STATE,
+    "crossing_days": CROSSING_DAYS,
     "trips": TRIPS,
     "alerts": ALERTS,
     "signal_rollups": SIGNAL_ROLLUPS,
 }
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 #: Tables that the store splits into buckets, by which column, and into days.
-BUCKETED_BY = {t: "vehicle_id" for t in ("signal_readings", "latest_readings", "geofence_events", "crossing_state", "trips", "alerts", "signal_rollups")} | {"packets": "packet_id"}
-DATED_BY = {"signal_readings": "event_time", "packets": "event_time"}
+BUCKETED_BY = {t: "vehicle_id" for t in ("signal_readings", "latest_readings", "geofence_events", "crossing_state", "crossing_days", "trips", "alerts", "signal_rollups")} | {"packets": "packet_id"}
+DATED_BY = {"signal_readings": "event_time", "packets": "event_time", "crossing_days": "as_of", "signal_rollups": "bucket_start"}

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..rules import IGNITION, ODOMETER, SOC, SPEED, TEMP, Rules
 from .generate import MODELS
@@ -97,6 +98,25 @@ def telemetry_fences(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return versions.filter("version = 1").select("geofence_id", F.col("valid_from").alias("created_at")), versions
 
 
+def event_fences(rows: DataFrame, fences: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(geofences, versions) whose edits are the sign-ups among the events: hundreds of versions of a few fences."""
+    fence, when = F.concat(F.lit("g"), (F.col("user_id") % fences).cast("string")), F.col("ts").cast("timestamp_ntz")
+    edits = rows.filter("event_type = 'signup'").groupBy(fence.alias("geofence_id"), when.alias("valid_from")).agg(F.max("event_id").alias("n"))  # one edit an instant
+    order = Window.partitionBy("geofence_id").orderBy("valid_from")
+    versions = edits.select(
+        "geofence_id",
+        F.row_number().over(order).alias("version"),
+        F.concat(F.lit("Fence "), F.col("geofence_id"), F.lit("."), (F.col("n") % 9).cast("string")).alias("name"),
+        (F.lit(12.9716) + (F.col("n") % 5).cast("double") / 125.0).alias("lat"),
+        (F.lit(77.5946) + (F.col("n") % 7).cast("double") / 160.0).alias("lon"),
+        (F.lit(600.0) + (F.col("n") % 6).cast("double") * 500.0).alias("radius_m"),
+        (F.col("n") % 11 != 0).alias("active"),
+        "valid_from",
+        F.lead("valid_from").over(order).alias("valid_to"),
+    )
+    return versions.filter("version = 1").select("geofence_id", F.col("valid_from").alias("created_at")), versions
+
+
 def telemetry_packets(rows: DataFrame) -> DataFrame:
     """Events as packets: some from the future, some without signals, some sent twice, some without a device id."""
     log = telemetry_log(rows).select("vehicle_id", "signal", "event_time", "value", F.col("packet_id").cast("long").alias("n"))

@@ -4,8 +4,8 @@ State lives in the snapshot store, not in operator state, so packets are recogni
 however late they come, and nothing is dropped by a watermark. A batch that is
 retried is recognised by its id and published once.
 
-A batch reads and rewrites the buckets of the vehicles that it touches. Crossings of a vehicle whose readings are all
-newer than what it had go on from its state; only a vehicle with late readings, or one that comes near a fence for the first time, is replayed from its log.
+A batch reads and rewrites the buckets of the vehicles that it touches. Crossings of a vehicle whose positions are all
+newer than what it had go on from its state; a vehicle with late positions is replayed from the last day before them (operators.replay).
 """
 
 from __future__ import annotations
@@ -18,50 +18,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.exprs import at
 from ..operators import alerts as A
 from ..operators import history
-from ..operators.current import guarded_upsert, location_fixes
-from ..operators.geofence import confirmed, near_pairs, runs_of_sides, sides, state_of_runs
-from ..operators.ingest import accounting, explode_signals, identified, ledger_rows, new_rows, split, touched
-from ..operators.trips import trips
-from ..rules import Rules
-from ..sources.schemas import CROSSING_STATE
+from ..operators.current import guarded_upsert
+from ..operators.ingest import explode_signals, identified, ledger_rows, new_rows, reject_reason, rejected_rows, touched
+from ..operators.replay import SELF, at_cutoff, derive, from_base, started, valid_days
+from ..rules import POSITION, Rules
 from ..sources.store import PATIENCE_S, Conflict, Store
 
 _NONE = Rules()
-#: The fence of a state row that stands for the vehicle itself: its last_time is the newest reading seen.
-SELF = ""
 #: Packets of a batch up to which their ids are sent to the ledger; beyond, both sides are shuffled.
 MOST_BROADCAST = 100_000
 TOUCHED = ("latest_readings", "alerts", "geofence_events", "crossing_state", "trips")
+NOTHING = {"accepted": 0, "duplicates": 0, "clock_skew_future": 0, "empty_packet": 0}
 
 
-def fold(log: DataFrame, versions: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """(crossings, state) of a log, from the start or going on from a state. keep: persists what both are made of."""
-    runs = keep(runs_of_sides(sides(location_fixes(log), versions, rules, state), rules, state))
-    return confirmed(runs, rules), state_of_runs(runs, rules)
+class Kept:
+    """Frames that several results are made of: persisted, or written beside the store and read again, which cuts their plan. Both go when the publish is done."""
 
+    def __init__(self, store: Store):
+        self.store, self.frames, self.paths = store, [], []
 
-def derive(log: DataFrame, versions: DataFrame, vehicles: DataFrame, rules: Rules = _NONE) -> tuple[DataFrame, DataFrame]:
-    """Crossings and trips of the given vehicles, replayed from all their readings."""
-    found = fold(_of(log, vehicles), versions, rules)[0]
-    return found, trips(found)
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist())
+        return self.frames[-1]
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        path, made = self.store.work(df)
+        self.paths.append(path)
+        return made
 
-def _of(rows: DataFrame, vehicles: DataFrame, how: str = "left_semi") -> DataFrame:
-    return rows.join(vehicles.select("vehicle_id").distinct(), "vehicle_id", how)
+    def __enter__(self) -> Kept:
+        return self
 
-
-def replaced(old: DataFrame, new: DataFrame, vehicles: DataFrame, time_col: str, now: datetime, rules: Rules = _NONE) -> DataFrame:
-    """old with the rows of some vehicles derived anew; rows from before the retention cut-off stay."""
-    return _of(old, vehicles, "left_anti").unionByName(history.keep_frozen(_of(old, vehicles), new, time_col, now, rules))
-
-
-def newest(log: DataFrame) -> DataFrame:
-    """State rows of the vehicles themselves."""
-    seen = log.groupBy("vehicle_id").agg(F.max("event_time").alias("last_time"))
-    values = {"geofence_id": F.lit(SELF), "believed": F.lit(None), "inside": F.lit(False), "since": F.col("last_time"), "before": F.lit(None), "fixes": F.lit(0)}
-    return seen.withColumns(values).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CROSSING_STATE])
+    def __exit__(self, *_) -> None:
+        for frame in self.frames:
+            frame.unpersist()
+        for path in self.paths:
+            self.store.drop_work(path)
 
 
 def process_batch(store: Store, packets: DataFrame, now: datetime, batch: tuple[str, int] | None = None, rules: Rules = _NONE) -> dict[str, int]:
@@ -76,61 +71,54 @@ def process_batch(store: Store, packets: DataFrame, now: datetime, batch: tuple[
 
 
 def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str, int] | None, rules: Rules) -> dict[str, int]:
-    based_on, kept = store.manifest()["number"], []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.persist())
-        return kept[-1]
-
-    try:
-        packets = keep(identified(packets))
-        accepted, rejected = split(packets, now, rules)
-        rows = explode_signals(accepted, now)
+    manifest = store.manifest()
+    if batch and manifest["batches"].get(batch[0], -1) >= batch[1]:
+        return dict(NOTHING)  # published already
+    based_on, cutoff = manifest["number"], store.forgotten("signal_readings", manifest)
+    with Kept(store) as keep:
+        judged = keep(identified(packets).withColumn("reason", reject_reason(now, rules)))
+        counts = judged.agg(
+            F.count_if(F.col("reason").isNull()).alias("offered"),
+            *[F.count_if(F.col("reason") == r).alias(r) for r in ("clock_skew_future", "empty_packet")],
+        ).first().asDict()
+        accepted, rejected = judged.filter("reason IS NULL").drop("reason"), rejected_rows(judged, now)
         ids = accepted.select("packet_id").distinct()
         ledger = store.read("packets", buckets=store.buckets_of(ids, "packet_id")).select("packet_id")
-        if packets.count() <= MOST_BROADCAST:  # the ledger stays where it is
+        if counts["offered"] <= MOST_BROADCAST:  # the ledger stays where it is
             ledger = ledger.join(F.broadcast(ids), "packet_id", "left_semi").distinct()
-        fresh = keep(new_rows(rows, ledger))
-        counts = accounting(accepted, rejected, fresh).first().asDict()
-        if not counts["accepted"]:
+        fresh = keep.cut(new_rows(explode_signals(accepted, now), ledger))
+        entries = keep(ledger_rows(fresh))
+        new = entries.count()
+        counts = {"accepted": new, "duplicates": counts.pop("offered") - new} | counts
+        if not new:
             store.publish(append={"rejected_packets": rejected}, batch=batch, based_on=based_on)
             return counts
         keys = keep(touched(fresh))
         buckets = store.buckets_of(keys)
-        t = store.snapshot(["geofence_versions", *TOUCHED], buckets=buckets)
-        latest = keep(guarded_upsert(t["latest_readings"], fresh))
+        t = store.snapshot(["geofence_versions", "crossing_days", *TOUCHED], buckets=buckets)
+        latest = keep.cut(guarded_upsert(t["latest_readings"], fresh))
         alerts = A.step(t["alerts"], A.alert_conditions(latest, now, rules, keys))
 
-        had = t["crossing_state"].filter(F.col("geofence_id") == SELF).select("vehicle_id", "last_time")
-        old_state = t["crossing_state"].filter(F.col("geofence_id") != SELF)
-        # what a vehicle did before it first came near a fence is not in its state
-        first = near_pairs(location_fixes(fresh), t["geofence_versions"], rules).join(old_state, ["vehicle_id", "geofence_id"], "left_anti").select("vehicle_id", F.lit(True).alias("first")).distinct()
-        marked = keys.join(had, "vehicle_id", "left").join(first, "vehicle_id", "left")
-        marked = keep(marked.withColumn("late", F.col("last_time").isNull() | (F.col("from_time") <= F.col("last_time")) | F.col("first").isNotNull()))
-        late, others = marked.filter("late"), marked.filter("NOT late")
-        log = store.read("signal_readings", buckets=store.buckets_of(late)).unionByName(fresh)
-        again, again_state = fold(_of(log, late), t["geofence_versions"], rules, keep=keep)
-        more, more_state = fold(_of(fresh, others), t["geofence_versions"], rules, _of(old_state, others), keep)
-        events = keep(replaced(t["geofence_events"], again, late, "event_time", now, rules).unionByName(more))
-        seen = newest(fresh.select("vehicle_id", "event_time").unionByName(had.select("vehicle_id", F.col("last_time").alias("event_time"))))
-        state = _of(old_state, keys, "left_anti").unionByName(again_state).unionByName(more_state).unionByName(seen)
+        positions = fresh.filter(F.col("signal").isin(*POSITION))
+        t["crossing_days"] = keep.cut(valid_days(t["crossing_days"]))
+        seen = t["latest_readings"].select("vehicle_id", F.lit(True).alias("seen")).distinct()
+        marked = keep.cut(started(touched(positions), t["crossing_state"], t["crossing_days"], cutoff).join(seen, "vehicle_id", "left"))
+        late = marked.filter("late")
+        # only vehicles that were there before have older readings, and only those from their base on are needed
+        need = marked.filter("late AND seen").agg(F.count("*").alias("n"), F.min("base").alias("since"), F.count_if(F.col("base").isNull()).alias("whole")).first()
+        rows = positions.join(marked.filter("NOT late").select("vehicle_id"), "vehicle_id", "left_semi").unionByName(from_base(positions, late))
+        if need["n"]:
+            log = store.read("signal_readings", buckets=store.buckets_of(marked.filter("late AND seen")), since=None if need["whole"] else need["since"])
+            rows = rows.unionByName(from_base(log.filter(F.col("signal").isin(*POSITION)), late))
+        made = derive(rows, marked, t, rules, cutoff, based_on + 1, keep)
         store.publish(
-            append={"signal_readings": fresh, "packets": ledger_rows(fresh), "rejected_packets": rejected},
-            replace={
-                "latest_readings": latest,
-                "alerts": alerts,
-                "geofence_events": events,
-                "crossing_state": state,
-                "trips": replaced(t["trips"], trips(_of(events, keys)), keys, "started_at", now, rules),
-            },
+            append={"signal_readings": fresh, "packets": entries, "rejected_packets": rejected, "crossing_days": made.pop("crossing_days")},
+            replace={"latest_readings": latest, "alerts": alerts} | made,
             within=dict.fromkeys(TOUCHED, buckets),
             batch=batch,
             based_on=based_on,
         )
         return counts
-    finally:
-        for frame in kept:
-            frame.unpersist()
 
 
 def refresh(store: Store, now: datetime, rules: Rules = _NONE) -> None:
@@ -139,29 +127,55 @@ def refresh(store: Store, now: datetime, rules: Rules = _NONE) -> None:
 
 
 def recompute_fleet(store: Store, now: datetime, rules: Rules = _NONE) -> None:
-    """Derive crossings, trips and state of all registered vehicles anew, in one job; other vehicles are replayed when they next report."""
-
-    kept: list[DataFrame] = []
+    """Derive crossings, trips and states of all registered vehicles anew, in one job, from their states at the retention cut-off; other vehicles are replayed when they next report."""
+    with Kept(store) as keep:
+
+        def build(t: dict[str, DataFrame]) -> dict:
+            manifest = store.manifest()
+            cutoff = store.forgotten("signal_readings", manifest)
+            days = keep.cut(valid_days(t["crossing_days"]))
+            first = days.filter(F.col("as_of") <= F.lit(cutoff).cast("timestamp_ntz")) if cutoff else days.limit(0)
+            bases = first.filter(F.col("geofence_id") == SELF).groupBy("vehicle_id").agg(F.max("as_of").alias("base"))
+            marked = keep.cut(t["vehicles"].select("vehicle_id", F.lit(True).alias("late")).join(bases, "vehicle_id", "left"))
+            positions = t["signal_readings"].filter(F.col("signal").isin(*POSITION))
+            made = derive(from_base(positions, marked), marked, t | {"crossing_days": days}, rules, cutoff, manifest["number"] + 1, keep)
+            kept = days.join(marked.select("vehicle_id"), "vehicle_id", "left_anti").unionByName(first.join(marked.select("vehicle_id"), "vehicle_id", "left_semi"))
+            return {"replace": made | {"crossing_days": kept.unionByName(made["crossing_days"])}}
 
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.persist())
-        return kept[-1]
+        store.transact(build)
 
-    def build(t: dict[str, DataFrame]) -> dict:
-        log = _of(t["signal_readings"], t["vehicles"])
-        found, state = fold(log, t["geofence_versions"], rules, keep=keep)
-        events = keep(replaced(t["geofence_events"], found, t["vehicles"], "event_time", now, rules))
-        return {"replace": {
-            "geofence_events": events,
-            "crossing_state": state.unionByName(newest(log)),
-            "trips": replaced(t["trips"], trips(_of(events, t["vehicles"])), t["vehicles"], "started_at", now, rules),
-        }}
 
-    try:
-        store.transact(build)
-    finally:
-        for frame in kept:
-            frame.unpersist()
+def rollups(store: Store) -> DataFrame:
+    """One row per vehicle, signal and bucket; rows of a bucket that were rolled up at different times are merged."""
+    rows = store.read("signal_rollups")
+    return history.merge_rollups(rows, rows.limit(0))
+
+
+def compact(store: Store, now: datetime, rules: Rules = _NONE) -> dict[str, int]:
+    """Tiered retention; returns rows dropped and rollup rows.
+
+    Old days leave the log, the ledger and the rollups by the manifest, and nothing of what stays is rewritten but the buckets of alerts that go.
+    The state of every vehicle at the cut-off is kept, so what comes later is derived as if all were there still.
+    """
+    raw, oldest = history.cutoffs(now, rules)
+    old_alerts = F.col("resolved_at") < at(oldest)
+    with Kept(store) as keep:
+        old = store.read("signal_readings", until=raw)
+        dropped = old.count()
+
+        def build(t: dict[str, DataFrame]) -> dict:
+            manifest = store.manifest()
+            days = t | {"crossing_days": keep.cut(valid_days(t["crossing_days"]))}
+            states = at_cutoff(store.read("signal_readings", until=raw), days, raw, store.forgotten("signal_readings", manifest), manifest["number"] + 1, rules, keep)
+            made = {"append": {"signal_rollups": history.rollup(old, raw, rules), "crossing_days": states}, "forget": {"signal_readings": raw, "packets": raw, "crossing_days": raw, "signal_rollups": oldest}}
+            gone = store.buckets_of(t["alerts"].filter(old_alerts))
+            if gone:
+                left = store.read("alerts", buckets=gone)
+                made |= {"replace": {"alerts": left.filter(~F.coalesce(old_alerts, F.lit(False)))}, "within": {"alerts": gone}}
+            return made
+
+        store.transact(build, ["alerts", "crossing_state", "crossing_days", "geofence_versions", "geofence_events", "trips"])
+    return {"rows_dropped": dropped, "rollup_rows": rollups(store).count()}
 
 
 def start(packets: DataFrame, store: Store, checkpoint: str, clock: Callable[[], datetime], name: str = "ingest", rules: Rules = _NONE, once: bool = False) -> StreamingQuery:
