@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.exprs import alert_id, at, is_fresh
+from ..functions.exprs import alert_id, at, epoch_s, is_fresh
 from ..rules import SOC, TEMP, Rules
 from ..sources.schemas import ALERTS
 
@@ -124,17 +125,35 @@ def undo_dismiss(alerts: DataFrame, alert: str) -> DataFrame:
     return alerts.withColumns({c: F.when(~hit, F.col(c)) for c in ("dismissed_at", "dismiss_reason")})
 
 
+def alert_readings(log: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """The readings that drive alerts, by kind, and whether each is a breach."""
+    soc = F.col("signal") == SOC
+    breached = F.when(soc, F.col("value") < rules.soc_warning).otherwise(F.col("value") > rules.temp_critical)
+    return log.filter(F.col("signal").isin(*KINDS.values())).select("vehicle_id", F.when(soc, "battery_soc").otherwise("battery_temp").alias("kind"), "event_time", "value", breached.alias("breached"))
+
+
 def replay(log: DataFrame, rules: Rules = _NONE) -> DataFrame:
     """Alert instances as a pure function of the log: runs of breached readings, whatever the batches were.
 
     An instance opens with the first breached reading of a run and resolves with the
     next reading that is not breached.
     """
-    from pyspark.sql.window import Window
-
-    soc = F.col("signal") == SOC
-    rows = log.filter(F.col("signal").isin(*KINDS.values())).select("vehicle_id", F.when(soc, "battery_soc").otherwise("battery_temp").alias("kind"), "event_time", "value", F.when(soc, F.col("value") < rules.soc_warning).otherwise(F.col("value") > rules.temp_critical).alias("breached"))
     order = Window.partitionBy("vehicle_id", "kind").orderBy("event_time")
     change = F.when(F.col("breached") & ~F.coalesce(F.lag("breached").over(order), F.lit(False)), 1).otherwise(0)
-    runs = rows.withColumn("starts", change).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = alert_readings(log, rules).withColumn("starts", change).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return runs.filter("run > 0").groupBy("vehicle_id", "kind", "run").agg(F.min("event_time").alias("opened_at"), F.max(F.when(F.col("breached"), F.col("event_time"))).alias("last_seen_at"), F.min(F.when(~F.col("breached"), F.col("event_time"))).alias("resolved_at")).drop("run")
+
+
+def alert_spells(log: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """When each alert instance is visible, as a pure function of the log: from a breach until a reading clears it, or until no reading is fresh any more; a further breach shows it again."""
+    order = Window.partitionBy("vehicle_id", "kind").orderBy("event_time")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = alert_readings(log, rules).withColumns({"was": F.coalesce(F.lag("breached").over(order), F.lit(False)), "before": F.lag("event_time").over(order), "then": F.lead("event_time").over(order)})
+    hides = F.timestamp_seconds(epoch_s(F.col("event_time")) + rules.stale_s + 1).cast("timestamp_ntz")
+    opens = F.col("breached") & ~F.col("was")
+    shows = F.col("breached") & (~F.col("was") | (epoch_s(F.col("event_time")) - epoch_s(F.col("before")) > rules.stale_s))
+    rows = rows.withColumns({"hides": hides, "opened_at": F.last(F.when(opens, F.col("event_time")), ignorenulls=True).over(upto), "shown_at": F.last(F.when(shows, F.col("event_time")), ignorenulls=True).over(upto)}).filter("breached")
+    last = F.max_by(F.struct("hides", "then"), "event_time").alias("r")
+    spells = rows.groupBy("vehicle_id", "kind", "opened_at", "shown_at").agg(last)
+    cleared = F.col("r.then") < F.col("r.hides")  # else the next breach would belong to the spell
+    return spells.select("vehicle_id", "kind", "opened_at", "shown_at", F.when(cleared, F.col("r.then")).otherwise(F.col("r.hides")).alias("hidden_at"), F.when(cleared, "resolved").otherwise("stale").alias("why"))

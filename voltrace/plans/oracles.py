@@ -109,6 +109,12 @@ def _with(body: str, extra: str = "", given: dict[str, str] | None = None) -> st
     return "WITH " + ",\n".join([f"{n} AS ({tables[n]})" for n in needed] + [extra] * bool(extra)) + "\n" + body
 
 
+_SPELLS = f"""SELECT vehicle_id, kind, opened_at, shown_at, CASE WHEN next_at < hides THEN next_at ELSE hides END AS hidden_at, CASE WHEN next_at < hides THEN 'resolved' ELSE 'stale' END AS why FROM (
+  SELECT *, max(CASE WHEN opens THEN event_time END) OVER w AS opened_at, max(CASE WHEN shows THEN event_time END) OVER w AS shown_at FROM (
+    SELECT *, bad AND NOT coalesce(was, false) AS opens, bad AND (NOT coalesce(was, false) OR date_diff('second', before, event_time) > {STALE}) AS shows, date_trunc('second', event_time) + INTERVAL {STALE + 1} SECOND AS hides FROM (
+      SELECT *, lag(bad) OVER w AS was, lag(event_time) OVER w AS before, lead(event_time) OVER w AS next_at FROM (
+        SELECT vehicle_id, CASE signal WHEN 'soc' THEN 'battery_soc' ELSE 'battery_temp' END AS kind, event_time, CASE signal WHEN 'soc' THEN value < 20 ELSE value > 45 END AS bad FROM log WHERE signal IN ('soc', 'battery_temp')) WINDOW w AS (PARTITION BY vehicle_id, kind ORDER BY event_time)))
+  WINDOW w AS (PARTITION BY vehicle_id, kind ORDER BY event_time)) WHERE bad QUALIFY row_number() OVER (PARTITION BY vehicle_id, kind, opened_at, shown_at ORDER BY event_time DESC) = 1"""
 _STEP = """SELECT alert_id, a.vehicle_id, a.kind,
   CASE WHEN {open} AND c.breached AND c.event_time >= last_seen_at THEN c.severity ELSE a.severity END AS severity,
   CASE WHEN {open} AND c.breached AND c.event_time >= last_seen_at THEN c.trigger_value ELSE a.trigger_value END AS trigger_value,
@@ -261,6 +267,10 @@ ON 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(flat - lat) / 2), 2) + cos(
     "fence_edit_same_instant": _edited("valid_from < (SELECT max(valid_from) FROM event_versions WHERE valid_to IS NULL)", "(SELECT max(valid_from) FROM event_versions WHERE valid_to IS NULL)"),
     "fence_versions_ranked": _with(body="SELECT *, row_number() OVER (ORDER BY geofence_id, version)::INTEGER AS nth FROM event_versions"),
     "store_retained": _with(body="SELECT * FROM crossed"),
+    "alert_spells": _with(body=_SPELLS),
+    "stream_alert_spells": _with(body=f"SELECT * FROM ({_SPELLS}) WHERE hidden_at < (SELECT max(event_time) FROM log WHERE signal IN ('soc', 'battery_temp'))"),
+    "stream_crossings": _with(body="SELECT * FROM crossed"),
+    "stream_trips": _with(body="SELECT * FROM trips"),
     "signal_percentiles": _with(
         body="""SELECT signal, p AS percent, min(value) AS value FROM (SELECT signal, value, row_number() OVER (PARTITION BY signal ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY signal) AS n FROM log), (VALUES (50), (95)) t(p)
 WHERE place >= floor(p / 100.0::DOUBLE * (n - 1) + 0.5) GROUP BY signal, p"""

@@ -32,18 +32,18 @@ RAW_CUT = datetime(2024, 1, 24)
 GENERATED = (60, 240)
 #: For queries that go through a store: nothing is old enough to be frozen.
 STORED = replace(RULES, raw_retention=timedelta(days=3650))
-STORE_BUCKETS = 16
+STORE_BUCKETS = 8
 #: The cut-off of the store that drops its old readings between two batches.
 CUT = datetime(2024, 1, 16)
 
 _STORES: list[Store] = []
-_FILLED: dict[tuple, Store] = {}
+_FILLED: dict[tuple, Store | DataFrame] = {}
 
 
-def _filled(fill: Callable[[_View], Store]) -> Callable[[_View], Store]:
-    """A store that several queries read is filled once a session and sf_dir."""
+def _filled(fill: Callable[[_View], Store | DataFrame]) -> Callable[[_View], Store | DataFrame]:
+    """A store, or stored rows, that several queries read is filled once a session and sf_dir."""
 
-    def once(v: _View) -> Store:
+    def once(v: _View) -> Store | DataFrame:
         key = (id(v.spark), v.spark.sparkContext.applicationId, v.sf_dir, fill.__name__)
         if key not in _FILLED:
             _FILLED[key] = fill(v)
@@ -220,6 +220,39 @@ def _streamed(v: _View) -> DataFrame:
     return I.explode_signals(accepted, NOW).groupBy("vehicle_id", "signal").agg(F.count("*").alias("n"), F.countDistinct("packet_id").alias("packets"))
 
 
+def _sliced(v: _View, rows: DataFrame, time_col: str, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stateful query says of rows that come in two time slices; it is stopped between them and goes on from its checkpoint."""
+    from ..streaming.stateful import into_folder
+
+    folder = _store(v.spark).root
+    late = F.col(time_col) >= F.lit(CUT).cast("timestamp_ntz")
+    for part in (~late, late):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        into_folder(query(v.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
+    return v.spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _streamed_spells(v: _View) -> DataFrame:
+    """Alert spells from the stream, but for those that its time has not left behind."""
+    from ..streaming.stateful import alert_spells_stream
+
+    end = A.alert_readings(v.log, RULES).agg(F.max("event_time")).first()[0]  # one moment
+    return _sliced(v, v.log, "event_time", lambda s: alert_spells_stream(s, RULES)).filter(F.col("hidden_at") < F.lit(end))
+
+
+@_filled
+def _news(v: _View) -> DataFrame:
+    from ..streaming.stateful import crossings_stream
+
+    return _sliced(v, E.position_packets(v.events), "event_time", lambda s: crossings_stream(s, v.versions, RULES))
+
+
+def _streamed_trips(v: _View) -> DataFrame:
+    from ..streaming.stateful import trips_of_news
+
+    return trips_of_news(_news(v))
+
+
 def _ranked(df: DataFrame, order: list) -> DataFrame:
     """The rows of a result with their place in its order."""
     return with_place(df, order, f"{_store(df.sparkSession).root}/places")
@@ -349,6 +382,10 @@ _QUERIES: dict[str, Callable[[_View], DataFrame]] = {
     "crossings_many_versions": lambda v: G.crossings(C.location_fixes(v.positions), v.event_versions, RULES),
     "signal_percentiles": lambda v: H.nearest_rank(v.log, ["signal"], "value", [50, 95]),
     "store_retained": _retained,
+    "alert_spells": lambda v: A.alert_spells(v.log, RULES),
+    "stream_alert_spells": _streamed_spells,
+    "stream_crossings": lambda v: _news(v).filter("what = 'crossing'").select("vehicle_id", "geofence_id", "kind", "event_time", "window_start", "uncertain"),
+    "stream_trips": _streamed_trips,
     "crossings": lambda v: v.crossings,
     "trips": lambda v: v.trips,
     "trip_list": lambda v: T.trip_list(v.trips, v.versions, limit=None),
