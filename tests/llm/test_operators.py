@@ -96,6 +96,21 @@ def test_sharding(docs, empty, spark):
     assert shard_by_splitters(empty).count() == 0
 
 
+def test_no_range_is_overfull_by_rows(spark):
+    """Many empty texts, and many different short ones, beside a few that hold nearly all bytes."""
+    rows = [(i, "") for i in range(10_000)] + [(20_000 + i, f"t{i}") for i in range(10_000)] + [(50_000 + i, f"long {i} " * 5000) for i in range(200)]
+    got = shard_by_splitters(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows_per_range=100).collect()
+    assert max(Counter(r["range"] for r in got).values()) <= 300
+    load, where = Counter(), defaultdict(set)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+    assert max(load.values()) < 1.05 * sum(load.values()) / 8
+    assert len(where[0]) == 1  # equal texts that fit a shard stay together
+    clash = spark.createDataFrame([(1, "a", 7, "x"), (2, None, 8, "y")], "doc_id long, text string, size long, shard string")
+    assert sorted((r["doc_id"], r["size"], r["shard"], r["m_size"]) for r in shard_by_splitters(clash, payload=["size", "shard"], prefix="m_").collect()) == [(1, 7, "x", 2), (2, 8, "y", 1)]
+
+
 def brute_classes(rows, n, percent):
     sets = {}
     for i, t, *_ in rows:

@@ -3,12 +3,12 @@
 The key is a hash of the text, so equal texts are neighbours in key order. A
 size-weighted sample of keys gives the quantile boundaries of many fine ranges, exact
 weights of all fine ranges are counted, and shards are runs of fine ranges whose
-weights add up to the same number of bytes. A range that is overfull (one key, that
-is copies of one text, fills it) is subdivided: such heavy keys are placed first, whole while
+weights add up to the same number of bytes. A range that is overfull, by bytes or by rows (one key, that
+is copies of one text, fills it), is subdivided: such heavy keys are placed first, whole while
 they fit the shard with most room, else cut by document id over several shards.
 
 To the driver come the sample (sample_keys expected), one row per fine range, and the heavy
-keys; the latter hold at least 1/heavy_share of all bytes each, so there are fewer than heavy_share.
+keys; the latter hold 1/heavy_share of all bytes or the rows of a range each, so there are fewer than heavy_share and ranges together.
 Slots are counted inside fine ranges and offset by the ranges before, so no task holds a shard.
 
 Defined results: a null text weighs 1 byte and has the checksum of the empty text; an empty table gives an empty
@@ -41,7 +41,7 @@ def shard_by_splitters(
     payload: list[str] | None = None,
     prefix: str = "",
 ) -> DataFrame:
-    """Return id_col, the payload columns, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null).
+    """Return id_col, the payload columns, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) and range, the number of the fine range.
 
     prefix: put before the names of these columns, where payload has columns of the same names.
     """
@@ -63,20 +63,23 @@ def shard_by_splitters(
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     n_bytes, n_rows = int(total["bytes"]), int(total["rows"])
 
-    # copies of one text that weigh as much as a good part of a shard
-    heavy = rows.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(F.col("bytes") * heavy_share >= n_bytes).filter("n > 1").collect()
-    heavy_keys = {r["_key"]: int(r["bytes"]) for r in heavy}
+    # copies of one text that weigh as much as a good part of a shard, or are more rows than a range should have
+    keys = rows.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter("n > 1")
+    heavy = keys.filter((F.col("bytes") * heavy_share >= n_bytes) | (F.col("n") > rows_per_range)).collect()
+    heavy_keys = {r["_key"]: (int(r["bytes"]), int(r["n"])) for r in heavy}
 
-    # size-weighted sample: each row is drawn with probability size * sample_keys / bytes, decided by a hash of its id
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "_id", "_key"), F.lit(1 << 40)) / float(1 << 40)
-    sample = sorted(r["_key"] for r in rows.filter(draw * float(n_bytes) < F.col("size") * float(sample_keys)).select("_key").collect())
+    # size-weighted sample: a row is drawn by its share of all bytes, and for half of the sample by its share of all rows, so that
+    # a range is overfull neither by bytes nor by many short texts; a hash of its id decides
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "_id", "_row", "_key"), F.lit(1 << 40)) / float(1 << 40)
+    chance = (F.col("size") / float(max(1, n_bytes)) + F.lit(1.0 / max(1, n_rows))) * (sample_keys / 2.0)
+    sample = sorted(r["_key"] for r in rows.filter(draw < chance).select("_key").collect())
     n_ranges = max(shards * ranges_per_shard, -(-n_rows // rows_per_range))
     cuts = sorted({sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)}) if sample else []
 
     # a heavy key is a range of its own, cut by id into pieces of about one fine range
     fine_bytes = max(1, n_bytes // n_ranges)
     heavy_list = sorted(heavy_keys)
-    pieces = [max(1, -(-heavy_keys[k] // fine_bytes)) for k in heavy_list]
+    pieces = [max(1, -(-heavy_keys[k][0] // fine_bytes), -(-heavy_keys[k][1] // rows_per_range)) for k in heavy_list]
     first_piece = np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)[:-1] if heavy_list else np.zeros(0, np.int64)
     n_light = len(cuts) + 1
     cut_arr, heavy_arr, piece_arr = np.asarray(cuts, np.int64), np.asarray(heavy_list, np.int64), np.asarray(pieces, np.int64)
@@ -108,6 +111,7 @@ def shard_by_splitters(
         "shard": F.col("shard"),
         "slot": F.col("_offset") + F.col("_nth") - 1,
         "grown_shard": F.lit(None).cast("int"),
+        "range": F.col("_range"),
     }
     placed = rows.withColumn("_nth", slot).join(table, "_range")
     return placed.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(carried, payload, strict=True)], *[c.alias(prefix + k) for k, c in made.items()])
