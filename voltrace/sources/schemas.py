@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampNTZType
 
-_KINDS = {"s": StringType(), "d": DoubleType(), "t": TimestampNTZType(), "i": IntegerType(), "l": LongType(), "b": BooleanType()}
+_KINDS = {"s": StringType(), "d": DoubleType(), "t": TimestampNTZType(), "i": IntegerType(), "l": LongType(), "b": BooleanType(), "y": DateType(), "x": BinaryType()}
 
 
 def _table(columns: str) -> StructType:
@@ -30,6 +30,8 @@ SIGNAL_ROLLUPS = _table("vehicle_id:s signal:s bucket_start:t min_value:d max_va
 CROSSING_STATE = _table("vehicle_id:s geofence_id:s believed:b? inside:b since:t? before:t? last_time:t fixes:i")
 #: The same as it was after all fixes before as_of; made: the publish that has written it.
 CROSSING_DAYS = _table("vehicle_id:s geofence_id:s believed:b? inside:b since:t? before:t? last_time:t fixes:i as_of:t made:l")
+#: Bloom filters of the ledger (sources.ledger).
+LEDGER_FILTERS = _table("bucket:i day:y part:i parts:i bits:x")
 PACKET = StructType([
     StructField("vehicle_id", StringType()),
     StructField("event_time", TimestampNTZType()),
@@ -42,6 +44,7 @@ TABLES = {
     "vehicles": VEHICLES,
     "signal_readings": SIGNAL_READINGS,
     "packets": PACKETS,
+    "ledger_filters": LEDGER_FILTERS,
     "rejected_packets": REJECTED_PACKETS,
     "latest_readings": LATEST_READINGS,
     "geofences": GEOFENCES,

@@ -25,6 +25,7 @@ from ..operators.current import guarded_upsert
 from ..operators.ingest import explode_signals, identified, ledger_rows, new_rows, reject_reason, rejected_rows, touched
 from ..operators.replay import SELF, at_cutoff, derive, from_base, started, valid_days
 from ..rules import POSITION, Rules
+from ..sources.ledger import filters, known, tidied
 from ..sources.store import PATIENCE_S, Conflict, Store
 
 _NONE = Rules()
@@ -82,10 +83,9 @@ def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str,
             *[F.count_if(F.col("reason") == r).alias(r) for r in ("clock_skew_future", "empty_packet")],
         ).first().asDict()
         accepted, rejected = judged.filter("reason IS NULL").drop("reason"), rejected_rows(judged, now)
-        ids = accepted.select("packet_id").distinct()
-        ledger = store.read("packets", buckets=store.buckets_of(ids, "packet_id")).select("packet_id")
-        if counts["offered"] <= MOST_BROADCAST:  # the ledger stays where it is
-            ledger = ledger.join(F.broadcast(ids), "packet_id", "left_semi").distinct()
+        ids = keep(accepted.select("packet_id").distinct())
+        # the ids of a batch of usual size are sent to the days of the ledger that may hold them
+        ledger = known(store, ids) if counts["offered"] <= MOST_BROADCAST else store.read("packets").select("packet_id")
         fresh = keep.cut(new_rows(explode_signals(accepted, now), ledger))
         entries = keep(ledger_rows(fresh))
         new = entries.count()
@@ -112,7 +112,7 @@ def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str,
             rows = rows.unionByName(from_base(log.filter(F.col("signal").isin(*POSITION)), late))
         made = derive(rows, marked, t, rules, cutoff, based_on + 1, keep)
         store.publish(
-            append={"signal_readings": fresh, "packets": entries, "rejected_packets": rejected, "crossing_days": made.pop("crossing_days")},
+            append={"signal_readings": fresh, "packets": entries, "ledger_filters": filters(store, entries), "rejected_packets": rejected, "crossing_days": made.pop("crossing_days")},
             replace={"latest_readings": latest, "alerts": alerts} | made,
             within=dict.fromkeys(TOUCHED, buckets),
             batch=batch,
@@ -168,13 +168,14 @@ def compact(store: Store, now: datetime, rules: Rules = _NONE) -> dict[str, int]
             days = t | {"crossing_days": keep.cut(valid_days(t["crossing_days"]))}
             states = at_cutoff(store.read("signal_readings", until=raw), days, raw, store.forgotten("signal_readings", manifest), manifest["number"] + 1, rules, keep)
             made = {"append": {"signal_rollups": history.rollup(old, raw, rules), "crossing_days": states}, "forget": {"signal_readings": raw, "packets": raw, "crossing_days": raw, "signal_rollups": oldest}}
+            made["replace"] = {"ledger_filters": tidied(store, keep.cut(t["ledger_filters"]), raw.date())}
             gone = store.buckets_of(t["alerts"].filter(old_alerts))
             if gone:
-                left = store.read("alerts", buckets=gone)
-                made |= {"replace": {"alerts": left.filter(~F.coalesce(old_alerts, F.lit(False)))}, "within": {"alerts": gone}}
+                made["replace"]["alerts"] = store.read("alerts", buckets=gone).filter(~F.coalesce(old_alerts, F.lit(False)))
+                made["within"] = {"alerts": gone}
             return made
 
-        store.transact(build, ["alerts", "crossing_state", "crossing_days", "geofence_versions", "geofence_events", "trips"])
+        store.transact(build, ["ledger_filters", "alerts", "crossing_state", "crossing_days", "geofence_versions", "geofence_events", "trips"])
     return {"rows_dropped": dropped, "rollup_rows": rollups(store).count()}
 
 
