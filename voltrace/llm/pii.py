@@ -11,6 +11,7 @@ start, kind and end; ids may be of any type; other columns pass untouched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def _learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         graphs, labels = [], []
         for text in f["_text"]:
-            g = graph(text)
+            g = graph(text, hidden=zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % 2 == 0)
             if g.spans:
                 graphs.append(g)
                 labels += weak_labels(g, base_spans(text))

@@ -8,7 +8,9 @@ stands, unless a chain edge joins the two already. Labels come from loopy sum-pr
 of texts at once, so evidence at one occurrence decides all of them together.
 
 All weights, those of the edges too, are fitted by pseudo-likelihood to labels that the exact patterns and one rule for
-secrets give.
+secrets give. The rule knows words that announce a secret; the field does not. It learns from the words before a node as they are, and in
+half of the training texts these are hidden, so that it also learns what can be told from a word itself and from its repeats. It thus labels secrets that
+nothing announces, or a word that is not in the rule's list.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def _bucket(*parts: object) -> int:
 
 def shape(core: str) -> str:
     out = []
-    for c in core[:64]:
+    for c in core:
         k = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -64,17 +66,22 @@ def shape(core: str) -> str:
 
 
 def _before(text: str, at: int) -> tuple[str, int]:
-    """The word that ends before position at, shortened, and where it begins."""
+    """The word that ends before position at, without marks, and where it begins."""
     end = at
     while end > 0 and text[end - 1] in _SPACE:
         end -= 1
     begin = end
-    while begin > 0 and text[begin - 1] not in _SPACE and end - begin < 24:
+    while begin > 0 and text[begin - 1] not in _SPACE:
         begin -= 1
     return text[begin:end].lower().strip("\"'.,:;!?#*$%&|"), begin
 
 
-def graph(text: str | None) -> Graph:
+def _plain(word: str) -> str:
+    return shape(word) if any("0" <= c <= "9" for c in word) else word
+
+
+def graph(text: str | None, hidden: bool = False) -> Graph:
+    """hidden: the words before a node and the mark at its beginning give no features."""
     g, text = Graph(), text or ""
     m, last_end = ANY.search(text), -2
     seen_core: dict[str, int] = {}
@@ -104,9 +111,7 @@ def graph(text: str | None) -> Graph:
                 _bucket("dotted", bool(_DOTTED.fullmatch(word))),
                 _bucket("mail", bool(_MAIL.fullmatch(word))),
                 _bucket("plus", word[:1]),
-                _bucket("one", one if not any("0" <= c <= "9" for c in one) else shape(one)),
-                _bucket("cue", one in CUES or two in CUES, len(word) >= 16),
-                _bucket("quoted", text[begin:a][-1:], form == "9a" or len(form) > 6),
+                *(_bucket(n, "" if hidden else x, hidden) for n, x in (("one", _plain(one)), ("two", _plain(two)), ("quoted", text[begin:a][-1:]))),
             ])
             g.spans.append((a, b))
             g.cores.append(word)
@@ -135,7 +140,10 @@ def weak_labels(g: Graph, spans: list[tuple[str, int, int]]) -> list[int]:
     for (a, b), word in zip(g.spans, g.cores, strict=True):
         while k < len(spans) and spans[k][2] <= a:
             k += 1
-        label = next((LABELS.index(s[0]) for s in spans[k : k + 4] if s[1] < b and a < s[2]), 0)
+        j, label = k, 0
+        while not label and j < len(spans) and spans[j][1] < b:
+            label = LABELS.index(spans[j][0]) if a < spans[j][2] else 0
+            j += 1
         out.append(secret if not label and word in announced else label)
     return out
 
