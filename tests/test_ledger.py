@@ -57,3 +57,29 @@ def test_repeats_of_all_ages(spark, tmp_path, monkeypatch):
     kept = [r for r in first if r[1] <= 120]
     assert engine.ingest(packets(spark, kept)) == {"accepted": 0, "duplicates": len(kept), "clock_skew_future": 0, "empty_packet": 0}
     assert engine.store.read("packets").count() == len(kept) + 2
+
+
+def test_buckets_follow_the_fleet(spark, tmp_path):
+    """After growth a batch rewrites the buckets of its vehicles only, and what was written before is read as ever."""
+    from voltrace.streaming import pipeline as P
+
+    engine = Engine(spark, str(tmp_path / "s"), lambda: NOW, buckets=2)
+    of = lambda v, h, x: (f"v{v}", NOW - h * HOUR, {"soc": float(x), "lat": 12.9, "lon": 77.5 + x / 1000}, None)
+    batch = lambda rows: spark.createDataFrame(rows, PACKET)
+    rows = [of(v, 30 - h, (v + h) % 90) for v in range(60) for h in (1, 2)]
+    engine.ingest(batch(rows))
+    tables = ("signal_readings", "latest_readings", "packets", "crossing_state", "crossing_days", "alerts")
+    content = lambda: {t: sorted(map(repr, engine.store.read(t).collect())) for t in tables}
+    before = content()
+    assert P.grow(engine.store, 5) == 16 and engine.store.buckets == 16 and P.grow(engine.store, 5) == 16
+    assert content() == before
+    for b in (3, 12):
+        some = {r["vehicle_id"] for r in engine.store.read("signal_readings", buckets=[b]).collect()}
+        assert some == {r["vehicle_id"] for r in engine.store.read("latest_readings", buckets=[b]).collect()} and some
+    parts = {p["path"]: p for p in engine.store.manifest()["tables"]["latest_readings"]}
+    assert engine.ingest(batch([*rows[:4], of(7, 1, 3)]))["accepted"] == 1
+    (mine,) = engine.store.buckets_of(spark.createDataFrame([("v7",)], "vehicle_id string"))
+    new = [p for p in engine.store.manifest()["tables"]["latest_readings"] if p["path"] not in parts]
+    assert [p["buckets"] for p in new] == [[mine]] and all(p["buckets"] == [b for b in parts[p["path"]]["buckets"] if b != mine] for p in engine.store.manifest()["tables"]["latest_readings"] if p["path"] in parts)
+    assert engine.ingest(batch([of(7, 1, 3), of(7, 40, 5)])) == {"accepted": 1, "duplicates": 1, "clock_skew_future": 0, "empty_packet": 0}
+    assert engine.store.read("signal_readings").count() == 3 * 122

@@ -1,6 +1,7 @@
 """Ingest, alerts, store, streaming and retention, end to end."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -170,7 +171,15 @@ def test_stream_equals_one_batch(spark, tmp_path):
         made.filter(F.pmod(F.xxhash64("vehicle_id", "event_time"), F.lit(3)) == i).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(PACKET).option("maxFilesPerTrigger", 1).parquet(folder)
     a, b = Store(spark, str(tmp_path / "a"), 1), Store(spark, str(tmp_path / "b"), 1)
+    told = []
+    stop = P.on_progress(spark, lambda *what: told.append(what), "ingest")
     P.start(stream, a, str(tmp_path / "checkpoint"), lambda: NOW, once=True).awaitTermination()
+    for _ in range(100):  # the listener is told from another thread
+        if sum(rows for *_, rows in told) >= made.count():
+            break
+        time.sleep(0.1)
+    assert {name for name, *_ in told} == {"ingest"} and sum(rows for *_, rows in told) == made.count() and [batch for _, batch, _ in told] == sorted(batch for _, batch, _ in told)
+    stop()
     P.process_batch(b, made, NOW)
     for table in ("signal_readings", "latest_readings", "packets"):
         assert sorted(map(str, a.read(table).collect())) == sorted(map(str, b.read(table).collect()))

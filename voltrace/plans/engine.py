@@ -20,7 +20,7 @@ from ..operators import geofence as G
 from ..operators import history as H
 from ..operators import status as S
 from ..operators import trips as T
-from ..operators.current import latest_readings
+from ..operators.current import guarded_upsert
 from ..operators.replay import SELF
 from ..rules import SOC, Rules
 from ..sources import generate
@@ -191,15 +191,18 @@ class Engine:
             run()
             report.seconds[name] = time.perf_counter() - began
 
+        made = {part: generate.log(self.spark, vehicles, samples, now, part) for part in ("signals", "positions")}
+
         def signals() -> None:
-            report.rows += self._published(generate.log(self.spark, vehicles, samples, now, "signals"))
+            report.rows += self._published(made["signals"])
 
         def positions() -> None:
-            report.rows += self._published(generate.log(self.spark, vehicles, samples, now, "positions"))
+            report.rows += self._published(made["positions"])
 
         def latest() -> None:
             empty = ("crossing_state", "crossing_days")  # vehicles are replayed when they next report
-            self.store.transact(lambda t: {"replace": {"latest_readings": latest_readings(t["signal_readings"])} | {n: t[n].limit(0) for n in empty}}, ["signal_readings", *empty])
+            rows = made["signals"].unionByName(made["positions"])  # made again, which takes less than reading the log
+            self.store.transact(lambda t: {"replace": {"latest_readings": guarded_upsert(t["latest_readings"], rows)} | {n: t[n].limit(0) for n in empty}}, ["latest_readings", *empty])
 
         stage("vehicles", lambda: self.register_vehicles(generate.vehicles(self.spark, vehicles)))
         stage("geofences", self.seed_fences)

@@ -50,13 +50,13 @@ def _filter(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [first["bucket"]], "day": [first["day"]], "part": [first["part"]], "parts": [first["parts"]], "bits": [made_of(frame["h"].to_numpy(np.int64))]})
 
 
-def _hashed(store: Store, ids: DataFrame, *more) -> DataFrame:
-    return ids.select(bucket_of(F.col("packet_id"), store.buckets).alias("bucket"), F.xxhash64("packet_id", F.lit(1)).alias("h"), *more)
+def _hashed(buckets: int, ids: DataFrame, *more) -> DataFrame:
+    return ids.select(bucket_of(F.col("packet_id"), buckets).alias("bucket"), F.xxhash64("packet_id", F.lit(1)).alias("h"), *more)
 
 
-def filters(store: Store, entries: DataFrame) -> DataFrame:
+def filters(entries: DataFrame, buckets: int) -> DataFrame:
     """Filters of some ledger rows, of MOST_IDS ids each on average."""
-    rows = _hashed(store, entries, F.to_date("event_time").alias("day"))
+    rows = _hashed(buckets, entries, F.to_date("event_time").alias("day"))
     sizes = rows.groupBy("bucket", "day").agg(F.ceil(F.count("*") / MOST_IDS).cast("int").alias("parts"))  # a row per bucket and day
     rows = rows.join(sizes, ["bucket", "day"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     return rows.groupBy("bucket", "day", "part", "parts").applyInPandas(_filter, SCHEMA)
@@ -70,7 +70,7 @@ def _asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def days_of(store: Store, ids: DataFrame) -> dict[int, set[date]]:
     """Per bucket, the days of the ledger that may hold some of the ids (a batch of bounded size): as many as there are buckets and days at most."""
-    wanted = _hashed(store, ids).groupBy("bucket").agg(F.collect_list("h").alias("hs"))
+    wanted = _hashed(store.buckets, ids).groupBy("bucket").agg(F.collect_list("h").alias("hs"))
     rows = store.read("ledger_filters").join(F.broadcast(wanted), "bucket")
     out: dict[int, set[date]] = {}
     for r in rows.mapInPandas(_asked, "bucket int, day date").distinct().collect():
@@ -94,5 +94,5 @@ def tidied(store: Store, held: DataFrame, first: date) -> DataFrame:
     if not found:
         return held
     rows = store.read("packets", buckets={r["bucket"] for r in found}, days=sorted({r["day"] for r in found}))
-    again = filters(store, rows).join(F.broadcast(many.select("bucket", "day")), ["bucket", "day"], "left_semi")
+    again = filters(rows, store.buckets).join(F.broadcast(many.select("bucket", "day")), ["bucket", "day"], "left_semi")
     return held.join(F.broadcast(many.select("bucket", "day")), ["bucket", "day"], "left_anti").unionByName(again)

@@ -14,9 +14,9 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.exprs import at
 from ..operators import alerts as A
@@ -31,6 +31,8 @@ from ..sources.store import PATIENCE_S, Conflict, Store
 _NONE = Rules()
 #: Packets of a batch up to which their ids are sent to the ledger; beyond, both sides are shuffled.
 MOST_BROADCAST = 100_000
+#: Vehicles of a bucket, beyond which retention makes more buckets.
+PER_BUCKET = 64
 TOUCHED = ("latest_readings", "alerts", "geofence_events", "crossing_state", "trips")
 NOTHING = {"accepted": 0, "duplicates": 0, "clock_skew_future": 0, "empty_packet": 0}
 
@@ -112,7 +114,7 @@ def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str,
             rows = rows.unionByName(from_base(log.filter(F.col("signal").isin(*POSITION)), late))
         made = derive(rows, marked, t, rules, cutoff, based_on + 1, keep)
         store.publish(
-            append={"signal_readings": fresh, "packets": entries, "ledger_filters": filters(store, entries), "rejected_packets": rejected, "crossing_days": made.pop("crossing_days")},
+            append={"signal_readings": fresh, "packets": entries, "ledger_filters": filters(entries, store.buckets), "rejected_packets": rejected, "crossing_days": made.pop("crossing_days")},
             replace={"latest_readings": latest, "alerts": alerts} | made,
             within=dict.fromkeys(TOUCHED, buckets),
             batch=batch,
@@ -145,6 +147,21 @@ def recompute_fleet(store: Store, now: datetime, rules: Rules = _NONE) -> None:
         store.transact(build)
 
 
+def grow(store: Store, per_bucket: int = PER_BUCKET) -> int:
+    """Double the number of buckets until one has at most per_bucket vehicles on average; returns the number.
+
+    A batch rewrites the buckets that it touches, so what it rewrites follows its own vehicles and not the fleet. Tables that are replaced
+    by bucket are written anew, once a doubling; the log, the ledger and states of days stay as they are, and are split when their parts are merged.
+    """
+    vehicles = store.read("latest_readings").select("vehicle_id").distinct().count()
+    wanted = store.buckets
+    while vehicles > wanted * per_bucket:
+        wanted *= 2
+    if wanted > store.buckets:
+        store.transact(lambda t: {"replace": {n: t[n] for n in TOUCHED} | {"ledger_filters": filters(t["packets"], wanted)}, "buckets": wanted}, [*TOUCHED, "packets"])
+    return wanted
+
+
 def rollups(store: Store) -> DataFrame:
     """One row per vehicle, signal and bucket; rows of a bucket that were rolled up at different times are merged."""
     rows = store.read("signal_rollups")
@@ -176,9 +193,36 @@ def compact(store: Store, now: datetime, rules: Rules = _NONE) -> dict[str, int]
             return made
 
         store.transact(build, ["ledger_filters", "alerts", "crossing_state", "crossing_days", "geofence_versions", "geofence_events", "trips"])
+    grow(store)
     return {"rows_dropped": dropped, "rollup_rows": rollups(store).count()}
 
 
+class _Progress(StreamingQueryListener):
+    def __init__(self, name: str | None, call: Callable[[str, int, int], None]):
+        self.name, self.call = name, call
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if self.name is None or p.name == self.name:
+            self.call(p.name, p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def on_progress(spark: SparkSession, call: Callable[[str, int, int], None], name: str | None = None) -> Callable[[], None]:
+    """Call call(query, batch, rows read) after every batch of a streaming query (name: of this one only); returns how to stop it."""
+    listener = _Progress(name, call)
+    spark.streams.addListener(listener)
+    return lambda: spark.streams.removeListener(listener)
+
+
 def start(packets: DataFrame, store: Store, checkpoint: str, clock: Callable[[], datetime], name: str = "ingest", rules: Rules = _NONE, once: bool = False) -> StreamingQuery:
     """Run process_batch on a streaming DataFrame of packets. once: all that is there now, then stop."""
 
