@@ -131,7 +131,7 @@ _HISTORY = """SELECT vehicle_id, max(event_time) AS bucket_at, arg_max(value, ev
 GROUP BY vehicle_id, time_bucket(INTERVAL 10080 SECOND, event_time)"""
 _REJECT = "CASE WHEN event_time > TIMESTAMP '2024-01-31 00:05:00' THEN 'clock_skew_future' WHEN empty THEN 'empty_packet' END"
 _GRID = """SELECT vi, ki, 'v' || vi AS vehicle_id, TIMESTAMP '2024-01-31' - to_minutes((ki * 6 + CASE WHEN vi % 5 = 0 THEN 20 + vi % 40 ELSE 0 END)::INTEGER) AS event_time
-  FROM range(0, 60) v(vi), range(0, 240) k(ki)"""
+  FROM (SELECT row_number() OVER () - 1 AS vi FROM supplier) v, range(0, 240) k(ki)"""
 _SIM = "((vi * {a} + tick * {b} + (vi % 97) * (tick % 89)) % 1000003 * 48271 % {n})"
 _NOISE = "((vi * {a} + ki * {b} + (vi % 97) * (ki % 89)) % 1000003 * 48271 % {n})"
 
@@ -208,7 +208,7 @@ FROM (SELECT *, {_REJECT} AS reason FROM (SELECT * FROM packets_in UNION ALL SEL
     "ingest_log_rows": _with(body="SELECT packet_id, vehicle_id, signal, event_time, value FROM named WHERE reason IS NULL AND n % 3 <> 0"),
     "ingest_touched": _with(body=f"SELECT vehicle_id, min(event_time) AS from_time FROM packets_in WHERE {_REJECT} IS NULL AND n % 3 <> 0 GROUP BY vehicle_id"),
     "ledger_rows": _with(body="SELECT packet_id, vehicle_id, event_time, ingest_time, 1::INTEGER AS signal_count FROM log"),
-    "generate_vehicles": "SELECT 'v' || i AS vehicle_id, 'KA-' || lpad((i % 60 + 1)::VARCHAR, 2, '0') || '-EV-' || lpad(i::VARCHAR, 4, '0') AS reg_no, CASE i % 3 WHEN 0 THEN 'eTruck 19T' WHEN 1 THEN 'eTruck 28T' ELSE 'eVan 3.5T' END AS model FROM range(0, 60) t(i)",
+    "generate_vehicles": "SELECT 'v' || i AS vehicle_id, 'KA-' || lpad((i % 60 + 1)::VARCHAR, 2, '0') || '-EV-' || lpad(i::VARCHAR, 4, '0') AS reg_no, CASE i % 3 WHEN 0 THEN 'eTruck 19T' WHEN 1 THEN 'eTruck 28T' ELSE 'eVan 3.5T' END AS model FROM (SELECT row_number() OVER () - 1 AS i FROM supplier) t",
     "generate_signals": f"""WITH g AS ({_GRID}), d AS (SELECT *, greatest(3.0::DOUBLE, least(100.0::DOUBLE, 8.0::DOUBLE + 92.0::DOUBLE * abs(1.0::DOUBLE - 2.0::DOUBLE * (((ki + vi * 17) % 240)::DOUBLE / 240.0::DOUBLE)))) AS soc,
   CASE WHEN (vi + ki) % 7 < 3 THEN 0.0::DOUBLE ELSE round(15.0::DOUBLE + {_NOISE.format(a=31, b=17, n=6000)}::DOUBLE / 100.0::DOUBLE, 1) END AS speed FROM g)
 SELECT vehicle_id, event_time, 'soc' AS signal, round(soc, 6) AS value FROM d
@@ -235,7 +235,7 @@ LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROU
 LEFT JOIN (SELECT geofence_id, arg_max(name, version) AS name FROM versions GROUP BY geofence_id) d ON d.geofence_id = destination_geofence_id
 WHERE vehicle_id = 'v5' QUALIFY nth <= 50"""
     ),
-    "simulated_ingest": f"""WITH s AS (SELECT value % 40 AS vi, value // 40 AS tick FROM range(0, 2000) t(value)),
+    "simulated_ingest": f"""WITH s AS (SELECT value % 40 AS vi, value // 40 AS tick FROM (SELECT event_id AS value FROM events) t),
 h AS (SELECT *, CASE WHEN {_SIM.format(a=11, b=29, n=20)} = 0 THEN 3 + {_SIM.format(a=5, b=3, n=4)} ELSE 0 END AS held FROM s)
 SELECT 'v' || vi AS vehicle_id, signal, count(DISTINCT greatest(0, tick - held)) AS n, count(DISTINCT greatest(0, tick - held)) AS packets
 FROM h CROSS JOIN (VALUES ('soc'), ('range_km'), ('speed'), ('battery_temp'), ('ignition'), ('odometer'), ('lat'), ('lon'), ('gps_accuracy_m')) g(signal) GROUP BY ALL""",

@@ -29,7 +29,8 @@ from ..streaming import pipeline as P
 
 ALERTS_BEFORE = datetime(2024, 1, 29)
 RAW_CUT = datetime(2024, 1, 24)
-GENERATED = (60, 240)
+#: Samples of each generated vehicle; there are as many vehicles as suppliers.
+SAMPLES = 240
 #: For queries that go through a store: nothing is old enough to be frozen.
 STORED = replace(RULES, raw_retention=timedelta(days=3650))
 STORE_BUCKETS = 8
@@ -107,6 +108,10 @@ class _View:
     def versions(self) -> DataFrame:
         return E.telemetry_fences(self.spark)[1]
 
+    @property
+    def n_generated(self) -> int:
+        return self.spark.read.parquet(f"{self.sf_dir}/supplier.parquet").count()
+
     @property
     def event_versions(self) -> DataFrame:
         return E.event_fences(self.events)[1]
@@ -202,20 +207,20 @@ def _retention(v: _View) -> DataFrame:
 
 
 def _generated_positions(v: _View) -> DataFrame:
-    wide = generate.positions(generate.grid(v.spark, *GENERATED, NOW))
+    wide = generate.positions(generate.grid(v.spark, v.n_generated, SAMPLES, NOW))
     return generate.unpivot_positions(wide).select("vehicle_id", "event_time", "signal", F.round("value", 6).alias("value"))
 
 
 def _generated_signals(v: _View) -> DataFrame:
-    rows = generate.signals(generate.grid(v.spark, *GENERATED, NOW))
+    rows = generate.signals(generate.grid(v.spark, v.n_generated, SAMPLES, NOW))
     return rows.select("vehicle_id", "event_time", "signal", F.round("value", 6).alias("value"))
 
 
 def _streamed(v: _View) -> DataFrame:
-    """The simulator's first packets through the ingest of the streaming path: log rows per vehicle and signal."""
+    """The simulator's packets, one for each event, through the ingest of the streaming path: log rows per vehicle and signal."""
     from ..streaming.simulator import packets_of
 
-    packets = I.identified(packets_of(v.spark.range(2000).select(F.col("id").alias("value")), NOW - timedelta(hours=1)))
+    packets = I.identified(packets_of(v.events.select(F.col("event_id").alias("value")), NOW - timedelta(days=30)))
     accepted, _ = I.split(packets, NOW, RULES)
     return I.explode_signals(accepted, NOW).groupBy("vehicle_id", "signal").agg(F.count("*").alias("n"), F.countDistinct("packet_id").alias("packets"))
 
@@ -401,7 +406,7 @@ _QUERIES: dict[str, Callable[[_View], DataFrame]] = {
     "ingest_log_rows": lambda v: v.ingest[2].select("packet_id", "vehicle_id", "signal", "event_time", "value"),
     "ingest_touched": lambda v: I.touched(v.ingest[2]),
     "ledger_rows": lambda v: I.ledger_rows(v.log),
-    "generate_vehicles": lambda v: generate.vehicles(v.spark, GENERATED[0]),
+    "generate_vehicles": lambda v: generate.vehicles(v.spark, v.n_generated),
     "generate_signals": _generated_signals,
     "generate_positions": _generated_positions,
     "simulated_ingest": _streamed,
