@@ -146,6 +146,18 @@ def test_jaccard(docs, empty, n, percent):
     assert jaccard_components(empty, n, percent).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark, tmp_path):
+    """Rows that share an id but not a text are judged by their texts; rows without an id are duplicates too."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(words(rng, 80, 5000)) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (None, c + " x"), (None, None), (4, ""), (5, "two words"), (None, "two words"), (0, b + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, [(1, a), (3, c), (None, None), (4, ""), (5, "two words"), (0, b + " y")]))
+    assert sorted(str(tuple(r)) for r in one_of_each_class(docs).collect()) == want
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    assert sorted(str(tuple(r)) for r in one_of_each_class(spark.read.parquet(str(tmp_path / "d"))).collect()) == want
+
+
 def test_jaccard_random_sets_lose_no_link(spark):
     rng = random.Random(11)
     rows = []

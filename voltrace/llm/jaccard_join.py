@@ -14,7 +14,7 @@ Every link is thus found or implied by others. Hot tiles are split by skew-aware
 
 Defined results: ids are whole numbers, other kinds are refused; a null or empty text has an empty set and links with nothing; equal texts
 are one class; rows without an id take the component of their text, or null if there is
-none; an id on several texts stands for all of them, so their classes are one; an empty table gives an
+none; an id on several texts stands for all of them, so their classes are one (not so in one_of_each_class, which goes by rows); an empty table gives an
 empty result; other columns are not carried (join the classes by id), but one_of_each_class keeps whole rows.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,13 +190,28 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text_col:
     return full.select("_id", "n_shingles", "component_id").unionByName(empty.select("_id", "n_shingles", "component_id")).withColumnRenamed("_id", id_col)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a lasting number for each row: of its file and its place in it, so that no texts are written. Rows that are not read from files are written once."""
+    place = ["_made_file", "_made_place"]
+    try:
+        rows = docs.select("*", *[F.col(c).alias(k) for k, c in zip(place, ("_metadata.file_path", "_metadata.row_index"), strict=True)])
+    except AnalysisException:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
+    files = sorted(r[0] for r in rows.select("_made_file").distinct().collect())  # as many as the driver has listed for the scan
+    table = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"_made_file string, {name} long")
+    return rows.join(F.broadcast(table), "_made_file").withColumn(name, F.col(name) + F.col("_made_place")).select(*docs.columns, name)
+
+
 def one_of_each_class(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs without those that a row of a smaller id stands for; rows without an id stay."""
+    """One row of docs of each class: that of the smallest id, then the first. Rows are told apart whatever their ids: rows that share an id are classed by their own texts, and rows without an id take part."""
     begin = scratch_mark()
-    classes = jaccard_components(docs, n, percent, text_col, id_col)
-    gone = materialize(classes.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "near-duplicates")
-    release_scratch(begin, keep=(gone,))
-    return docs.join(gone, id_col, "left_anti")
+    rows = numbered(docs, "_made_row")
+    classes = materialize(jaccard_components(rows, n, percent, text_col, "_made_row"), "row-classes")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_made_row").alias("row"))).alias("first")
+    stays = classes.join(rows.select("_made_row", F.col(id_col)), "_made_row").groupBy("component_id").agg(first).select(F.col("first.row").alias("_made_row"))
+    gone = materialize(classes.select("_made_row").join(stays, "_made_row", "left_anti"), "near-duplicates")
+    release_scratch(begin, keep=(gone, rows) if hasattr(rows, "scratch_table") else (gone,))
+    return rows.join(gone, "_made_row", "left_anti").select(*docs.columns)
 
 
 def _blocks(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
