@@ -71,7 +71,7 @@ def test_going_on_from_a_batch(spark, tmp_path):
     old = positions.filter(F.col("event_time") < F.lit(middle))
     line = G.steps(G.sides(C.location_fixes(old), versions, E.RULES), E.RULES)
     state, before = G.state_of(line), G.confirmed(line, E.RULES)
-    day = position_days(old, E.RULES).groupBy("vehicle_id").agg(F.min("since").alias("since"), F.max("before").alias("before"), F.max("last_time").alias("last_time"))
+    day = position_days(C.location_fixes(old, complete=False), E.RULES).groupBy("vehicle_id").agg(F.min("since").alias("since"), F.max("before").alias("before"), F.max("last_time").alias("last_time"))
     own = day.selectExpr("vehicle_id", "'' AS geofence_id", "CAST(NULL AS boolean) AS believed", "false AS inside", "since", "before", "last_time", "0 AS fixes")
     state = state.unionByName(own.select(*state.columns))
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")

@@ -69,9 +69,8 @@ def _shaped(rows: DataFrame, schema=CROSSING_STATE) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def position_days(rows: DataFrame, rules: Rules = _NONE) -> DataFrame:
-    """Per vehicle and day of a log: last_time, its newest position row, and since and before, its first and last trusted fix."""
-    fixes = location_fixes(rows, complete=False)
+def position_days(fixes: DataFrame, rules: Rules = _NONE) -> DataFrame:
+    """Per vehicle and day of fixes (incomplete ones too): last_time, the newest, and since and before, the first and last trusted one."""
     trusted = F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= rules.max_accuracy_m))
     at_fix = F.when(trusted, F.col("event_time"))
     return fixes.groupBy("vehicle_id", day_of("event_time").alias("day")).agg(F.min(at_fix).alias("since"), F.max(at_fix).alias("before"), F.max("event_time").alias("last_time"))
@@ -121,8 +120,9 @@ def derive(
     seeds = back.unionByName(own.filter(~is_self))
     past = before_base.filter(is_self).select("vehicle_id", "since", "before").unionByName(_of(tables["crossing_days"], others).filter(is_self).select("vehicle_id", "since", "before"))
     past = past.unionByName(own.filter(is_self).select("vehicle_id", "since", "before"))
-    fixes = keep(location_fixes(rows))
-    near = near_pairs(fixes, versions, rules)
+    instants = keep(location_fixes(rows, complete=False))
+    fixes = instants.dropna(subset=["lat", "lon"])
+    near = keep(near_pairs(fixes, versions, rules))
     seeds = keep.cut(seeds.unionByName(outside_before(near.join(seeds, _PAIR, "left_anti"), past, versions)))
     line = keep.cut(steps(sides(fixes, versions, rules, near.unionByName(seeds.select(*_PAIR)).distinct()), rules, seeds))
 
@@ -139,7 +139,7 @@ def derive(
     held = own.filter(is_self).select("vehicle_id", F.lit(True).alias("open"), day_of("last_time").alias("day"), "since", "before", "last_time")
     base_self = before_base.filter(is_self).groupBy("vehicle_id").agg(F.max_by(F.struct("since", "before", "last_time"), "as_of").alias("r"))
     held = held.unionByName(base_self.select("vehicle_id", F.lit(False).alias("open"), day_of("r.last_time").alias("day"), "r.*"))
-    days = position_days(rows, rules).withColumn("open", F.lit(True)).unionByName(held)
+    days = position_days(instants, rules).withColumn("open", F.lit(True)).unionByName(held)
     days = days.groupBy("vehicle_id", "day").agg(F.max("open").alias("open"), F.min("since").alias("since"), F.max("before").alias("before"), F.max("last_time").alias("last_time"))
     days = keep.cut(days)
     newest = days.groupBy("vehicle_id").agg(F.max("day").alias("last_day"), F.max_by(F.struct("since", "before", "last_time"), "day").alias("r"))
