@@ -139,11 +139,11 @@ def trusted_fixes(fixes: DataFrame, rules: Rules = _NONE) -> DataFrame:
 
 
 def near_pairs(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE) -> DataFrame:
-    """Vehicles and the fences whose cells they ever enter. Outside these cells a trusted fix is outside the fence, beyond any margin."""
+    """Vehicles and the fences whose cells they ever enter, and when first (near_at). Outside these cells a trusted fix is outside the fence, beyond any margin."""
     cell = ["grid", "cell_lat", "cell_lon"]
     cells = _cells_of(versions, max(rules.min_margin_m, rules.max_accuracy_m)).select("geofence_id", *cell).distinct()
-    here = _cells_at(trusted_fixes(fixes, rules).select("vehicle_id", "lat", "lon"), cells).select("vehicle_id", *cell).distinct()
-    return here.join(cells, cell).select("vehicle_id", "geofence_id").distinct()
+    here = _cells_at(trusted_fixes(fixes, rules).select("vehicle_id", "lat", "lon", "event_time"), cells).groupBy("vehicle_id", *cell).agg(F.min("event_time").alias("near_at"))
+    return here.join(cells, cell).groupBy("vehicle_id", "geofence_id").agg(F.min("near_at").alias("near_at"))
 
 
 _PAIR = ["vehicle_id", "geofence_id"]
@@ -156,7 +156,7 @@ def version_asof(fixes: DataFrame, versions: DataFrame, rules: Rules = _NONE, pa
     are rows of one time line per vehicle and fence, and a fix takes the last start before it: a row per fix and fence, and one per version,
     however often a fence has been edited. pairs: distinct vehicles and fences to look at instead.
     """
-    pairs = near_pairs(fixes, versions, rules) if pairs is None else pairs.select(*_PAIR)
+    pairs = (near_pairs(fixes, versions, rules) if pairs is None else pairs).select(*_PAIR)
     here = trusted_fixes(fixes, rules).select("vehicle_id", "event_time", F.struct("lat", "lon", "accuracy_m").alias("fix"))
     version = F.struct("version", F.col("lat").alias("fence_lat"), F.col("lon").alias("fence_lon"), "radius_m", "active", "valid_from", "valid_to")
     starts = pairs.join(versions.select("geofence_id", F.col("valid_from").alias("event_time"), version.alias("v")), "geofence_id")
@@ -200,7 +200,7 @@ def in_output_order(found: DataFrame) -> DataFrame:
 def steps(rows: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None) -> DataFrame:
     """Fixes with a side, and after each one: the run of fixes on its side (since, before: the fix before it, fixes) and the side believed.
 
-    state (schema CROSSING_STATE): where earlier fixes of these pairs have left off; a fix on its side prolongs its run. All windows have one partitioning and one order.
+    state (schema CROSSING_STATE): where earlier fixes of these pairs have left off; a fix on its side prolongs its run (rows without fixes say nothing). All windows have one partitioning and one order.
     """
     order = Window.partitionBy(*_PAIR).orderBy("event_time")
     upto, earlier = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
@@ -208,7 +208,7 @@ def steps(rows: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None)
     if state is None:
         rows = rows.withColumns({f"s_{c}": F.lit(None).cast(t) for c, t in held.items()})
     else:
-        rows = rows.join(state.select(*_PAIR, *[F.col(c).alias(f"s_{c}") for c in held]), _PAIR, "left")
+        rows = rows.join(state.filter("fixes > 0").select(*_PAIR, *[F.col(c).alias(f"s_{c}") for c in held]), _PAIR, "left")
     rows = rows.withColumns({"was": F.coalesce(F.lag("inside").over(order), "s_inside"), "previous": F.coalesce(F.lag("event_time").over(order), "s_last_time"), "nth": F.row_number().over(order)})
     begins = F.when(F.col("was").isNull() | (F.col("was") != F.col("inside")), F.struct(F.col("nth").alias("n"), F.col("event_time").alias("since"), F.col("previous").alias("before")))
     rows = rows.withColumn("run", F.last(begins, ignorenulls=True).over(upto))
@@ -251,7 +251,7 @@ def state_after(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def outside_before(pairs: DataFrame, days: DataFrame, versions: DataFrame) -> DataFrame:
-    """State of pairs that have never been near: outside, if a trusted fix fell into a time when a version of the fence was active.
+    """State of pairs that have never been near before: outside, if a trusted fix fell into a time when a version of the fence was active.
 
     days: vehicle_id, and since and before, the first and last trusted fix of some day. Where a version ends between the two, its last fix is taken to be the day's first.
     """

@@ -7,7 +7,8 @@ reads the log from there on, so older days are never opened. Retention keeps the
 way, so what the dropped readings have shown is still known: nothing derived is lost when readings come late after it.
 
 A row whose fence is SELF stands for the vehicle: last_time is its newest position row, since and before are the first and
-last trusted fix of that day. They tell where a vehicle was that has never been near a fence: outside (outside_before).
+last trusted fix of that day. They tell where a vehicle was that has never been near a fence: outside (outside_before). A fence that
+was near while no fix said anything of it, being in the band around the edge or before the fence was in force, has a row without fixes: it is looked at from then on.
 
 States of days are appended only, each with the number of its publish. A replay writes all states behind its
 start again, so of one vehicle and day those of the newest SELF row count.
@@ -80,6 +81,12 @@ def _as_self(days: DataFrame) -> DataFrame:
     return days.withColumns({"geofence_id": F.lit(SELF), "believed": F.lit(None).cast("boolean"), "inside": F.lit(False), "fixes": F.lit(0)})
 
 
+def _undecided(pairs: DataFrame) -> DataFrame:
+    """State of pairs that are near without anything known of them: no fix with a side yet."""
+    nothing = {"believed": F.lit(None).cast("boolean"), "inside": F.lit(False), "since": F.col("near_at"), "before": F.lit(None).cast("timestamp_ntz"), "last_time": F.col("near_at"), "fixes": F.lit(0)}
+    return pairs.select(*_PAIR, *[v.alias(c) for c, v in nothing.items()])
+
+
 def valid_days(days: DataFrame) -> DataFrame:
     """States of days (schema CROSSING_DAYS) without those that a later replay has replaced."""
     newest = days.filter(F.col("geofence_id") == SELF).groupBy("vehicle_id", "as_of").agg(F.max("made").alias("made"))
@@ -123,8 +130,10 @@ def derive(
     instants = keep(location_fixes(rows, complete=False))
     fixes = instants.dropna(subset=["lat", "lon"])
     near = keep(near_pairs(fixes, versions, rules))
-    seeds = keep.cut(seeds.unionByName(outside_before(near.join(seeds, _PAIR, "left_anti"), past, versions)))
-    line = keep.cut(steps(sides(fixes, versions, rules, near.unionByName(seeds.select(*_PAIR)).distinct()), rules, seeds))
+    unseen = near.join(seeds, _PAIR, "left_anti")
+    seeds = seeds.unionByName(outside_before(unseen, past, versions))
+    seeds = keep.cut(seeds.unionByName(_undecided(unseen.join(seeds, _PAIR, "left_anti"))))
+    line = keep.cut(steps(sides(fixes, versions, rules, seeds), rules, seeds))
 
     # crossings: what the fold has not seen stays
     bound = F.coalesce("base", at(cutoff)) if cutoff else F.col("base")
@@ -148,8 +157,10 @@ def derive(
     # states at the end of days that are over
     ended = days.filter("open").join(newest.select("vehicle_id", "last_day"), "vehicle_id").filter("day < last_day").drop("last_day", "open")
     by_day = state_of(line, day_of("event_time").alias("day"))
-    by_day = by_day.unionByName(_of(seeds, others).withColumn("day", day_of("last_time")))  # of a day that the new readings leave behind
-    by_day = by_day.groupBy(*_PAIR, "day").agg(F.max_by(F.struct("believed", "inside", "since", "before", "last_time", "fixes"), "last_time").alias("r")).select(*_PAIR, "day", "r.*")
+    # of a day that the new readings leave behind, or in which a fence was near first
+    held_over = _of(seeds, others).unionByName(_of(seeds.filter("fixes = 0"), late))
+    by_day = by_day.unionByName(held_over.withColumn("day", day_of("last_time")))
+    by_day = by_day.groupBy(*_PAIR, "day").agg(F.max_by(F.struct("believed", "inside", "since", "before", "last_time", "fixes"), F.struct(F.col("fixes") > 0, "last_time")).alias("r")).select(*_PAIR, "day", "r.*")
     closed = by_day.join(ended.select("vehicle_id", "day"), ["vehicle_id", "day"], "left_semi").unionByName(_as_self(ended))
     closed = closed.withColumns({"as_of": _end("day"), "made": F.lit(made).cast("long")})
 

@@ -161,20 +161,18 @@ class _Fold(StatefulProcessor):
             if lat is None or lon is None or (accuracy is not None and accuracy > self.rules.max_accuracy_m):
                 continue
             for fence in {*near, *known}:
-                state = known.get(fence) or self._outside_before(near[fence], first, last)
+                state = known.get(fence) or self._outside_before(near[fence], first, last) or (None, False, t, None, t, 0, near[fence])
                 spans = near[fence] if fence in near else state[6]
                 span = next((s for s in reversed(spans) if s[0] <= t < s[1]), None)
                 if span is None or not span[5]:
-                    if state is not None:
-                        known[fence] = state
+                    known[fence] = state
                     continue
                 side = False
                 if fence in near:
                     d, margin = _metres(lat, lon, span[2], span[3]), max(self.rules.min_margin_m, accuracy or 0.0)
                     side = True if d <= span[4] - margin else False if d >= span[4] + margin else None
                 if side is None:
-                    if state is not None:
-                        known[fence] = state
+                    known[fence] = state
                     continue
                 known[fence], crossing = self._advanced(state, t, side, spans)
                 if crossing:
@@ -186,8 +184,8 @@ class _Fold(StatefulProcessor):
         if found:
             yield from self._news(key[0], found)
 
-    def _advanced(self, state: tuple | None, t: int, side: bool, spans) -> tuple[tuple, tuple | None]:
-        if state is None:
+    def _advanced(self, state: tuple, t: int, side: bool, spans) -> tuple[tuple, tuple | None]:
+        if not state[5]:
             return (side, side, t, None, t, 1, spans), None  # the first side is believed at once
         believed, inside, since, before, last, fixes, _ = state
         if side == inside:
