@@ -174,6 +174,22 @@ def test_jaccard_random_sets_lose_no_link(spark):
         assert {r["doc_id"]: r["component_id"] for r in jaccard_components(df, n, percent).collect()} == expected
 
 
+def test_a_pair_comes_out_of_one_tile(spark):
+    """Sets that share several tiles are paired in one of them, whatever block and side they are dealt to."""
+    import pandas as pd
+
+    from voltrace.llm import jaccard_join
+    from voltrace.llm.shingles import bitmap
+
+    made, run = [], jaccard_join._tile_pairs(80)
+    sets = {i: np.arange(i, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(4)}
+    for key in (-7, 3, 11):
+        keys = np.array([-7, 3, 11])
+        rows = [{"key": key, "id": i, "comp": i, "size": len(s), "bits": bitmap(s), "keys": keys, "outer": i > 0, "other": other} for i, s in sets.items() for other in (False, True) if i or not other]
+        made += list(map(tuple, run(pd.DataFrame(rows)).to_numpy().tolist()))
+    assert sorted(made) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+
+
 def test_pack_by_rule():
     rng = random.Random(4)
     for _ in range(30):

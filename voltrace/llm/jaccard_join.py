@@ -9,7 +9,7 @@ exactly as sorted arrays.
 
 What is wanted are classes, so a tile never emits all its pairs. First all sets of a
 tile are compared with its first set, then, where it still spans several components, with its
-last; what is left is compared in blocks, and only sets of different components are paired.
+last; what is left is compared in blocks, and only sets of different components are paired, in the first of the tiles that they share.
 Every link is thus found or implied by others. Hot tiles are split by skew-aware joins and by blocks.
 
 Defined results: ids are whole numbers, other kinds are refused; a null or empty text has an empty set and links with nothing; equal texts
@@ -36,6 +36,8 @@ from .shingles import WordHashes, bitmap, enough, fold, intersection, overlap_bo
 #: Words kept in a worker's table of hashes before it starts anew.
 CACHE_WORDS = 300_000
 BLOCK = 256
+#: Keys of a set by which its open tiles are told apart.
+FIRST_KEYS = 64
 #: Rows (24 bytes each) up to which a table is broadcast.
 MOST_BROADCAST = 100_000
 
@@ -96,17 +98,29 @@ def _linked(percent: int):
 
 
 def _tile_pairs(percent: int):
-    """Pairs inside one block of a tile, between sets of different components, that their bitmaps don't rule out."""
+    """Pairs inside one block of a tile, between sets of different components, that their bitmaps don't rule out.
+
+    A pair comes out of the tile with the smallest key that both sets name (FIRST_KEYS of each are looked at, so one
+    that shares no key among them may come out again, and none is left out), and there of one block.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bits = [np.frombuffer(b, np.uint64) for b in frame["bits"]]
         n = min(map(len, bits))
         bits = np.stack([fold(b, n) for b in bits])
         ids, comps, sizes = (frame[c].to_numpy(np.int64) for c in ("id", "comp", "size"))
+        other, outer = (frame[c].to_numpy(bool) for c in ("other", "outer"))
+        key, keys, earlier = frame["key"].iat[0], frame["keys"].tolist(), {}
+
+        def before(i: int) -> frozenset:
+            if i not in earlier:
+                earlier[i] = frozenset(k for k in keys[i].tolist() if k < key)
+            return earlier[i]
+
         out = []
-        for i in np.flatnonzero(frame["other"].to_numpy(bool)).tolist():
+        for i in np.flatnonzero(other).tolist():
             both = sizes + sizes[i]
-            able = (comps != comps[i]) & ((100 + percent) * np.minimum(sizes, sizes[i]) >= percent * both)
+            able = ~other & (comps != comps[i]) & ~(outer & (ids < ids[i])) & ((100 + percent) * np.minimum(sizes, sizes[i]) >= percent * both)
             at = np.flatnonzero(able)
             if not len(at):
                 continue
@@ -115,6 +129,7 @@ def _tile_pairs(percent: int):
             rest = np.bitwise_count(bits[at] & ~x).sum(axis=1, dtype=np.int64)
             most = np.minimum(sizes[i] - lone, sizes[at] - rest)
             at = at[(100 + percent) * most >= percent * both[at]]
+            at = at[[before(i).isdisjoint(before(j)) for j in at.tolist()]] if len(at) else at
             out.append(np.stack([np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
@@ -218,11 +233,12 @@ def _blocks(rows: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of tiles that still span several components: sets outside a tile's largest component against all its sets, in blocks."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.n")).alias("n_other"))
-    rows = rows.join(largest, "key").join(meta, "id")
-    rows = rows.withColumn("other", F.col("comp") != F.col("main"))
+    first_keys = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
+    rows = rows.join(largest, "key").join(meta.join(first_keys, "id"), "id")
+    rows = rows.withColumn("outer", F.col("comp") != F.col("main"))
     n_all, n_lone = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("n_other") / BLOCK).cast("int")
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    cols = ["key", "id", "comp", "size", "bits"]
+    cols = ["key", "id", "comp", "size", "bits", "keys", "outer"]
     as_all = rows.select(*cols, F.lit(False).alias("other"), F.pmod(h, n_all).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), n_lone - 1)).alias("i"))
-    as_lone = rows.filter("other").select(*cols, "other", F.pmod(h, n_lone).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
+    as_lone = rows.filter("outer").select(*cols, F.lit(True).alias("other"), F.pmod(h, n_lone).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
     return as_all.unionByName(as_lone).groupBy("key", "i", "j").applyInPandas(_tile_pairs(percent), "a long, b long").distinct()
