@@ -188,3 +188,11 @@ def test_a_copy_is_cheap_and_one_of_a_kind_is_not(spark):
     docs = spark.createDataFrame([*alone.items(), *twice.items()], "doc_id long, text string")
     got = {r["doc_id"]: r["bits_per_byte"] for r in lm_scores(docs, bits=(16, 18, 18, 18), min_head=3, share=2).collect()}
     assert max(got[i] for i in [*ids[:20], *ids[40:60]]) < 0.7 * min(got[i] for i in ids[20:40])
+
+
+def test_weights_are_learned_from_every_learning_text(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 60))) for i in range(40)], "doc_id long, text string")
+    bounds = {k: v for k, v in SMALL.items() if k != "share"}
+    every, given = ({r["doc_id"]: r["score"] for r in lm_scores(docs, **bounds, **more).collect()} for more in ({"share": 1}, {}))
+    assert given == every
