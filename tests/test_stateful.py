@@ -86,3 +86,17 @@ def test_going_on_from_a_batch(spark, tmp_path):
     # trips of the batch that the stream has taken back, and what it says instead
     first = trips(before).select("vehicle_id", F.col("origin_geofence_id").alias("geofence_id"), F.col("started_at").alias("event_time"), F.col("start_uncertain").alias("uncertain"), "destination_geofence_id", "ended_at", "end_uncertain", F.lit("trip").alias("what"))
     assert same(trips_of_news(news.select(*first.columns).unionByName(first)), trips(whole)) > 10
+
+
+def test_two_alerts_that_hide_in_one_second(spark, tmp_path):
+    """The moment is a timer of both kinds: that one of them is seen again takes it from neither."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    low, hot = ("soc", 5.0), ("battery_temp", 60.0)
+    hour = timedelta(hours=1)
+    for rows in ([("v", *low, T0), ("v", *hot, T0)], [("v", *low, T0 + hour)], [("w", *low, T0 + 100 * hour)], [("w", *low, T0 + 101 * hour)]):
+        log = spark.createDataFrame([(v, s, t, t, x, f"{v}{s}{t}") for v, s, x, t in rows], "vehicle_id string, signal string, event_time timestamp_ntz, ingest_time timestamp_ntz, value double, packet_id string")
+        log.select(*SIGNAL_READINGS.names).write.mode("append").parquet(folder)
+        into_folder(alert_spells_stream(spark.readStream.schema(SIGNAL_READINGS).parquet(folder), E.RULES), out, str(tmp_path / "checkpoint"))
+    found = spark.read.parquet(out).select("vehicle_id", "kind", "why", "hidden_at").collect()
+    stale = E.RULES.stale_after + timedelta(seconds=1)
+    assert sorted(map(tuple, found)) == [("v", "battery_soc", "stale", T0 + hour + stale), ("v", "battery_temp", "stale", T0 + stale)]

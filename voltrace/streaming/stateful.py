@@ -34,28 +34,40 @@ def _us(t: Column) -> Column:
 
 
 class _Spells(StatefulProcessor):
-    """State by kind: the newest reading, whether it is a breach, the alert's opening and since when it has been shown."""
+    """State of a vehicle, read and written once a batch; by kind: the newest reading, whether it is a breach, the alert's opening and since when it has been shown."""
 
     def __init__(self, stale_s: int):
         self.stale_s = stale_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kinds = handle.getMapState("kinds", "kind string", "last long, breached boolean, opened long, shown long")
+        self.kinds = handle.getValueState("kinds", "kinds array<struct<kind string, last long, breached boolean, opened long, shown long>>")
+
+    def _held(self) -> dict[str, tuple]:
+        held = self.kinds.get()
+        return {k: tuple(r) for k, *r in held[0]} if held else {}
+
+    def _keep(self, kinds: dict[str, tuple]) -> None:
+        self.kinds.update(([(k, *v) for k, v in kinds.items()],))
+
+    def _timers(self, kinds: dict[str, tuple]) -> set[int]:
+        """When shown alerts hide if nothing else comes; kinds may share a moment."""
+        return {self._hides(last) // 1000 for last, breached, _, shown in kinds.values() if breached and shown is not None}
 
     def _hides(self, last: int) -> int:
         """When a reading stops being fresh; ages are whole seconds."""
         return (last // _US + self.stale_s + 1) * _US
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        kinds = self._held()
+        set_before = self._timers(kinds)
         for r in sorted(rows, key=lambda r: r["us"]):
-            kind, t = (r["kind"],), r["us"]
-            last, breached, opened, shown = self.kinds.getValue(kind) if self.kinds.containsKey(kind) else (None, False, None, None)
+            kind, t = r["kind"], r["us"]
+            last, breached, opened, shown = kinds.get(kind, (None, False, None, None))
             if last is not None and t <= last:
                 continue
             if breached and shown is not None:
                 hides = self._hides(last)
-                self.handle.deleteTimer(hides // 1000)
                 if t >= hides:
                     yield self._spell(key, kind, opened, shown, hides, "stale")
                     shown = None
@@ -63,20 +75,27 @@ class _Spells(StatefulProcessor):
                     yield self._spell(key, kind, opened, shown, t, "resolved")
             if r["breached"]:
                 opened, shown = opened if breached else t, t if shown is None or not breached else shown
-                self.handle.registerTimer(self._hides(t) // 1000)
             else:
                 opened = shown = None
-            self.kinds.updateValue(kind, (t, r["breached"], opened, shown))
+            kinds[kind] = (t, r["breached"], opened, shown)
+        wanted = self._timers(kinds)
+        for moment in set_before - wanted:
+            self.handle.deleteTimer(moment)
+        for moment in wanted - set_before:
+            self.handle.registerTimer(moment)
+        self._keep(kinds)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for kind, (last, breached, opened, shown) in list(self.kinds.iterator()):
+        kinds = self._held()
+        for kind, (last, breached, opened, shown) in kinds.items():
             if breached and shown is not None and self._hides(last) == at:
-                self.kinds.updateValue(kind, (last, breached, opened, None))
+                kinds[kind] = (last, breached, opened, None)
                 yield self._spell(key, kind, opened, shown, at, "stale")
+        self._keep(kinds)
 
     def _spell(self, key, kind, opened: int, shown: int, hidden: int, why: str) -> Row:
-        return Row(vehicle_id=key[0], kind=kind[0], opened_at=_moment(opened), shown_at=_moment(shown), hidden_at=_moment(hidden), why=why)
+        return Row(vehicle_id=key[0], kind=kind, opened_at=_moment(opened), shown_at=_moment(shown), hidden_at=_moment(hidden), why=why)
 
     def close(self) -> None:
         pass
