@@ -100,3 +100,36 @@ def test_two_alerts_that_hide_in_one_second(spark, tmp_path):
     found = spark.read.parquet(out).select("vehicle_id", "kind", "why", "hidden_at").collect()
     stale = E.RULES.stale_after + timedelta(seconds=1)
     assert sorted(map(tuple, found)) == [("v", "battery_soc", "stale", T0 + hour + stale), ("v", "battery_temp", "stale", T0 + stale)]
+
+
+@pytest.mark.parametrize("processor", ["_Fold", "_Spells"])
+def test_state_is_read_and_written_once_a_batch(processor, monkeypatch):
+    """However many readings, fences and crossings a vehicle has."""
+    from voltrace.streaming import stateful
+
+    calls = []
+
+    class Held:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.value = args[0]
+                return self.value if name == "get" else None
+
+            return call
+
+    handle = type("Handle", (), {n: lambda self, *_: Held() for n in ("getValueState", "getMapState", "getListState")} | {n: lambda self, *_: calls.append(n) for n in ("registerTimer", "deleteTimer")})()
+    us = 1_000_000
+    if processor == "_Spells":
+        made = stateful._Spells(E.RULES.stale_s)
+        rows = [{"us": k * us, "kind": ("battery_soc", "battery_temp")[k % 2], "breached": k % 3 > 0} for k in range(40)]
+    else:
+        made = stateful._Fold(E.RULES)
+        monkeypatch.setattr(made, "_news", lambda vehicle, found: iter(found))
+        rows = [{"us": k * us, "lat": 0.0, "lon": 0.0, "gps_accuracy_m": 5.0, "near": None} for k in range(40)]
+    made.init(handle)
+    list(made.handleInputRows(("v",), iter(rows), None))
+    assert sorted(c for c in calls if not c.endswith("Timer")) == ["get", "update"] and len(calls) <= 4

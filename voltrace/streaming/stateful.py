@@ -8,8 +8,10 @@ replay by day (operators.replay) to deal with.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 from math import asin, cos, radians, sin, sqrt
 
 from pyspark.sql import Column, DataFrame, Row
@@ -109,8 +111,17 @@ def alert_spells_stream(log: DataFrame, rules: Rules = _NONE, delay: str = "0 se
 
 
 FOUND = "what string, vehicle_id string, geofence_id string, kind string, event_time timestamp_ntz, window_start timestamp_ntz, uncertain boolean, destination_geofence_id string, ended_at timestamp_ntz, end_uncertain boolean"
-#: Versions of a fence, each as numbers: from, until (microseconds), latitude, longitude, radius, active.
-_SPANS = "array<array<double>>"
+
+
+@lru_cache(256)
+def _spans_of(text: str) -> list[tuple[float, ...]]:
+    """Versions of a fence, each as numbers: from, until (microseconds), latitude, longitude, radius, active. Rows and state hold them as JSON text, which is parsed once for many rows."""
+    return [tuple(map(float, s)) for s in json.loads(text)]
+
+
+@lru_cache(256)
+def _near_of(text: str) -> dict[str, str]:
+    return {n["geofence_id"]: n["spans"] for n in json.loads(text)}
 
 
 def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -134,29 +145,37 @@ def _trips(crossings: list[tuple]) -> list[tuple]:
 
 
 class _Fold(StatefulProcessor):
-    """State of a vehicle: its first and last trusted fix, a row per fence that it has been near (as CROSSING_STATE), and its crossings."""
+    """State of a vehicle: its first and last trusted fix and an entry per fence that it has been near (as CROSSING_STATE), read and written once a batch; and its crossings, a batch's appended at once."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.own = handle.getValueState("own", "first long, last long, seen long")
-        self.pairs = handle.getMapState("pairs", "fence string", f"believed boolean, inside boolean, since long, before long, last long, fixes int, spans {_SPANS}")
+        pair = "fence string, believed boolean, inside boolean, since long, before long, last long, fixes int, spans string"
+        self.own = handle.getValueState("own", f"first long, last long, seen long, pairs array<struct<{pair}>>")
         self.crossings = handle.getListState("crossings", "t long, kind string, fence string, uncertain boolean")
 
+    def _held(self) -> tuple[int | None, int | None, int | None, dict[str, tuple]]:
+        first, last, seen, pairs = self.own.get() or (None, None, None, [])
+        return first, last, seen, {fence: tuple(state) for fence, *state in pairs}
+
+    def _keep(self, first: int | None, last: int | None, seen: int | None, known: dict[str, tuple]) -> None:
+        self.own.update((first, last, seen, [(fence, *state) for fence, state in known.items()]))
+
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         r = initialState
         if r["what"] == "own":
-            self.own.update((r["since"], r["before"], r["last"]))
+            self._keep(r["since"], r["before"], r["last"], self._held()[3])
         elif r["what"] == "state":
-            self.pairs.updateValue((r["fence"],), (r["believed"], r["inside"], r["since"], r["before"], r["last"], r["fixes"], r["spans"]))
+            first, last, seen, known = self._held()
+            self._keep(first, last, seen, known | {r["fence"]: (r["believed"], r["inside"], r["since"], r["before"], r["last"], r["fixes"], r["spans"])})
         else:
             self.crossings.appendValue((r["since"], r["kind"], r["fence"], r["uncertain"]))
 
-    def _outside_before(self, spans: Iterable, first: int | None, last: int | None) -> tuple | None:
+    def _outside_before(self, spans: str, first: int | None, last: int | None) -> tuple | None:
         """What is known of a fence that was never near: outside, if a fix fell into a time when it was active."""
         moments = []
-        for s in spans:
+        for s in _spans_of(spans):
             if first is not None and s[5] and first < s[1] and last >= s[0]:
                 moments += [last] if last < s[1] else [first] if first >= s[0] else []
         return (False, False, max(moments), None, max(moments), 1, spans) if moments else None
@@ -168,9 +187,9 @@ class _Fold(StatefulProcessor):
             for k, name in enumerate((LAT, LON, ACCURACY)):
                 if r[name] is not None and (f[k] is None or r[name] > f[k]):
                     f[k] = r[name]
-            f[3].update({n["geofence_id"]: [[float(x) for x in s] for s in n["spans"]] for n in ([] if r["near"] is None else r["near"])})
-        first, last, seen = self.own.get() if self.own.exists() else (None, None, None)
-        known, found = {k[0]: v for k, v in self.pairs.iterator()}, []
+            if r["near"] is not None:
+                f[3].update(_near_of(r["near"]))
+        (first, last, seen, known), found = self._held(), []
         for t in sorted(fixes):
             lat, lon, accuracy, near = fixes[t]
             if seen is not None and t <= seen:
@@ -182,7 +201,7 @@ class _Fold(StatefulProcessor):
             for fence in {*near, *known}:
                 state = known.get(fence) or self._outside_before(near[fence], first, last) or (None, False, t, None, t, 0, near[fence])
                 spans = near[fence] if fence in near else state[6]
-                span = next((s for s in reversed(spans) if s[0] <= t < s[1]), None)
+                span = next((s for s in reversed(_spans_of(spans)) if s[0] <= t < s[1]), None)
                 if span is None or not span[5]:
                     known[fence] = state
                     continue
@@ -197,13 +216,11 @@ class _Fold(StatefulProcessor):
                 if crossing:
                     found.append((fence, *crossing))
             first, last = t if first is None else first, t
-        self.own.update((first, last, seen))
-        for fence, state in known.items():
-            self.pairs.updateValue((fence,), state)
+        self._keep(first, last, seen, known)
         if found:
             yield from self._news(key[0], found)
 
-    def _advanced(self, state: tuple, t: int, side: bool, spans) -> tuple[tuple, tuple | None]:
+    def _advanced(self, state: tuple, t: int, side: bool, spans: str) -> tuple[tuple, tuple | None]:
         if not state[5]:
             return (side, side, t, None, t, 1, spans), None  # the first side is believed at once
         believed, inside, since, before, last, fixes, _ = state
@@ -219,8 +236,8 @@ class _Fold(StatefulProcessor):
 
     def _news(self, vehicle: str, found: list[tuple]) -> Iterator[Row]:
         old = [tuple(c) for c in self.crossings.get()]
+        self.crossings.appendList([(since, kind, fence, unsure) for fence, kind, since, _, unsure in found])
         for fence, kind, since, before, unsure in found:
-            self.crossings.appendValue((since, kind, fence, unsure))
             yield Row(what="crossing", vehicle_id=vehicle, geofence_id=fence, kind=kind, event_time=_moment(since), window_start=_moment(before), uncertain=unsure, destination_geofence_id=None, ended_at=None, end_uncertain=None)
         was, now = (set(_trips(c)) for c in (old, old + [(since, kind, fence, unsure) for fence, kind, since, _, unsure in found]))
         for what, some in (("trip gone", was - now), ("trip", now - was)):
@@ -234,7 +251,7 @@ class _Fold(StatefulProcessor):
 def _spans(versions: DataFrame) -> DataFrame:
     until = F.coalesce(_us(F.col("valid_to")).cast("double"), F.lit(float("inf")))
     one = F.array(_us(F.col("valid_from")).cast("double"), until, "lat", "lon", "radius_m", F.col("active").cast("double"))
-    return versions.groupBy("geofence_id").agg(F.sort_array(F.collect_list(one)).alias("spans"))  # the versions of a fence
+    return versions.groupBy("geofence_id").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("spans"))  # the versions of a fence
 
 
 def crossings_stream(packets: DataFrame, versions: DataFrame, rules: Rules = _NONE, state: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
@@ -245,7 +262,7 @@ def crossings_stream(packets: DataFrame, versions: DataFrame, rules: Rules = _NO
     spans = _spans(versions)
     cell = ["grid", "cell_lat", "cell_lon"]
     cells = _cells_of(versions, max(rules.min_margin_m, rules.max_accuracy_m))
-    near = cells.select("geofence_id", *cell).distinct().join(spans, "geofence_id").groupBy(*cell).agg(F.collect_list(F.struct("geofence_id", "spans")).alias("near"))
+    near = cells.select("geofence_id", *cell).distinct().join(spans, "geofence_id").groupBy(*cell).agg(F.to_json(F.sort_array(F.collect_list(F.struct("geofence_id", "spans")))).alias("near"))
     rows = packets.select("vehicle_id", "event_time", *[F.col("signals")[s].alias(s) for s in (LAT, LON, ACCURACY)]).filter(f"{LAT} IS NOT NULL OR {LON} IS NOT NULL OR {ACCURACY} IS NOT NULL")
     rows = _cells_at(rows, cells, LAT, LON).join(near, cell, "left").select("vehicle_id", _us(F.col("event_time")).alias("us"), LAT, LON, ACCURACY, "near")
     start = None
