@@ -322,3 +322,21 @@ def test_parts_are_merged_and_old_ones_removed(spark, tmp_path):
     engine.store.publish(forget={"signal_readings": NOW + 5 * MIN})
     assert engine.store.read("signal_readings").count() == 13 and len(engine.store.manifest()["tables"]["signal_readings"]) == 4
     assert engine.store.read("signal_readings", since=NOW + 9 * MIN, until=NOW + 12 * MIN).count() == 3
+
+
+def test_a_small_batch_takes_few_tasks_whatever_the_partitions(spark, tmp_path):
+    engine, session = Engine(spark, str(tmp_path / "store"), Clock(), buckets=1), spark.sparkContext
+    rows = packets(spark, *[(f"v{k % 3}", -k, {"lat": 12.97, "lon": 77.59, "soc": 50.0}, f"d{k}") for k in range(12)])
+    keys = ["vehicle_id", "event_time", "device_packet_id"]
+    rows = rows.groupBy(*keys).agg(F.first("signals").alias("signals")).select(*rows.columns)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    session.setJobGroup("small batch", "", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 61)
+    try:
+        assert P.process_batch(engine.store, rows, NOW, ("b", 0))["accepted"] == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        session._jsc.clearJobGroup()
+    seen = session.statusTracker()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("small batch") for s in seen.getJobInfo(j).stageIds]
+    assert not [s for s in stages if s and s.numCompletedTasks >= 61]

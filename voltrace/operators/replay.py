@@ -36,19 +36,14 @@ SELF = ""
 class Keep(Protocol):
     """How frames are kept that several results are made of."""
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        """Persist, for as long as the caller says."""
-
     def cut(self, df: DataFrame) -> DataFrame:
         """Store and read again: what is made of it has a short plan and doesn't depend on an executor."""
 
 
 class _Plain:
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame) -> DataFrame:
         return df
 
-    cut = __call__
-
 
 PLAIN = _Plain()
 _PAIR = ["vehicle_id", "geofence_id"]
@@ -113,7 +108,7 @@ def derive(
     """geofence_events, crossing_state and trips as they are after some readings, and the states of days to append to crossing_days.
 
     rows: of late vehicles all readings from their base on, of others the new ones. marked: vehicle_id, late, base (from started).
-    tables: geofence_versions, geofence_events, crossing_state, trips, and crossing_days (from valid_days). keep: persists what several results are made of.
+    tables: geofence_versions, geofence_events, crossing_state, trips, and crossing_days (from valid_days). keep: stores what several results are made of.
     """
     versions, late, others = tables["geofence_versions"], marked.filter("late"), marked.filter("NOT late")
     rows = rows.filter(F.col("signal").isin(*POSITION))
@@ -127,9 +122,9 @@ def derive(
     seeds = back.unionByName(own.filter(~is_self))
     past = before_base.filter(is_self).select("vehicle_id", "since", "before").unionByName(_of(tables["crossing_days"], others).filter(is_self).select("vehicle_id", "since", "before"))
     past = past.unionByName(own.filter(is_self).select("vehicle_id", "since", "before"))
-    instants = keep(location_fixes(rows, complete=False))
+    instants = keep.cut(location_fixes(rows, complete=False))
     fixes = instants.dropna(subset=["lat", "lon"])
-    near = keep(near_pairs(fixes, versions, rules))
+    near = keep.cut(near_pairs(fixes, versions, rules))
     unseen = near.join(seeds, _PAIR, "left_anti")
     seeds = seeds.unionByName(outside_before(unseen, past, versions))
     seeds = keep.cut(seeds.unionByName(_undecided(unseen.join(seeds, _PAIR, "left_anti"))))
