@@ -340,3 +340,28 @@ def test_a_small_batch_takes_few_tasks_whatever_the_partitions(spark, tmp_path):
     seen = session.statusTracker()
     stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("small batch") for s in seen.getJobInfo(j).stageIds]
     assert not [s for s in stages if s and s.numCompletedTasks >= 61]
+
+
+def test_small_parts_have_few_files_however_many_buckets(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), Clock(), buckets=256)
+    store = engine.store
+    rows = packets(spark, *[(f"v{k}", -1440 * d, {"lat": 12.97, "lon": 77.59}, f"d{k}.{d}") for k in range(300) for d in range(3)])
+    assert P.process_batch(store, rows, NOW, ("b", 0))["accepted"] == 900
+    for table in ("signal_readings", "packets", "crossing_days"):
+        (part,) = store.manifest()["tables"][table]
+        assert part["written"] <= 16 and len(list((tmp_path / "s" / table).rglob("part-*.parquet"))) <= 48
+    some = store.buckets_of(rows.filter("vehicle_id IN ('v1', 'v7')"))
+    found = {r[0] for r in store.read("signal_readings", buckets=some).select("vehicle_id").distinct().collect()}
+    assert {"v1", "v7"} <= found and store.read("signal_readings", buckets=some).count() == 6 * len(found) < 200
+    assert P.process_batch(store, rows, NOW, ("b", 1))["duplicates"] == 900
+
+
+def test_statements_keep_what_shares_a_folder_with_the_changed_rows(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), Clock(), buckets=2)
+    rows = spark.createDataFrame([(f"v{k}", "soc", NOW, NOW, float(k), f"p{k}") for k in range(40)], SIGNAL_READINGS)
+    engine.store.publish(append={"signal_readings": rows}, replace={"latest_readings": rows.select("vehicle_id", "signal", "event_time", "value")})
+    assert P.grow(engine.store, per_bucket=2) == 32
+    engine.delete("signal_readings", "vehicle_id = 'v3'")
+    engine.update("signal_readings", {"value": "value + 100"}, "vehicle_id = 'v4'")
+    left = {r["vehicle_id"]: r["value"] for r in engine.store.read("signal_readings").collect()}
+    assert left == {f"v{k}": float(k) + 100 * (k == 4) for k in range(40) if k != 3}

@@ -281,6 +281,7 @@ class Engine:
             if table not in BUCKETED_BY:
                 return {"replace": {table: self._sql(sql, args, named, t)}}
             held = self._apart.buckets_of(self._sql(f"SELECT {BUCKETED_BY[table]} FROM {table} WHERE {where}", tested, named, t), BUCKETED_BY[table])
+            held = self._apart.widened(table, held)
             some = {table: self._apart.read(table, buckets=held)}
             return {"replace": {table: self._sql(sql, args, named, some)}, "within": {table: held}} if held else {}
 

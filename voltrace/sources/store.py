@@ -9,6 +9,7 @@ Layout: tables with a key are split into buckets by a hash of it, and the log in
 reader that names vehicles or a time opens only their folders. A replacement may name buckets: the parts written for
 them take the place of these buckets in older parts, and the rest of the table stays as it is, so a batch rewrites what it has touched.
 The number of buckets may grow by multiples, as the fleet does (streaming.pipeline.grow); parts written before stay as they are.
+A part of a table with days has fewer buckets where it is small, so its files don't shrink as the fleet grows: each bucket of it has as many folders as there are days.
 Appended parts are merged in levels: MERGE parts of one level become one of the next, so a row is
 rewritten a logarithmic number of times and a table has few parts. Parts that none of the last KEEP manifests names are removed.
 """
@@ -31,6 +32,8 @@ from .schemas import BUCKETED_BY, DATED_BY, SCHEMA_VERSION, TABLES
 
 BUCKETS = 16
 MERGE, KEEP = 8, 8
+#: Bytes of a bucket, over all its days, below which a part of a table with days has fewer buckets (but BUCKETS at least, if the store has as many).
+BUCKET_BYTES = 4 << 20
 #: How long a writer waits for another one, and how old a claim of a number must be to count as given up.
 PATIENCE_S = 60.0
 
@@ -152,7 +155,7 @@ class Store:
                 continue
             folders = "part string, bucket int" + (", day date" if table in DATED_BY else "")
             rows = self.spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, {folders}").option("basePath", f"{self.root}/{table}").parquet(*paths)
-            if wanted is not None and of != self.buckets:
+            if wanted is not None and of != self.buckets and len({*buckets}) < self.buckets:
                 rows = rows.filter(bucket_of(F.col(BUCKETED_BY[table]), self.buckets).isin(sorted(buckets)))
             if table in DATED_BY:
                 for limit in (datetime.fromisoformat(first) if first else None, since):
@@ -170,6 +173,12 @@ class Store:
         """The buckets of some keys; as many rows as there are buckets at most."""
         return sorted(r["b"] for r in rows.select(bucket_of(F.col(key), self.buckets).alias("b")).distinct().collect())
 
+    def widened(self, table: str, buckets: Iterable[int]) -> list[int]:
+        """Some buckets with those that share a folder with them in a part of fewer buckets; only together can they be replaced."""
+        least = min((p["of"] for p in self.manifest()["tables"][table]), default=self.buckets)
+        some = {b % least for b in buckets}
+        return [b for b in range(self.buckets) if b % least in some]
+
     # frames that a publish is made of
     def work(self, df: DataFrame) -> tuple[str, DataFrame]:
         """Write df beside the tables, and read it again; (path, frame)."""
@@ -187,13 +196,20 @@ class Store:
         if table not in BUCKETED_BY:
             rows.write.parquet(f"{self.root}/{table}/{path}")
             return {"path": path, "level": level}
-        folders = ["bucket"]
-        rows = rows.withColumn("bucket", bucket_of(F.col(BUCKETED_BY[table]), self.buckets))
+        folders, of = ["bucket"], self._split(rows) if table in DATED_BY else self.buckets
+        rows = rows.withColumn("bucket", bucket_of(F.col(BUCKETED_BY[table]), of))
         if table in DATED_BY:
             rows, folders = rows.withColumn("day", F.to_date(DATED_BY[table])), ["bucket", "day"]
         rows.hint("rebalance", *folders).write.partitionBy(*folders).parquet(f"{self.root}/{table}/{path}")  # one file a folder, more where one is large
         made = self._folders(table, path)
-        return {"path": path, "level": level, "of": self.buckets, "buckets": made, "written": len(made)}
+        return {"path": path, "level": level, "of": of, "buckets": made, "written": len(made)}
+
+    def _split(self, rows: DataFrame) -> int:
+        """Into how many buckets a part of a table with days is split: a divisor of the store's number, by the size that Spark expects (for frames that are read from files, theirs)."""
+        size, of = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), self.buckets
+        while of % 2 == 0 and of > BUCKETS and size < of * BUCKET_BYTES:
+            of //= 2
+        return of
 
     def _folders(self, table: str, path: str) -> list[int]:
         return sorted(int(s.getPath().getName()[7:]) for s in self._fs.listStatus(self._path(f"{self.root}/{table}/{path}")) if s.getPath().getName().startswith("bucket="))
@@ -210,7 +226,7 @@ class Store:
     ) -> bool:
         """Write tables whole or as further parts, then switch. False if batch (name, id) is published already.
 
-        within: for a replaced table, the buckets that the frame stands for; all others stay as they are.
+        within: for a replaced table, the buckets that the frame stands for (of a table with days, from widened); all others stay as they are.
         based_on: the manifest from which the frames were made; if another was published since, nothing is, and Conflict is raised.
         buckets: split tables into so many buckets from now on, a multiple of what they are; tables that are replaced bucket by bucket must be replaced whole with it.
         forget: for tables with days, the moment before which rows are gone. Only the manifest changes; days that no kept manifest shows are removed later.
@@ -232,7 +248,7 @@ class Store:
                 held = set(range(self.buckets)) if within is None or name not in within else set(within[name])
                 old = []
                 if name in BUCKETED_BY:
-                    old = [p | {"buckets": [b for b in p["buckets"] if b not in held]} for p in tables[name]]
+                    old = [p | {"buckets": [b for b in p["buckets"] if b not in {h % p["of"] for h in held}]} for p in tables[name]]
                 tables[name] = [p for p in [*old, made] if p.get("buckets", True)]
             for name in append or {}:
                 made = written["append", name]

@@ -110,6 +110,7 @@ def _process(store: Store, packets: DataFrame, now: datetime, batch: tuple[str,
             log = store.read("signal_readings", buckets=store.buckets_of(marked.filter("late AND seen")), since=None if need["whole"] else need["since"])
             rows = rows.unionByName(from_base(log.filter(F.col("signal").isin(*POSITION)), late))
         made = derive(rows, marked, t, rules, cutoff, based_on + 1, keep)
+        made["crossing_days"] = keep.cut(made["crossing_days"])  # its size tells into how many buckets it is split
         store.publish(
             append={"signal_readings": fresh, "packets": entries, "ledger_filters": filters(entries, store.buckets), "rejected_packets": rejected, "crossing_days": made.pop("crossing_days")},
             replace={"latest_readings": latest, "alerts": alerts} | made,
@@ -139,7 +140,7 @@ def recompute_fleet(store: Store, now: datetime, rules: Rules = _NONE) -> None:
             positions = t["signal_readings"].filter(F.col("signal").isin(*POSITION))
             made = derive(from_base(positions, marked), marked, t | {"crossing_days": days}, rules, cutoff, manifest["number"] + 1, keep)
             kept = days.join(marked.select("vehicle_id"), "vehicle_id", "left_anti").unionByName(first.join(marked.select("vehicle_id"), "vehicle_id", "left_semi"))
-            return {"replace": made | {"crossing_days": kept.unionByName(made["crossing_days"])}}
+            return {"replace": made | {"crossing_days": keep.cut(kept.unionByName(made["crossing_days"]))}}
 
         store.transact(build)
 
@@ -148,7 +149,7 @@ def grow(store: Store, per_bucket: int = PER_BUCKET) -> int:
     """Double the number of buckets until one has at most per_bucket vehicles on average; returns the number.
 
     A batch rewrites the buckets that it touches, so what it rewrites follows its own vehicles and not the fleet. Tables that are replaced
-    by bucket are written anew, once a doubling; the log, the ledger and states of days stay as they are, and are split when their parts are merged.
+    by bucket are written anew, once a doubling; the log, the ledger and states of days stay as they are, and are split when their parts are merged, as far as their size asks for it.
     """
     vehicles = store.read("latest_readings").select("vehicle_id").distinct().count()
     wanted = store.buckets
@@ -181,7 +182,7 @@ def compact(store: Store, now: datetime, rules: Rules = _NONE) -> dict[str, int]
             manifest = store.manifest()
             days = t | {"crossing_days": keep.cut(valid_days(t["crossing_days"]))}
             states = at_cutoff(store.read("signal_readings", until=raw), days, raw, store.forgotten("signal_readings", manifest), manifest["number"] + 1, rules, keep)
-            made = {"append": {"signal_rollups": history.rollup(old, raw, rules), "crossing_days": states}, "forget": {"signal_readings": raw, "packets": raw, "crossing_days": raw, "signal_rollups": oldest}}
+            made = {"append": {"signal_rollups": keep.cut(history.rollup(old, raw, rules)), "crossing_days": keep.cut(states)}, "forget": {"signal_readings": raw, "packets": raw, "crossing_days": raw, "signal_rollups": oldest}}
             made["replace"] = {"ledger_filters": tidied(store, keep.cut(t["ledger_filters"]), raw.date())}
             gone = store.buckets_of(t["alerts"].filter(old_alerts))
             if gone:
