@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from voltrace.plans.engine import Engine
 from voltrace.rules import Rules
@@ -83,3 +84,12 @@ def test_buckets_follow_the_fleet(spark, tmp_path):
     assert [p["buckets"] for p in new] == [[mine]] and all(p["buckets"] == [b for b in parts[p["path"]]["buckets"] if b != mine] for p in engine.store.manifest()["tables"]["latest_readings"] if p["path"] in parts)
     assert engine.ingest(batch([of(7, 1, 3), of(7, 40, 5)])) == {"accepted": 1, "duplicates": 1, "clock_skew_future": 0, "empty_packet": 0}
     assert engine.store.read("signal_readings").count() == 3 * 122
+
+
+def test_filters_are_made_without_a_python_group_each(spark):
+    entries = spark.range(500).selectExpr("concat('p', id) AS packet_id", "timestamp_ntz'2024-01-01' + make_dt_interval(id % 5) AS event_time")
+    found = L.filters(entries, 4)
+    assert "InPandas" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan
+    hashes = L._hashed(4, entries, F.to_date("event_time").alias("day")).toPandas().groupby(["bucket", "day"])["h"]
+    assert {(r["bucket"], r["day"]): bytes(r["bits"]) for r in found.collect()} == {k: L.made_of(np.array(h)) for k, h in hashes}
+    assert L.filters(entries.limit(0), 4).count() == 0

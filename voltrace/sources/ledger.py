@@ -45,9 +45,9 @@ def may_hold(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     return ((words[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
-def _filter(frame: pd.DataFrame) -> pd.DataFrame:
-    first = frame.iloc[0]
-    return pd.DataFrame({"bucket": [first["bucket"]], "day": [first["day"]], "part": [first["part"]], "parts": [first["parts"]], "bits": [made_of(frame["h"].to_numpy(np.int64))]})
+def _made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f.drop(columns="hs").assign(bits=pd.Series([made_of(np.asarray(hs, np.int64)) for hs in f["hs"]], f.index, dtype=object))
 
 
 def _hashed(buckets: int, ids: DataFrame, *more) -> DataFrame:
@@ -59,7 +59,7 @@ def filters(entries: DataFrame, buckets: int) -> DataFrame:
     rows = _hashed(buckets, entries, F.to_date("event_time").alias("day"))
     sizes = rows.groupBy("bucket", "day").agg(F.ceil(F.count("*") / MOST_IDS).cast("int").alias("parts"))  # a row per bucket and day
     rows = rows.join(sizes, ["bucket", "day"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    return rows.groupBy("bucket", "day", "part", "parts").applyInPandas(_filter, SCHEMA)
+    return rows.groupBy("bucket", "day", "part", "parts").agg(F.collect_list("h").alias("hs")).mapInPandas(_made, SCHEMA)
 
 
 def _asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
